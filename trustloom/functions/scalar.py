@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -78,6 +78,10 @@ def hash_draw(digest: Column, word: int, bound: Column) -> Column:
     return F.conv(F.substring(digest, 8 * word + 1, 8), 16, 10).cast("bigint") % bound
 
 
-def micros(ts: Column) -> Column:
-    """Microseconds since the epoch, for either timestamp type."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+def micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since the epoch. A timestamp without zone is read as it stands, whatever the session zone, so
+    clock changes of that zone never stretch a gap."""
+    if dict(df.dtypes)[ts] == "timestamp":
+        return F.unix_micros(ts)
+    seconds = F.unix_date(F.to_date(ts)).cast("bigint") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), F.col(ts)) * 1_000_000).cast("bigint")

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from trustloom.functions.constants import START_TRUST
 from trustloom.functions.scalar import clamp, micros, round_half_even
-from trustloom.session import shared_dir
+from trustloom.session import materialise
 
 MICROS = {"hour": 3_600_000_000, "day": 86_400_000_000}
 BROADCAST_KEYS = 500_000
@@ -191,19 +191,17 @@ def trust_fold(
     if not (0 <= reward <= 1 and 0 <= keep <= 1 and rate >= 0):
         raise ValueError("reward and keep must be in [0, 1] and rate must not be negative")
     rate_us = rate / MICROS[unit]
-    spark = events.sparkSession
     steps = events.select(
-        key, ts, seq, micros(F.col(ts)).alias("_us"), F.coalesce(good, F.lit(False)).alias("_good")
+        key, ts, seq, micros(events, ts).alias("_us"), F.coalesce(good, F.lit(False)).alias("_good")
     )
     if state is not None:
-        state = state.select(key, F.col("trust").alias("_x0"), micros(F.col(ts)).alias("_t0"))
+        state = state.select(key, F.col("trust").alias("_x0"), micros(state, ts).alias("_t0"))
 
     sizes = steps.groupBy(key).count().where(F.col("count") > slice_rows)
     n_hot, hot_rows = sizes.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
     ordinary = steps
     if n_hot:
-        shared_dir(spark)
-        hot_keys = sizes.select(key).checkpoint()
+        hot_keys = materialise(sizes.select(key), "hot-keys")
         if n_hot <= BROADCAST_KEYS:
             hot_keys = F.broadcast(hot_keys)
         ordinary = steps.join(hot_keys, key, "left_anti")
@@ -225,7 +223,7 @@ def trust_fold(
             .withColumn("_slice", F.spark_partition_id())
         )
         # Range borders come from a sample, so they are fixed on storage before two readers rely on them.
-        sliced = _with_prefix(cut, key, rate_us, reward, keep).checkpoint()
+        sliced = materialise(_with_prefix(cut, key, rate_us, reward, keep), "slices")
         entries = _slice_entries(sliced, key, seq, rate_us, start, state)
         if slices + n_hot <= BROADCAST_KEYS:
             entries = F.broadcast(entries)
