@@ -44,9 +44,18 @@ def _term_counts(cleaner):
 
 
 def vocab_stats(spark, sf_dir):
-    stats = nb_fit(with_tokens(labelled(spark, sf_dir), "a")).stats()
-    rounded = [F.round(c, 6).alias(c) for c in ("prior_fake", "prior_real", "unk_fake", "unk_real")]
-    return stats.select("docs_fake", "docs_real", "vocab", "tokens_fake", "tokens_real", *rounded)
+    """Totals of the model, as a row over its term table."""
+    model = nb_fit(with_tokens(labelled(spark, sf_dir), "a"))
+    t = model.totals
+    return model.terms.agg(
+        F.lit(t.docs_fake).cast("bigint").alias("docs_fake"),
+        F.lit(t.docs_real).cast("bigint").alias("docs_real"),
+        F.count("*").alias("vocab"),
+        F.sum("n_fake").alias("tokens_fake"),
+        F.sum("n_real").alias("tokens_real"),
+        *[F.round(F.lit(t.prior(c)), 6).alias(f"prior_{c}") for c in ("fake", "real")],
+        *[F.round(F.lit(t.unknown(c)), 6).alias(f"unk_{c}") for c in ("fake", "real")],
+    )
 
 
 def nb_terms(spark, sf_dir):
@@ -134,15 +143,17 @@ def lemmatised_tokens(spark, sf_dir):
     return based.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
-def lemma_sides(spark, sf_dir):
-    """Cleaner c with lemmas, stratified 75/25."""
-    docs = with_tokens(stratified_fold(spark, sf_dir), "c")
-    return sides(lemmatise(docs, _lemmas(spark, sf_dir, docs), keep=("label", "fold")))
+def held_out_lemmas(spark, sf_dir):
+    """Cleaner c with lemmas, stratified 75/25, unknown words counted."""
+    folded = with_tokens(stratified_fold(spark, sf_dir), "c")
+    train, test = sides(folded)
+    base = _lemmas(spark, sf_dir, folded)
+    model = nb_fit(lemmatise(train, base, keep=("label",)), class_docs=train)
+    return nb_score(lemmatise(test, base, keep=("label",)), model, keep=("label",))
 
 
 def nb_lemma_verdicts(spark, sf_dir):
-    train, test = lemma_sides(spark, sf_dir)
-    return nb_score(test, nb_fit(train), keep=("label",)).select("doc_id", "label", "verdict")
+    return held_out_lemmas(spark, sf_dir).select("doc_id", "label", "verdict")
 
 
 def plain_sides(spark, sf_dir):
@@ -152,7 +163,7 @@ def plain_sides(spark, sf_dir):
 
 def doc_freq(spark, sf_dir):
     train, _ = plain_sides(spark, sf_dir)
-    return document_frequency(train)
+    return document_frequency(train, train.count())
 
 
 def tfidf_weights(spark, sf_dir):

@@ -1,7 +1,8 @@
 """Attach a word table to word occurrences without moving the frequent words.
 
-Word frequencies are skewed: some hundred thousand words make up nearly all occurrences. That head of the table, cut to
-a fixed number of rows, is broadcast; only occurrences it does not cover are shuffled by word to meet the tail.
+Tables here are fitted ones: written, so that counting them reads file footers only. A table of at most ``hot_rows``
+rows is broadcast. A larger one is cut in two: word frequencies are skewed, and its most frequent ``hot_rows`` words make
+up nearly all occurrences. That head is broadcast; only occurrences it does not cover are shuffled to meet the tail.
 """
 
 from __future__ import annotations
@@ -11,15 +12,21 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 200_000
 
+Parts = tuple[DataFrame, DataFrame | None]
 
-def by_count(table: DataFrame, key: str, count: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(head, tail) of a word table by a count column; the head has at most ``hot_rows`` rows."""
+
+def by_count(table: DataFrame, key: str, count: str, hot_rows: int = HOT_ROWS) -> Parts:
+    """(head, tail) of a word table by a count column; no tail if the head holds all."""
+    if table.count() <= hot_rows:
+        return table, None
     head = table.orderBy(F.desc(count), key).limit(hot_rows)
     return head, table.join(F.broadcast(head.select(key)), key, "left_anti")
 
 
-def by_rank(table: DataFrame, rank: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+def by_rank(table: DataFrame, rank: str, hot_rows: int = HOT_ROWS) -> Parts:
     """(head, tail) of a word table whose dense rank starts at 1 with the most frequent word."""
+    if table.count() <= hot_rows:
+        return table, None
     return table.where(F.col(rank) <= hot_rows), table.where(F.col(rank) > hot_rows)
 
 
@@ -36,11 +43,17 @@ def meet_tail(met: DataFrame, tail: DataFrame, key: str, spread: Column) -> Data
     return met.withColumn("_probe", probe).join(tail.withColumnRenamed(key, "_probe"), "_probe", "left").drop("_probe")
 
 
-def attach(
-    left: DataFrame, parts: tuple[DataFrame, DataFrame], *, key: str, value: str, spread: Column
-) -> DataFrame:
+def attach(left: DataFrame, parts: Parts, *, key: str, value: str, spread: Column) -> DataFrame:
     """``left`` with ``value`` of its word, null where the table has none."""
-    head, tail = (p.select(key, value) for p in parts)
-    met = meet_head(left, head, key)
-    both = meet_tail(met, tail.withColumnRenamed(value, "_tail_value"), key, spread)
+    head, tail = parts
+    if tail is None:
+        return left.join(F.broadcast(head.select(key, value)), key, "left")
+    met = meet_head(left, head.select(key, value), key)
+    both = meet_tail(met, tail.select(key, F.col(value).alias("_tail_value")), key, spread)
     return both.withColumn(value, F.coalesce(F.col(value), F.col("_tail_value"))).drop("_tail_value", "_missed")
+
+
+def bounded(table: DataFrame, rows: int, max_rows: int = HOT_ROWS) -> DataFrame:
+    """``table``, known to have ``rows`` rows, marked for broadcast if these are at most ``max_rows``. A larger one is
+    joined by shuffle, where adaptive execution splits heavy keys."""
+    return F.broadcast(table) if rows <= max_rows else table

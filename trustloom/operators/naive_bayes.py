@@ -2,94 +2,82 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustloom.functions.scalar import argmax_verdict, two_class_probability
 from trustloom.operators import lookup
+from trustloom.session import materialise
 
+CLASSES = ("fake", "real")
 MINUS_INF = float("-inf")
 
 
-def _ln(value: Column) -> Column:
-    """Natural logarithm with ln 0 = -inf (Spark's own is null there)."""
-    return F.when(value > 0, F.log(value)).otherwise(F.lit(MINUS_INF))
+@dataclass
+class NbTotals:
+    docs_fake: int
+    docs_real: int
+    vocab: int
+    tokens_fake: float
+    tokens_real: float
+    smoothing: float
+
+    def prior(self, c: str) -> float:
+        """Log share of the class; -inf for a class without documents."""
+        docs = {"fake": self.docs_fake, "real": self.docs_real}[c]
+        return math.log(docs / (self.docs_fake + self.docs_real)) if docs else MINUS_INF
+
+    def denominator(self, c: str) -> float:
+        return {"fake": self.tokens_fake, "real": self.tokens_real}[c] + self.smoothing * self.vocab
+
+    def unknown(self, c: str) -> float:
+        """Log likelihood of a word the model does not have; 0 for a model without words, which decides nothing."""
+        if not self.denominator(c):
+            return 0.0
+        return math.log(self.smoothing / self.denominator(c)) if self.smoothing else MINUS_INF
 
 
 @dataclass
 class NbModel:
-    """``terms``: (w, n_fake, n_real), one row per word of either class. ``docs``: one row (docs_fake, docs_real)."""
+    """``terms``: (w, n_fake, n_real), a written table with one row per word of either class."""
 
     terms: DataFrame
-    docs: DataFrame
-    smoothing: float
-
-    def stats(self) -> DataFrame:
-        """One row: documents and tokens per class, vocabulary size, priors and the value of an unknown word."""
-        totals = self.terms.agg(
-            F.count("*").alias("vocab"),
-            F.coalesce(F.sum("n_fake"), F.lit(0)).alias("tokens_fake"),
-            F.coalesce(F.sum("n_real"), F.lit(0)).alias("tokens_real"),
-        )
-        docs = self.docs.select(F.struct("*")).scalar()
-        row = totals.select(
-            docs["docs_fake"].alias("docs_fake"), docs["docs_real"].alias("docs_real"),
-            "vocab", "tokens_fake", "tokens_real",
-        )
-        n_docs = F.col("docs_fake") + F.col("docs_real")
-        for c in ("fake", "real"):
-            row = row.withColumn(f"prior_{c}", _ln(F.try_divide(F.col(f"docs_{c}").cast("double"), n_docs)))
-        for c in ("fake", "real"):
-            row = row.withColumn(f"denom_{c}", F.col(f"tokens_{c}") + F.lit(float(self.smoothing)) * F.col("vocab"))
-            row = row.withColumn(f"unk_{c}", _ln(F.try_divide(F.lit(float(self.smoothing)), F.col(f"denom_{c}"))))
-        return row
-
-    def stat_values(self) -> Column:
-        """The row of ``stats`` as a scalar struct, for use inside other frames."""
-        return self.stats().select(F.struct("*")).scalar()
+    totals: NbTotals
 
     def log_likelihoods(self) -> DataFrame:
         """(w, n, ll_fake, ll_real)"""
-        stats = self.stat_values()
-        smooth = F.lit(float(self.smoothing))
+
+        def log_likelihood(c: str) -> Column:
+            weight = F.col(f"n_{c}") + F.lit(float(self.totals.smoothing))
+            share = weight / F.lit(self.totals.denominator(c) or 1.0)
+            return F.when(share > 0, F.log(share)).otherwise(F.lit(MINUS_INF)).alias(f"ll_{c}")
+
         return self.terms.select(
-            "w",
-            (F.col("n_fake") + F.col("n_real")).alias("n"),
-            *[
-                _ln(F.try_divide(F.col(f"n_{c}") + smooth, stats[f"denom_{c}"])).alias(f"ll_{c}")
-                for c in ("fake", "real")
-            ],
+            "w", (F.col("n_fake") + F.col("n_real")).alias("n"), *[log_likelihood(c) for c in CLASSES]
         )
 
     def save(self, path: str) -> None:
         """Write the model as two tables, to be trained once and scored many times."""
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.docs.withColumn("smoothing", F.lit(float(self.smoothing))).write.mode("overwrite").parquet(f"{path}/docs")
+        totals = self.terms.sparkSession.createDataFrame([asdict(self.totals)])
+        totals.write.mode("overwrite").parquet(f"{path}/totals")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> NbModel:
-        docs = spark.read.parquet(f"{path}/docs")
-        return NbModel(spark.read.parquet(f"{path}/terms"), docs.drop("smoothing"), docs.first()["smoothing"])
-
+        totals = NbTotals(**spark.read.parquet(f"{path}/totals").first().asDict())
+        return NbModel(spark.read.parquet(f"{path}/terms"), totals)
 
-def _of_class(label: Column, c: str, value: Column) -> Column:
-    return F.sum(F.when(label == c, value).otherwise(F.lit(0)))
 
-
-def class_counts(docs: DataFrame, label_col: str = "label") -> DataFrame:
+def class_counts(docs: DataFrame, label_col: str = "label") -> tuple[int, int]:
     """Documents per class, those without words included; a label other than fake and real is an error."""
     label = F.col(label_col)
-    other = F.max(F.when(~label.isin("fake", "real") | label.isNull(), F.coalesce(label, F.lit("null"))))
-    counted = docs.agg(
-        F.count_if(label == "fake").alias("docs_fake"), F.count_if(label == "real").alias("docs_real"),
-        other.alias("_other"),
-    )
-    checked = F.when(F.col("_other").isNull(), F.col("docs_fake")).otherwise(
-        F.raise_error(F.concat(F.lit("label must be fake or real: "), F.col("_other")))
-    )
-    return counted.select(checked.cast("bigint").alias("docs_fake"), "docs_real")
+    n, fake, real = docs.agg(F.count("*"), F.count_if(label == "fake"), F.count_if(label == "real")).first()
+    if n != fake + real:
+        raise ValueError(f"{n - fake - real} documents have a label other than fake and real")
+    return fake, real
 
 
 def term_counts(docs: DataFrame, label_col: str = "label", tokens_col: str = "tokens") -> DataFrame:
@@ -98,14 +86,27 @@ def term_counts(docs: DataFrame, label_col: str = "label", tokens_col: str = "to
     return (
         docs.select(label, F.explode(tokens_col).alias("w"))
         .groupBy("w")
-        .agg(*[F.count_if(label == c).alias(f"n_{c}") for c in ("fake", "real")])
+        .agg(*[F.count_if(label == c).alias(f"n_{c}") for c in CLASSES])
     )
 
 
+def _fitted(terms: DataFrame, docs: tuple[int, int], smoothing: float) -> NbModel:
+    written = materialise(terms, "nb-terms")
+    vocab, fake, real = written.agg(F.count("*"), F.sum("n_fake"), F.sum("n_real")).first()
+    return NbModel(written, NbTotals(*docs, vocab, float(fake or 0), float(real or 0), float(smoothing)))
+
+
 def nb_fit(
-    docs: DataFrame, *, label_col: str = "label", tokens_col: str = "tokens", smoothing: float = 1.0
+    docs: DataFrame,
+    *,
+    label_col: str = "label",
+    tokens_col: str = "tokens",
+    smoothing: float = 1.0,
+    class_docs: DataFrame | None = None,
 ) -> NbModel:
-    return NbModel(term_counts(docs, label_col, tokens_col), class_counts(docs, label_col), smoothing)
+    """Count words and documents per class. ``class_docs`` are the same documents in a form that is cheaper to count."""
+    docs_per_class = class_counts(docs if class_docs is None else class_docs, label_col)
+    return _fitted(term_counts(docs, label_col, tokens_col), docs_per_class, smoothing)
 
 
 def nb_fit_weighted(
@@ -114,18 +115,17 @@ def nb_fit_weighted(
     """Multinomial naive Bayes on weighted words: ``weights`` has (label, term, weight), ``docs`` one row per document."""
     label = F.col(label_col)
     terms = weights.groupBy(F.col("term").alias("w")).agg(
-        *[_of_class(label, c, F.col("weight")).alias(f"n_{c}") for c in ("fake", "real")]
+        *[F.sum(F.when(label == c, F.col("weight")).otherwise(F.lit(0.0))).alias(f"n_{c}") for c in CLASSES]
     )
-    return NbModel(terms, class_counts(docs, label_col), smoothing)
+    return _fitted(terms, class_counts(docs, label_col), smoothing)
 
 
-def _verdicts(sums: DataFrame, stats: Column, tie: str) -> DataFrame:
-    scored = sums.withColumn("s_fake", F.col("s_fake") + stats["prior_fake"]).withColumn(
-        "s_real", F.col("s_real") + stats["prior_real"]
-    )
+def _verdicts(sums: DataFrame, totals: NbTotals, tie: str) -> DataFrame:
+    others = [c for c in sums.columns if c not in ("s_fake", "s_real")]
+    scored = sums.select(*others, *[(F.col(f"s_{c}") + F.lit(totals.prior(c))).alias(f"s_{c}") for c in CLASSES])
     fake, real = F.col("s_fake"), F.col("s_real")
     verdict = argmax_verdict(fake, real) if tie == "real" else F.when(fake >= real, "fake").otherwise("real")
-    return scored.withColumn("p_fake", two_class_probability(fake, real)).withColumn("verdict", verdict)
+    return scored.select("*", two_class_probability(fake, real).alias("p_fake"), verdict.alias("verdict"))
 
 
 def nb_score(
@@ -141,48 +141,45 @@ def nb_score(
     """(id, keep.., s_fake, s_real, p_fake, verdict) for every document, also those without words.
 
     ``unknown='count'`` gives a word outside the model its smoothed value, ``'skip'`` leaves it out. ``keep`` names
-    columns fixed by the id that are carried along. Words of the head of the model are added up inside the task that
-    reads the document; only the others travel.
+    columns fixed by the id that are carried along. Words of the broadcast head of the model are added up inside the
+    task that reads the document, so one row per document is shuffled; only words outside the head travel themselves.
     """
     if unknown not in ("count", "skip"):
         raise ValueError("unknown must be count or skip")
     ids = [id_col, *keep]
+    absent = {c: F.lit(model.totals.unknown(c) if unknown == "count" else 0.0) for c in CLASSES}
     head, tail = lookup.by_count(model.log_likelihoods(), "w", "n", hot_rows)
-    stats = model.stat_values()
     words = docs.select(*ids, F.explode_outer(tokens_col).alias("w"))
-    met = (
-        lookup.meet_head(words, head.drop("n"), "w")
-        .groupBy(*ids, "_missed")
-        .agg(F.sum("ll_fake").alias("head_fake"), F.sum("ll_real").alias("head_real"), F.count("*").alias("times"))
-    )
-    both = lookup.meet_tail(met, tail.drop("n"), "w", F.col(id_col))
-    sums = both.groupBy(*ids).agg(
-        *[
-            F.sum(
-                F.coalesce(
-                    F.col(f"head_{c}"),
-                    F.when(
-                        F.col("_missed").isNotNull(),
-                        F.col("times")
-                        * F.coalesce(F.col(f"ll_{c}"), stats[f"unk_{c}"] if unknown == "count" else F.lit(0.0)),
-                    ),
-                    F.lit(0.0),
-                )
-            ).alias(f"s_{c}")
-            for c in ("fake", "real")
-        ]
-    )
-    return _verdicts(sums, stats, "real")
+    if tail is None:
+        met = words.join(F.broadcast(head.drop("n")), "w", "left")
+        values = {
+            c: F.when(F.col("w").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.col(f"ll_{c}"), absent[c]))
+            for c in CLASSES
+        }
+    else:
+        met = lookup.meet_head(words, head.drop("n"), "w").groupBy(*ids, "_missed").agg(
+            *[F.sum(f"ll_{c}").alias(f"head_{c}") for c in CLASSES], F.count("*").alias("times")
+        )
+        met = lookup.meet_tail(met, tail.drop("n"), "w", F.col(id_col))
+        values = {
+            c: F.when(F.col("_missed").isNull(), F.coalesce(F.col(f"head_{c}"), F.lit(0.0))).otherwise(
+                F.col("times") * F.coalesce(F.col(f"ll_{c}"), absent[c])
+            )
+            for c in CLASSES
+        }
+    sums = met.groupBy(*ids).agg(*[F.sum(values[c]).alias(f"s_{c}") for c in CLASSES])
+    return _verdicts(sums, model.totals, "real")
 
 
 def nb_score_weighted(
     weights: DataFrame, docs: DataFrame, model: NbModel, *, id_col: str = "doc_id", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """As ``nb_score`` on (id, term, weight) rows whose terms all belong to the model. A tie is fake here."""
+    """As ``nb_score`` on (id, keep.., term, weight) rows whose terms all belong to the model. A tie is fake here."""
     ids = [id_col, *keep]
-    scored = weights.join(model.log_likelihoods().withColumnRenamed("w", "term"), "term").select(
-        *ids, *[(F.col("weight") * F.col(f"ll_{c}")).alias(f"s_{c}") for c in ("fake", "real")]
+    likelihoods = model.log_likelihoods().select(F.col("w").alias("term"), "ll_fake", "ll_real")
+    scored = weights.join(lookup.bounded(likelihoods, model.totals.vocab), "term").select(
+        *ids, *[(F.col("weight") * F.col(f"ll_{c}")).alias(f"s_{c}") for c in CLASSES]
     )
-    empty = docs.select(*ids, F.lit(0.0).alias("s_fake"), F.lit(0.0).alias("s_real"))
-    sums = scored.unionByName(empty).groupBy(*ids).agg(F.sum("s_fake").alias("s_fake"), F.sum("s_real").alias("s_real"))
-    return _verdicts(sums, model.stat_values(), "fake")
+    empty = docs.select(*ids, *[F.lit(0.0).alias(f"s_{c}") for c in CLASSES])
+    sums = scored.unionByName(empty).groupBy(*ids).agg(*[F.sum(f"s_{c}").alias(f"s_{c}") for c in CLASSES])
+    return _verdicts(sums, model.totals, "fake")

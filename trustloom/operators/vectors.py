@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trustloom.functions.scalar import argmax_verdict, cosine
 from trustloom.operators import lookup
+from trustloom.session import materialise
 
 HOT_VECTORS = 50_000
 
@@ -25,7 +26,7 @@ def word_vectors(
     seed: int = 42,
     partitions: int = 8,
 ) -> DataFrame:
-    """(w, id, vec): skip-gram vectors trained by Spark ML, with the ids of ``vocab``. ML keeps vocabulary times ``dim``
+    """(w, id, vec): skip-gram vectors trained by Spark ML, with the ids of ``vocab``; written. ML keeps vocabulary times ``dim``
     floats on the driver, so raise ``min_count`` with the corpus."""
     trainer = Word2Vec(
         vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=partitions,
@@ -33,7 +34,7 @@ def word_vectors(
     )
     trained = trainer.fit(docs.select(tokens_col)).getVectors()
     vectors = trained.select(F.col("word").alias("w"), vector_to_array("vector").alias("vec"))
-    return vocab.select("w", "id").join(vectors, "w")
+    return materialise(vocab.select("w", "id").join(vectors, "w"), "word-vectors")
 
 
 def _as_array(names: list[str]) -> Column:
@@ -52,28 +53,30 @@ def doc_vectors(
 ) -> DataFrame:
     """(id, keep.., n_known, vec): mean over the occurrences of known words, the zero vector where there are none.
 
-    ``vectors``: (w, id, vec) with ids by falling frequency. The vectors of the ``hot_rows`` most frequent words are
-    broadcast and summed while a document is read; only rarer words travel. The sums are ``dim`` plain columns, so they
-    combine before the shuffle.
+    ``vectors``: a written table (w, id, vec) with ids by falling frequency. The vectors of the ``hot_rows`` most
+    frequent words are broadcast and summed while a document is read; only rarer words travel. The sums are ``dim``
+    plain columns, so they combine before the shuffle.
     """
     ids = [id_col, *keep]
-    vectors = vectors.withColumn("vec", F.col("vec").cast("array<double>"))
-    head, tail = lookup.by_rank(vectors, "id", hot_rows)
-    words = docs.select(*ids, F.explode_outer(tokens_col).alias("w"))
     sums = [f"_s{i}" for i in range(dim)]
-    met = lookup.meet_head(words, head.select("w", "vec"), "w").groupBy(*ids, "_missed").agg(
-        F.count("vec").alias("_hits"),
-        F.count("_missed").alias("_times"),
-        *[F.sum(F.get("vec", F.lit(i))).alias(s) for i, s in enumerate(sums)],
-    )
-    both = lookup.meet_tail(met, tail.select("w", F.col("vec").alias("_tail")), "w", F.col(id_col))
-    known = F.when(F.col("_tail").isNotNull(), F.col("_times")).otherwise(F.col("_hits"))
-    totals = both.groupBy(*ids).agg(
+    head, tail = lookup.by_rank(vectors.withColumn("vec", F.col("vec").cast("array<double>")), "id", hot_rows)
+    words = docs.select(*ids, F.explode_outer(tokens_col).alias("w"))
+    if tail is None:
+        met = words.join(F.broadcast(head.select("w", "vec")), "w", "left")
+        known = F.when(F.col("vec").isNotNull(), F.lit(1)).otherwise(F.lit(0))
+        parts = [F.get("vec", F.lit(i)) for i in range(dim)]
+    else:
+        hits = lookup.meet_head(words, head.select("w", "vec"), "w").groupBy(*ids, "_missed").agg(
+            F.count("vec").alias("_hits"),
+            F.count("_missed").alias("_times"),
+            *[F.sum(F.get("vec", F.lit(i))).alias(s) for i, s in enumerate(sums)],
+        )
+        met = lookup.meet_tail(hits, tail.select("w", F.col("vec").alias("_tail")), "w", F.col(id_col))
+        known = F.when(F.col("_tail").isNotNull(), F.col("_times")).otherwise(F.col("_hits"))
+        parts = [F.coalesce(F.col(s), F.col("_times") * F.get("_tail", F.lit(i))) for i, s in enumerate(sums)]
+    totals = met.groupBy(*ids).agg(
         F.sum(known).alias("n_known"),
-        *[
-            F.sum(F.coalesce(F.col(s), F.col("_times") * F.get("_tail", F.lit(i)), F.lit(0.0))).alias(s)
-            for i, s in enumerate(sums)
-        ],
+        *[F.sum(F.coalesce(part, F.lit(0.0))).alias(s) for part, s in zip(parts, sums)],
     )
     mean = F.transform(
         _as_array(sums), lambda x: F.when(F.col("n_known") > 0, x / F.col("n_known")).otherwise(F.lit(0.0))
@@ -90,19 +93,11 @@ def prototypes(vectors: DataFrame, *, dim: int, label_col: str = "label", vec_co
     return means.select(F.col(label_col).alias("label"), _as_array([f"_s{i}" for i in range(dim)]).alias("vec"))
 
 
-def _prototype(protos: DataFrame, label: str, dim: int) -> Column:
-    found = protos.where(F.col("label") == label).agg(F.first("vec").alias("vec")).scalar()
-    return F.coalesce(found, F.array_repeat(F.lit(0.0), dim))
-
-
 def nearest(vectors: DataFrame, protos: DataFrame, *, dim: int, vec_col: str = "vec") -> DataFrame:
     """Adds ``sim_fake``, ``sim_real`` and the verdict of the nearer prototype; a tie is real, a missing prototype is the
-    zero vector. The two prototypes enter as scalars, so the vectors are read once and not shuffled."""
-    vec = F.transform(vec_col, lambda x: x.cast("double"))
-    scored = vectors.withColumn("_v", vec)
-    scored = scored.select(
-        "*",
-        cosine(F.col("_v"), _prototype(protos, "fake", dim)).alias("sim_fake"),
-        cosine(F.col("_v"), _prototype(protos, "real", dim)).alias("sim_real"),
-    ).drop("_v")
+    zero vector. The at most two prototypes enter as literals, so the vectors are read once and not shuffled."""
+    found = {r["label"]: r["vec"] for r in protos.where(F.col("label").isin("fake", "real")).collect()}
+    known = {c: F.array(*[F.lit(x) for x in found.get(c, [0.0] * dim)]) for c in ("fake", "real")}
+    vec = F.col(vec_col).cast("array<double>")
+    scored = vectors.select("*", *[cosine(vec, known[c]).alias(f"sim_{c}") for c in known])
     return scored.withColumn("verdict", argmax_verdict(F.col("sim_fake"), F.col("sim_real")))

@@ -7,24 +7,17 @@ from pyspark.sql import functions as F
 
 from trustloom.functions.scalar import blend, threshold_verdict
 from trustloom.operators.graph import DEFAULT_TRUST
+from trustloom.operators.lookup import bounded
 from trustloom.operators.naive_bayes import NbModel, nb_score
 
-BROADCAST_SOURCES = 500_000
-
-
-def bounded(table: DataFrame, max_rows: int = BROADCAST_SOURCES) -> DataFrame:
-    """``table`` marked for broadcast if it is seen to have at most ``max_rows`` rows, else as it is."""
-    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
-
-
 def hybrid_verdict(
     content: DataFrame, trust: DataFrame, *, w_content: float = 0.7, w_source: float = 0.3
 ) -> DataFrame:
-    """``content``: (.., source, p_fake); ``trust``: (node, trust), 0.5 for a source it does not have. Adds the verdict
+    """``content``: (.., source, p_fake); ``trust``: a written (node, trust), 0.5 for a source it does not have. Adds the verdict
     columns and the same as one struct ``result``."""
-    known = bounded(trust.select(F.col("node").alias("source"), F.col("trust").alias("source_trust_score")))
+    known = trust.select(F.col("node").alias("source"), F.col("trust").alias("source_trust_score"))
     judged = (
-        content.join(known, "source", "left")
+        content.join(bounded(known, trust.count()), "source", "left")
         .withColumnRenamed("p_fake", "content_fake_score")
         .withColumn("source_trust_score", F.coalesce(F.col("source_trust_score"), F.lit(DEFAULT_TRUST)))
         .withColumn(
