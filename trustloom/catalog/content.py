@@ -9,6 +9,7 @@ from trustloom.catalog.tables import (
     LABELLED,
     PREFIX_FOLD,
     STRATIFIED_FOLD,
+    documents,
     labelled,
     metrics_sql,
     nb_ctes,
@@ -30,7 +31,7 @@ from trustloom.operators.tfidf import document_frequency, tfidf_fit, tfidf_trans
 
 def _clean_tokens(cleaner):
     def query(spark, sf_dir):
-        docs = with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), cleaner)
+        docs = with_tokens(documents(spark, sf_dir), cleaner)
         return docs.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
     return query
@@ -101,7 +102,7 @@ def nb_scores(spark, sf_dir):
 
 
 def nb_probabilities(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     model = nb_fit(with_tokens(labelled(spark, sf_dir), "b"))
     scored = nb_score(with_tokens(docs, "b"), model, unknown="skip")
     return scored.select("doc_id", F.round("p_fake", 6).alias("p_fake"))
@@ -134,11 +135,11 @@ def _lemmas(spark, sf_dir, docs):
 
 
 def lemmas(spark, sf_dir):
-    return _lemmas(spark, sf_dir, with_tokens(table(spark, sf_dir, "documents"), "c"))
+    return _lemmas(spark, sf_dir, with_tokens(documents(spark, sf_dir), "c"))
 
 
 def lemmatised_tokens(spark, sf_dir):
-    docs = with_tokens(table(spark, sf_dir, "documents"), "c")
+    docs = with_tokens(documents(spark, sf_dir), "c")
     based = lemmatise(docs, _lemmas(spark, sf_dir, docs))
     return based.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 

@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from trustloom.functions.constants import SOURCE, STOP_A, STOP_B, STOP_C, VEHICLE, WHITESPACE
 from trustloom.functions.scalar import as_label
 from trustloom.functions.text import tokeniser
+from trustloom.sources.parquet import spread_small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, text)"""
+    return spread_small(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, text, label) of the labelled documents."""
     labels = table(spark, sf_dir, "labels").select("doc_id", as_label(F.col("quality")).alias("label"))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "text").join(labels, "doc_id")
+    return documents(spark, sf_dir).join(labels, "doc_id")
 
 
 def with_tokens(docs: DataFrame, cleaner: str) -> DataFrame:

@@ -13,6 +13,7 @@ from trustloom.catalog.tables import (
     behaviour_events,
     citation_edges,
     direct_trust,
+    documents,
     labelled,
     named_sources,
     nb_ctes,
@@ -101,7 +102,7 @@ def citation_trust(spark, sf_dir):
 
 
 def hybrid_verdicts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = documents(spark, sf_dir)
     model = nb_fit(with_tokens(labelled(spark, sf_dir), "b"))
     trust = source_trust(citation_edges(spark, sf_dir), direct_trust(spark, sf_dir))
     judged = hybrid(with_tokens(docs, "b"), model, named_sources(trust))

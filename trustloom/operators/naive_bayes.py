@@ -177,9 +177,10 @@ def nb_score_weighted(
     """As ``nb_score`` on (id, keep.., term, weight) rows whose terms all belong to the model. A tie is fake here."""
     ids = [id_col, *keep]
     likelihoods = model.log_likelihoods().select(F.col("w").alias("term"), "ll_fake", "ll_real")
-    scored = weights.join(lookup.bounded(likelihoods, model.totals.vocab), "term").select(
-        *ids, *[(F.col("weight") * F.col(f"ll_{c}")).alias(f"s_{c}") for c in CLASSES]
+    sums = (
+        weights.join(lookup.bounded(likelihoods, model.totals.vocab), "term")
+        .groupBy(*ids)
+        .agg(*[F.sum(F.col("weight") * F.col(f"ll_{c}")).alias(f"s_{c}") for c in CLASSES])
     )
-    empty = docs.select(*ids, *[F.lit(0.0).alias(f"s_{c}") for c in CLASSES])
-    sums = scored.unionByName(empty).groupBy(*ids).agg(*[F.sum(f"s_{c}").alias(f"s_{c}") for c in CLASSES])
-    return _verdicts(sums, model.totals, "fake")
+    every = docs.select(*ids).join(sums, ids, "left").na.fill(0.0, [f"s_{c}" for c in CLASSES])
+    return _verdicts(every, model.totals, "fake")
