@@ -50,3 +50,18 @@ SEQUENCE_SEPARATORS = r"""!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~\t\n"""
 VEHICLE = {"unit": "hour", "rate": 0.1, "reward": 0.1, "keep": 0.5}
 SOURCE = {"unit": "day", "rate": 0.05, "reward": 0.1, "keep": 0.8}
 START_TRUST = 50.0
+
+# Texts a data frame reader takes for missing values.
+MISSING_TEXTS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+# Replies to requests that cannot be scored.
+INVALID_BODY = "Invalid request body"
+TEXT_REQUIRED = "'text' field is required"
+
+# Columns of the source event file, in order.
+SOURCE_EVENT_COLUMNS = ("source_id", "title", "text", "prediction", "timestamp")
+
+TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
