@@ -49,6 +49,8 @@ def source_trust(
     ``split_above`` outgoing edges is spread over several parts, and only its trust is repeated per part. A round then
     moves node-sized data only, and a much-cited node arrives as one partial sum per task.
     """
+    # A fixed number of partitions, so that adaptive execution keeps both layouts and no round shuffles or sorts them.
+    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     weighted = edges.groupBy("src", "dst").agg(F.count("*").cast("double").alias("times"))
     parts = (
         weighted.groupBy(F.col("src").alias("node"))
@@ -64,12 +66,15 @@ def source_trust(
             F.coalesce(F.col("direct").cast("double"), F.lit(DEFAULT_TRUST)).alias("direct"),
             F.coalesce(F.col("parts"), F.lit(0)).alias("parts"),
         )
+        .repartition(width, "node")
+        .sortWithinPartitions("node")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     laid_out = (
         weighted.join(parts.withColumnRenamed("node", "src"), "src")
         .select("src", "dst", "times", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"))
-        .repartition("src", "part")
+        .repartition(width, "src", "part")
+        .sortWithinPartitions("src", "part")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
 
