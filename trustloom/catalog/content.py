@@ -20,7 +20,7 @@ from trustloom.catalog.tables import (
 )
 from trustloom.functions.constants import NOUN_ENDINGS
 from trustloom.functions.scalar import flag_or_marker
-from trustloom.functions.text import tokeniser
+from trustloom.functions.text import occurrences, tokeniser
 from trustloom.operators.lemmas import lemma_table, lemmatise
 from trustloom.operators.linear import logistic_fit, logistic_score
 from trustloom.operators.metrics import evaluate
@@ -126,11 +126,11 @@ def prediction_flags(spark, sf_dir):
 
 def _lexicon(spark, sf_dir):
     texts = table(spark, sf_dir, "conversations").select("text")
-    return texts.select(F.explode(tokeniser("c")(F.col("text"))).alias("w")).distinct()
+    return occurrences(texts, tokeniser("c")(F.col("text"))).distinct()
 
 
 def _lemmas(spark, sf_dir, docs):
-    words = docs.select(F.explode("tokens").alias("w")).distinct()
+    words = occurrences(docs, "tokens").distinct()
     return lemma_table(words, _lexicon(spark, sf_dir))
 
 

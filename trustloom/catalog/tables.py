@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustloom.functions.constants import SOURCE, STOP_A, STOP_B, STOP_C, VEHICLE, WHITESPACE
+from trustloom.functions.constants import SOURCE, STOP_A, STOP_B, STOP_C, VEHICLE
 from trustloom.functions.scalar import as_label
 from trustloom.functions.text import tokeniser
 from trustloom.sources.parquet import spread_small
@@ -74,6 +74,10 @@ LABELLED = """labelled AS (
   SELECT d.doc_id, d.source, d.text, CASE WHEN l.quality = 1 THEN 'real' ELSE 'fake' END AS label
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 
+# Whitespace as the inside of a character class.
+WHITESPACE = (
+    r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
 _KEEP = "list_filter({words}, lambda w: length(w) > 2 AND NOT list_contains([{stop}], w))"
 
 

@@ -38,13 +38,8 @@ NOUN_ENDINGS = (
     ("men", "man"), ("ies", "y"),
 )
 
-# Whitespace by the Unicode definition, as the inside of a character class.
-WHITESPACE = (
-    r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
-
-# Characters the sequence tokeniser turns into blanks, as the inside of a character class.
-SEQUENCE_SEPARATORS = r"""!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~\t\n"""
+# Characters the sequence tokeniser turns into blanks.
+SEQUENCE_SEPARATORS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n"
 
 # Trust parameters: a vehicle decays by the hour, a news source by the day.
 VEHICLE = {"unit": "hour", "rate": 0.1, "reward": 0.1, "keep": 0.5}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustloom.functions.constants import (
@@ -13,11 +13,13 @@ from trustloom.functions.constants import (
     STOP_A,
     STOP_B,
     STOP_C,
-    WHITESPACE,
 )
 
 Tokeniser = Callable[[Column], Column]
 
+# Whitespace by the Unicode definition.
+WHITESPACE = "".join(chr(c) for c in range(0x10000) if chr(c).isspace())
+
 
 def keep_words(words: Column, stop: Sequence[str], min_len: int = 3) -> Column:
     """Drop stop words and words shorter than ``min_len``; the stop list becomes a hash-set test."""
@@ -28,25 +30,31 @@ def _lowered(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit("")))
 
 
-def clean_a(text: Column, stop: Sequence[str] = STOP_A) -> Column:
-    """Only a-z and the blank survive, so words on both sides of a line break merge."""
-    return keep_words(F.split(F.regexp_replace(_lowered(text), "[^a-z ]+", ""), " +"), stop)
+def _blanked(text: Column, characters: str) -> Column:
+    """Each of ``characters`` as a blank. A regular expression on a class this wide costs several times as much."""
+    return F.translate(text, characters, " " * len(characters))
 
 
-def _letters_and_spaces(text: Column) -> Column:
-    return F.regexp_replace(_lowered(text), f"[^a-z{WHITESPACE}]+", "")
+def _letters(text: Column) -> Column:
+    """Everything but a-z and the blank removed, so letters on both sides of what is removed move together."""
+    return F.regexp_replace(text, "[^a-z ]+", "")
+
+
+def clean_a(text: Column, stop: Sequence[str] = STOP_A) -> Column:
+    """Only the blank separates words: those on both sides of a line break merge."""
+    return keep_words(F.split(_letters(_lowered(text)), " +"), stop)
 
 
 def clean_b(text: Column, stop: Sequence[str] = STOP_B) -> Column:
-    """Letters and any whitespace survive; words are cut at whitespace."""
-    return keep_words(F.split(_letters_and_spaces(text), f"[{WHITESPACE}]+"), stop)
+    """Any whitespace separates words."""
+    return keep_words(F.split(_letters(_blanked(_lowered(text), WHITESPACE)), " +"), stop)
 
 
 def clean_c(text: Column, stop: Sequence[str] = STOP_C) -> Column:
     """As ``clean_b`` with contractions cut in two. Lemmas, if wanted, come from ``operators.lemmas`` afterwards."""
     heads = "|".join(rf"{head}(?={tail}\b)" for head, tail in CONTRACTIONS)
-    parted = F.regexp_replace(_letters_and_spaces(text), rf"\b({heads})", "$1 ")
-    return keep_words(F.split(parted, f"[{WHITESPACE}]+"), stop)
+    parted = F.regexp_replace(_letters(_blanked(_lowered(text), WHITESPACE)), rf"\b({heads})", "$1 ")
+    return keep_words(F.split(parted, " +"), stop)
 
 
 CLEANERS: dict[str, Tokeniser] = {"a": clean_a, "b": clean_b, "c": clean_c}
@@ -59,8 +67,13 @@ def tokeniser(cleaner: str | Tokeniser) -> Tokeniser:
 
 def sequence_words(text: Column) -> Column:
     """Lower-cased words for integer sequences: punctuation becomes a blank, nothing else is dropped."""
-    blanked = F.regexp_replace(_lowered(text), f"[{SEQUENCE_SEPARATORS}]", " ")
-    return F.filter(F.split(blanked, " "), lambda w: w != "")
+    return F.filter(F.split(_blanked(_lowered(text), SEQUENCE_SEPARATORS), " +"), lambda w: w != "")
+
+
+def occurrences(docs: DataFrame, words: Column | str, *keep: str | Column, name: str = "w") -> DataFrame:
+    """One row per word with ``keep``. The outer form is meant: for the inner one the optimizer adds a filter on the size
+    of the array below it, which tokenises every text a second time."""
+    return docs.select(*keep, F.explode_outer(words).alias(name)).where(F.col(name).isNotNull())
 
 
 def ngrams(words: Column, up_to: int = 2) -> Column:

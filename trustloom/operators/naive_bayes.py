@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustloom.functions.scalar import argmax_verdict, two_class_probability
+from trustloom.functions.text import occurrences
 from trustloom.operators import lookup
 from trustloom.session import materialise
 
@@ -84,7 +85,7 @@ def term_counts(docs: DataFrame, label_col: str = "label", tokens_col: str = "to
     """(w, n_fake, n_real) over all occurrences. Counted before the shuffle, so a frequent word is one row per task."""
     label = F.col(label_col)
     return (
-        docs.select(label, F.explode(tokens_col).alias("w"))
+        occurrences(docs, tokens_col, label_col)
         .groupBy("w")
         .agg(*[F.count_if(label == c).alias(f"n_{c}") for c in CLASSES])
     )
