@@ -23,10 +23,16 @@ def nodes_of(edges: DataFrame, declared: DataFrame | None = None) -> DataFrame:
 def citers(edges: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """Reverse adjacency in numbers: (node, n_citations, n_citers) with parallel edges counted in the first."""
     pairs = edges.groupBy("src", "dst").agg(F.count("*").alias("times"))
-    cited = pairs.groupBy(F.col("dst").alias("node")).agg(
-        F.sum("times").alias("n_citations"), F.count("*").alias("n_citers")
+    # Both ends of a pair in one pass: the citing one with nothing received.
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    ends = F.array(
+        F.struct(F.col("src").alias("node"), none.alias("times"), none.alias("one")),
+        F.struct(F.col("dst").alias("node"), F.col("times").alias("times"), one.alias("one")),
     )
-    return nodes_of(edges, declared).join(cited, "node", "left").na.fill(0, ["n_citations", "n_citers"])
+    received = pairs.select(F.inline(ends))
+    if declared is not None:
+        received = received.unionByName(declared.select("node", none.alias("times"), none.alias("one")))
+    return received.groupBy("node").agg(F.sum("times").alias("n_citations"), F.sum("one").alias("n_citers"))
 
 
 def source_trust(
@@ -45,20 +51,22 @@ def source_trust(
     graph are not part of the result. A round sets trust = (1 - damping) * direct + damping * mean trust of the citers
     (0.5 without any).
 
-    Parallel edges become one weighted edge. Edges are laid out once by (src, part) and kept; a source with more than
-    ``split_above`` outgoing edges is spread over several parts, and only its trust is repeated per part. A round then
-    moves node-sized data only, and a much-cited node arrives as one partial sum per task.
+    Parallel edges become one weighted edge, written once. Edges are laid out once by (src, part) and kept; a source
+    with more than ``split_above`` outgoing edges is spread over several parts, and only its trust is repeated per part.
+    A round then moves node-sized data only, and a much-cited node arrives as one partial sum per task.
     """
     # A fixed number of partitions, so that adaptive execution keeps both layouts and no round shuffles or sorts them.
     width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    weighted = edges.groupBy("src", "dst").agg(F.count("*").cast("double").alias("times"))
+    weighted = materialise(
+        edges.groupBy("src", "dst").agg(F.count("*").cast("double").alias("times")), "weighted-edges"
+    )
     parts = (
         weighted.groupBy(F.col("src").alias("node"))
         .agg(F.count("*").alias("_out"))
         .select("node", F.ceil(F.col("_out") / F.lit(split_above)).cast("int").alias("parts"))
     )
     nodes = (
-        nodes_of(edges, declared)
+        nodes_of(weighted, declared)
         .join(direct.select("node", "direct"), "node", "left")
         .join(parts, "node", "left")
         .select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 
 def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a scan of fewer files than cores, dealt out by ``key`` so that costly work per row uses all cores. A
-    table of many files already is spread and stays where it is."""
+    """Rows of a scan with fewer splits than cores, dealt out by ``key`` so that costly work per row uses all cores. A
+    larger table already is spread and stays where it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
