@@ -62,8 +62,9 @@ def test_model_totals(model):
     assert (t.docs_fake, t.docs_real, t.vocab, t.tokens_fake, t.tokens_real) == (3, 3, 41, 21, 21)
 
 
-@pytest.mark.parametrize("split_above", [1_000_000, 1])
-def test_trust(graph, split_above):
+@pytest.mark.parametrize("split_above,small_edges", [(1_000_000, 1_000_000), (1, 1_000_000), (1, 0)])
+def test_trust(graph, monkeypatch, split_above, small_edges):
+    monkeypatch.setattr("trustloom.operators.graph.SMALL_EDGES", small_edges)
     edges, direct, declared = graph
     trust = source_trust(edges, direct, declared=declared, split_above=split_above)
     got = {r.node: r.trust for r in trust.collect()}

@@ -10,6 +10,7 @@ from trustloom.functions.scalar import damped
 from trustloom.session import materialise
 
 DEFAULT_TRUST = 0.5
+SMALL_EDGES = 1_000_000
 
 
 def nodes_of(edges: DataFrame, declared: DataFrame | None = None) -> DataFrame:
@@ -55,11 +56,13 @@ def source_trust(
     with more than ``split_above`` outgoing edges is spread over several parts, and only its trust is repeated per part.
     A round then moves node-sized data only, and a much-cited node arrives as one partial sum per task.
     """
-    # A fixed number of partitions, so that adaptive execution keeps both layouts and no round shuffles or sorts them.
-    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     weighted = materialise(
         edges.groupBy("src", "dst").agg(F.count("*").cast("double").alias("times")), "weighted-edges"
     )
+    # A given number of partitions makes adaptive execution keep both layouts, so that no round shuffles or sorts them
+    # again. A small graph is better merged into a few.
+    big = weighted.count() > SMALL_EDGES
+    width = [int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if big else []
     parts = (
         weighted.groupBy(F.col("src").alias("node"))
         .agg(F.count("*").alias("_out"))
@@ -74,14 +77,14 @@ def source_trust(
             F.coalesce(F.col("direct").cast("double"), F.lit(DEFAULT_TRUST)).alias("direct"),
             F.coalesce(F.col("parts"), F.lit(0)).alias("parts"),
         )
-        .repartition(width, "node")
+        .repartition(*width, "node")
         .sortWithinPartitions("node")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     laid_out = (
         weighted.join(parts.withColumnRenamed("node", "src"), "src")
         .select("src", "dst", "times", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"))
-        .repartition(width, "src", "part")
+        .repartition(*width, "src", "part")
         .sortWithinPartitions("src", "part")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )

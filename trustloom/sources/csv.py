@@ -57,7 +57,7 @@ def read_behaviour(spark: SparkSession, path: str) -> DataFrame:
     """(timestamp, vehicle_id, behavior, seq): ids stay text, any bad value fails the load. ``seq`` is the file order
     and settles equal times."""
     rows = _need(_records(spark, path, "FAILFAST"), ("timestamp", "vehicle_id", "behavior"), path)
-    stamp = F.try_to_timestamp("timestamp", F.lit(TIMESTAMP_FORMAT)).cast("timestamp_ntz")
+    stamp = F.to_timestamp_ntz("timestamp", F.lit(TIMESTAMP_FORMAT))
     number = F.trim("behavior").try_cast("int")
     return rows.select(
         _strict(stamp, F.col("timestamp"), "timestamp").alias("timestamp"),
