@@ -11,7 +11,8 @@ from trustloom.functions.scalar import argmax_verdict, cosine
 from trustloom.operators import lookup
 from trustloom.session import materialise
 
-HOT_VECTORS = 50_000
+# Numbers in the broadcast part of a vector table: 64 MB.
+HOT_NUMBERS = 8_000_000
 
 
 def word_vectors(
@@ -49,17 +50,17 @@ def doc_vectors(
     id_col: str = "doc_id",
     tokens_col: str = "tokens",
     keep: tuple[str, ...] = (),
-    hot_rows: int = HOT_VECTORS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """(id, keep.., n_known, vec): mean over the occurrences of known words, the zero vector where there are none.
 
     ``vectors``: a written table (w, id, vec) with ids by falling frequency. The vectors of the ``hot_rows`` most
-    frequent words are broadcast and summed while a document is read; only rarer words travel. The sums are ``dim``
+    frequent words (as many as fit into ``HOT_NUMBERS``) are broadcast and summed while a document is read; only rarer words travel. The sums are ``dim``
     plain columns, so they combine before the shuffle.
     """
     ids = [id_col, *keep]
     sums = [f"_s{i}" for i in range(dim)]
-    head, tail = lookup.by_rank(vectors.withColumn("vec", F.col("vec").cast("array<double>")), "id", hot_rows)
+    head, tail = lookup.by_rank(vectors.withColumn("vec", F.col("vec").cast("array<double>")), "id", hot_rows or HOT_NUMBERS // dim)
     words = docs.select(*ids, F.explode_outer(tokens_col).alias("w"))
     if tail is None:
         met = words.join(F.broadcast(head.select("w", "vec")), "w", "left")
