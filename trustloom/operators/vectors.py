@@ -60,7 +60,8 @@ def doc_vectors(
     """
     ids = [id_col, *keep]
     sums = [f"_s{i}" for i in range(dim)]
-    head, tail = lookup.by_rank(vectors.withColumn("vec", F.col("vec").cast("array<double>")), "id", hot_rows or HOT_NUMBERS // dim)
+    vectors = vectors.withColumn("vec", F.col("vec").cast("array<double>"))
+    head, tail = lookup.by_rank(vectors, "id", hot_rows or HOT_NUMBERS // dim)
     words = docs.select(*ids, F.explode_outer(tokens_col).alias("w"))
     if tail is None:
         met = words.join(F.broadcast(head.select("w", "vec")), "w", "left")
