@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trustloom.llm import decontaminate, line_dedup, sharding
+from trustloom.llm import decontaminate, line_dedup, near_dedup, sharding
 
-MODULES = (line_dedup, decontaminate, sharding)
+MODULES = (line_dedup, decontaminate, sharding, near_dedup)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
