@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trustloom.llm import bpe, decontaminate, line_dedup, near_dedup, sharding
+from trustloom.llm import bpe, decontaminate, line_dedup, near_dedup, sharding, substring_dedup
 
-MODULES = (line_dedup, decontaminate, sharding, bpe, near_dedup)
+MODULES = (line_dedup, decontaminate, sharding, bpe, substring_dedup, near_dedup)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
