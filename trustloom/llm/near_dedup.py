@@ -15,7 +15,7 @@ from trustloom.llm.words import LOWER_WORDS, mix, small_batches, split_words, wi
 from trustloom.session import materialise
 
 BANDS, ROWS = 32, 6  # a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**6)**32 = 0.99994
-SMALL_BUCKET = 8
+SMALL_BUCKET = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,10 +156,18 @@ def _labelled(rows: DataFrame, labels: DataFrame, *nodes: str) -> DataFrame:
 
 
 def _apart(buckets: DataFrame, labels: DataFrame, small: int) -> DataFrame:
-    """The nodes (key, used, node) of large buckets that are not in their leader's component. Written."""
+    """The nodes (key, used, node, leader) of large buckets that are not in their leader's component. Written."""
     large = buckets.where((F.col("n") > small) & (F.col("node") != F.col("leader")))
     large = _labelled(large, labels, "node", "leader").where(F.col("node_label") != F.col("leader_label"))
-    return materialise(large.select("key", "used", "node"), "apart")
+    return materialise(large.select("key", "used", "node", "leader"), "apart")
+
+
+def _finer(apart: DataFrame) -> DataFrame:
+    """Buckets of the nodes that share two large buckets with different leaders and are apart from both."""
+    other = apart.select("node", F.col("key").alias("key2"), F.col("used").alias("used2"), F.col("leader").alias("leader2"))
+    both = apart.join(other, "node").where(
+        (F.array_max("used") < F.array_max("used2")) & (F.col("leader") != F.col("leader2")))
+    return both.select(F.xxhash64("key", "key2").alias("key"), F.array_union("used", "used2").alias("used"), "node")
 
 
 def near_duplicates(
@@ -176,10 +184,10 @@ def near_duplicates(
     1. Documents with equal words fall together first: one node each, however many copies there are.
     2. ProbMinHash signatures in ``bands`` bands of ``rows`` registers; nodes that share a band share a bucket.
     3. Every pair of a bucket of up to ``small_bucket`` nodes, and the leader of a larger one with all others, is
-       verified on the shingles themselves. The nodes of a large bucket that are not in the leader's component by then
-       get another leader, and those still apart are dealt into finer buckets (two bands at once, then three, ...),
-       until no large bucket is left. So a bucket of g nodes costs about g comparisons, and none is too large to be
-       worked through. Nodes of one component need no further comparison, as the classes are the same with it.
+       verified on the shingles themselves. So a bucket of g nodes costs about g comparisons. Two nodes that are similar
+       to each other but not to their leader share words that it has not, and so share buckets without it: there they
+       are a small bucket, or have another leader. Where they are apart from that one too, the two buckets together make
+       a finer one, until none is left. Nodes already in one component need no comparison; the classes stay the same.
     4. Components of the links; class ids go back to all copies.
 
     Signatures, nodes and links are written tables; nothing of them passes the driver but counts. Documents without
@@ -217,13 +225,10 @@ def near_duplicates(
         return materialise(near.where(F.col("similarity") >= threshold), "links")
 
     links = verify(pairs)
-    labels, finer = components(links), False
+    labels = components(links)
     apart = _apart(buckets, labels, small_bucket)
     while apart.limit(1).count():
-        if finer:
-            apart = apart.join(keyed, "node").where(~F.array_contains("used", F.col("band"))).select(
-                F.xxhash64("key", "band", "value").alias("key"), F.concat("used", F.array("band")).alias("used"), "node")
-        buckets, finer = _buckets(apart), not finer
+        buckets = _buckets(_finer(apart))
         pairs = _labelled(_pairs(buckets, small_bucket), labels, "a", "b").where(F.col("a_label") != F.col("b_label"))
         more = verify(materialise(pairs.select("a", "b"), "pairs"))
         if more.limit(1).count():
