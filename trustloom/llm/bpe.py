@@ -8,6 +8,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -44,9 +45,13 @@ class Vocabulary:
         self.end = model["end_of_word_suffix"]
         self.tokens = {i: t for t, i in self.ids.items()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {
-            (self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))}
+        #: By rank: the two ids that merge and the id they become.
+        self.merge = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in merges]
+        self.size = max(self.ids.values()) + 1
+        #: The rank of a pair, both ids in one number.
+        self.rank_of = {a * self.size + b: rank for rank, (a, b, _) in reversed(list(enumerate(self.merge)))}
         self.letters = byte_letters()
+        self.inner, self.last = ([self.ids[c + e] for c in self.letters] for e in ("", self.end))
         self.added = {t["content"]: t["id"] for t in parts["added_tokens"]}
         self.tokens |= {i: t for t, i in self.added.items()}
         splits = [p["pattern"]["Regex"] for p in parts["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
@@ -77,7 +82,6 @@ class Vocabulary:
         # Letter by letter: the one letter that Python lowers by what stands around it is lowered first.
         return self.word.findall(text.replace("Σ", "σ").lower())
 
-
     def _newer(self, text: str) -> list[str]:
         """For letters that Python's tables do not have yet, the tokenizer library's own tables decide what is a word."""
         from tokenizers import Tokenizer
@@ -93,59 +97,80 @@ def merge_words(words: Iterable[str], vocab: Vocabulary) -> list[list[int]]:
     """The token ids of each word.
 
     All words lie in one array of symbols, linked to their neighbours within the word. An index maps each pair that has
-    a merge to all the positions where it stands, in whatever word. The active pair of lowest rank is merged at all its
-    positions, left to right; each merge adds the two pairs it makes to the lists of those pairs. Lists may hold
-    positions that are gone by then: a position counts only if the pair still stands there. If a merge makes a pair of
-    lower rank than its own, that one goes first and the rest of the list waits.
+    a merge (by its rank) to all the positions where it stands, in whatever word. The active pair of lowest rank is
+    merged at all its positions, left to right; each merge adds the two pairs it makes to the lists of those pairs.
+    Lists may hold positions that are gone by then: a position counts only if the pair still stands there. If a merge
+    makes a pair of lower rank than its own, that one goes first and the rest of the list waits.
     """
     symbols: list[int] = []
-    left: list[int] = []
-    right: list[int] = []
-    starts: list[int] = []
-    merges, where, active = vocab.merges, {}, []
+    ends: list[int] = []
+    inner, last = vocab.inner, vocab.last
     for word in words:
-        letters = [vocab.letters[b] for b in word.encode()]
-        letters[-1] += vocab.end
-        first, last = len(symbols), len(symbols) + len(letters) - 1
-        starts.append(first)
-        symbols += [vocab.ids[c] for c in letters]
-        left += [-1, *range(first, last)]
-        right += [*range(first + 1, last + 1), -1]
-    for i, j in enumerate(right):
-        if j >= 0 and (pair := (symbols[i], symbols[j])) in merges:
-            where.setdefault(pair, []).append(i)
-    active = [(merges[pair][0], pair) for pair in where]
-    heapq.heapify(active)
+        data = word.encode()
+        symbols += [inner[b] for b in data[:-1]]
+        symbols.append(last[data[-1]])
+        ends.append(len(symbols))
+    if not symbols:
+        return []
+    starts = [0, *ends[:-1]]
+    left, right = list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
+    for i in starts:
+        left[i] = -1
+    for i in ends:
+        right[i - 1] = -1
+
+    rank_of, size, where = vocab.rank_of, vocab.size, {}
+    flat = np.array(symbols, dtype=np.int64)
+    pairs = flat[:-1] * size + flat[1:]
+    pairs[np.array(ends[:-1], dtype=np.int64) - 1] = -1  # no pair reaches over a word's end
+    distinct, inverse = np.unique(pairs, return_inverse=True)
+    ranks = np.array([rank_of.get(x, -1) for x in distinct.tolist()], dtype=np.int64)[inverse]
+    order = np.argsort(ranks, kind="stable")
+    order = order[np.searchsorted(ranks[order], 0) :]
+    for places in np.split(order, np.flatnonzero(np.diff(ranks[order])) + 1) if len(order) else []:
+        where[int(ranks[places[0]])] = places.tolist()
+    active = sorted(where)  # a sorted list is a heap
+    push, pop = heapq.heappush, heapq.heappop
     while active:
-        rank, pair = heapq.heappop(active)
-        places = where.pop(pair, None)
-        if places is None:
-            continue
-        a, b = pair
-        merged = merges[pair][1]
+        rank = pop(active)
+        places = where.pop(rank)
+        a, b, merged = vocab.merge[rank]
         places.sort()
+        lowest = rank
         for k, i in enumerate(places):
             j = right[i]
-            if symbols[i] != a or j < 0 or symbols[j] != b:
+            if j < 0 or symbols[i] != a or symbols[j] != b:
                 continue
-            symbols[i], symbols[j] = merged, -1
+            symbols[i] = merged
+            symbols[j] = -1
             after = right[i] = right[j]
             if after >= 0:
                 left[after] = i
-            lowest = rank
-            for at in (left[i], i):
-                to = right[at] if at >= 0 else -1
-                if to >= 0 and (made := (symbols[at], symbols[to])) in merges:
-                    if made not in where:
-                        where[made] = []
-                        heapq.heappush(active, (merges[made][0], made))
-                    where[made].append(at)
-                    lowest = min(lowest, merges[made][0])
-            if lowest < rank and k + 1 < len(places):
-                if pair not in where:
-                    where[pair] = []
-                    heapq.heappush(active, (rank, pair))
-                where[pair] += places[k + 1 :]
+                made = rank_of.get(merged * size + symbols[after])
+                if made is not None:
+                    if made in where:
+                        where[made].append(i)
+                    else:
+                        where[made] = [i]
+                        push(active, made)
+                        lowest = min(lowest, made)
+            before = left[i]
+            if before >= 0:
+                made = rank_of.get(symbols[before] * size + merged)
+                if made is not None:
+                    if made in where:
+                        where[made].append(before)
+                    else:
+                        where[made] = [before]
+                        push(active, made)
+                        lowest = min(lowest, made)
+            if lowest < rank:
+                if k + 1 < len(places):
+                    if rank in where:
+                        where[rank] += places[k + 1 :]
+                    else:
+                        where[rank] = places[k + 1 :]
+                        push(active, rank)
                 break
     out = []
     for i in starts:
@@ -163,7 +188,7 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.known: dict[str, tuple[list[int], str, str]] = {}
+        self.known: dict[str, tuple[tuple[int, ...], str, str]] = {}
 
     def words(self, texts: Iterable[str | None]) -> list[list[str]]:
         """The words of each text, all of them known afterwards."""
@@ -175,9 +200,9 @@ class Encoder:
         special = self.vocab.added
         plain = [w for w in new if w not in special]
         for word, ids in zip(plain, merge_words(plain, self.vocab)):
-            self.known[word] = (ids, " ".join(map(str, ids)), " ".join(map(self.vocab.tokens.__getitem__, ids)))
+            self.known[word] = (tuple(ids), " ".join(map(str, ids)), " ".join(map(self.vocab.tokens.__getitem__, ids)))
         for word in new.intersection(special):
-            self.known[word] = ([special[word]], str(special[word]), word)
+            self.known[word] = ((special[word],), str(special[word]), word)
         return cut
 
     def decode(self, ids: Iterable[int]) -> str:
