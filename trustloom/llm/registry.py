@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
-from trustloom.llm import bpe, decontaminate, line_dedup, near_dedup, sharding, substring_dedup
+from trustloom.llm import (
+    bpe,
+    decontaminate,
+    language,
+    line_dedup,
+    near_dedup,
+    quality,
+    sharding,
+    substring_dedup,
+    topk,
+    warc,
+)
 
-MODULES = (line_dedup, decontaminate, sharding, bpe, substring_dedup, near_dedup)
+MODULES = (
+    line_dedup, decontaminate, sharding, topk, warc, bpe, language, quality, substring_dedup, near_dedup,
+)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
