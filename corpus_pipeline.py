@@ -1,30 +1,76 @@
-"""The corpus pipeline: documents in, tokens of clean, distinct documents out."""
+"""The corpus pipeline: documents in, tokens of good, distinct, uncontaminated documents out.
+
+Each stage takes all documents that the one before it kept, written as Parquet and read again. Rows that a stage keeps
+have the columns of ``documents``; the last stage returns tokens. Null texts have no words, tokens or lines and are
+judged like empty ones; they pass unless the quality stage rejects them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trustloom.llm.bpe import bpe_encode
+from trustloom.llm.decontaminate import decontaminate as find_passages
 from trustloom.llm.line_dedup import line_dedup as drop_boilerplate
+from trustloom.llm.near_dedup import near_duplicates
+from trustloom.llm.quality import fit_on, keep_quality
 from trustloom.llm.rows import table
 from trustloom.session import materialise
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose neighbours are mostly bad ones (a score below 0.3) go."""
+    return keep_quality(docs, fit_on(spark, docs, sf_dir))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of each source go; ``n_chars`` follows."""
-    from pyspark.sql import functions as F
-
     cleaned = drop_boilerplate(docs)
     n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", n_chars).select(docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays. Rows repeated whole (one id, one text) stay
+    once; documents without id stay."""
+    found = near_duplicates(docs)
+    kept = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id")))
+    kept = kept.select("doc_id", "print").distinct()
+    mark = docs.withColumn("print", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = mark["doc_id"].eqNullSafe(kept["doc_id"]) & (mark["print"] == kept["print"])
+    # An id is only there more than once if its rows are repeated; then their order within the copy number is no matter.
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id", "print").agg(F.count("*").alias("n")).where("n > 1")
+    stay = mark.join(kept, same, "left_semi")
+    single = stay.join(repeated, ["doc_id", "print"], "left_anti")
+    once = stay.join(repeated, ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "print"])
+    return single.select(docs.columns).unionByName(once.select(docs.columns))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = find_passages(docs, table(spark, sf_dir, "benchmark"))
+    bad = found.where("contaminated").select("doc_id").distinct()
+    keep = docs["doc_id"].eqNullSafe(bad["doc_id"])
+    return docs.join(bad, keep, "left_anti")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of each remaining document."""
+    return bpe_encode(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "ids")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("encode", encode),
 ]
 
-# The quality stage learns a model and the near-duplicate stage iterates: SQL cannot express them.
+# SQL can express neither the quality stage, which learns a model, nor the tokens.
 ORACLE_SQL = None
 
 
