@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from trustloom.llm.rows import column, packed, table
 from trustloom.llm.words import WHITE_SPACE, small_batches, split_words, window_prints
 
-BATCH_BYTES = 16 << 20
-BUCKET_ENTRIES = 2_000_000
+BATCH_BYTES = 6 << 20
+BUCKET_ENTRIES = 1_000_000
+PART_BYTES = 8 << 20
 LAST = (1 << 63) - 1
-_PACKED = "bucket int, done boolean, ids binary, salts binary, counts binary, gaps binary, prints binary, flags binary"
-_PLACES = "id bigint, salt int, at binary"
+_ENTRIES = "bucket int, done boolean, ids binary, salts binary, counts binary, gaps binary, prints binary, flags binary"
+_PLACES = "part int, ids binary, salts binary, counts binary, gaps binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -48,35 +49,33 @@ class _Docs:
     def doc_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.words.first, places, side="right") - 1
 
+    def rows(self, places: np.ndarray, bucket: np.ndarray, done: bool, prints: list[np.ndarray], flags=None) -> list[dict]:
+        """One packed row per bucket for the entries at ``places`` (in order), with fingerprints and flags."""
+        doc = self.doc_of(places)
+        return [
+            {"bucket": key, "done": done, **packed_places, "prints": b"".join(p[sel].tobytes() for p in prints),
+             "flags": b"" if flags is None else np.packbits(flags[sel]).tobytes()}
+            for key, sel, packed_places in _packed_by(bucket, self.ids, self.salts, doc, places - self.words.first[doc])]
 
-def _rows(docs: _Docs, places: np.ndarray, bucket: np.ndarray, done: bool, prints: list[np.ndarray], flags=None) -> list[dict]:
-    """One packed row per bucket: documents, how many entries each has, gaps between places, fingerprints, flags.
-    ``places`` are in order."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    rows = []
-    for sel in np.split(order, cuts) if len(order) else []:
-        doc = docs.doc_of(places[sel])
-        first = np.flatnonzero(np.r_[True, np.diff(doc) > 0])
-        at = places[sel] - docs.words.first[doc]
-        gaps = np.diff(at, prepend=0)
-        gaps[first] = at[first]
-        rows.append({
-            "bucket": int(bucket[sel[0]]), "done": done, "ids": _planes(docs.ids[doc[first]].astype(np.int64)),
-            "salts": _planes(docs.salts[doc[first]].astype(np.int32)),
-            "counts": _planes(np.diff(np.r_[first, len(sel)]).astype(np.uint32)), "gaps": _planes(gaps.astype(np.uint32)),
-            "prints": b"".join(p[sel].tobytes() for p in prints),
-            "flags": b"" if flags is None else np.packbits(flags[sel]).tobytes()})
-    return rows
 
+def _packed_by(key: np.ndarray, ids: np.ndarray, salts: np.ndarray, doc: np.ndarray, at: np.ndarray):
+    """For each key the entries that have it, and these packed: the documents, how many entries each has, and the gaps
+    between an entry and the one before it in its document. ``doc`` points into ``ids`` and ``salts``."""
+    order = np.argsort(key, kind="stable")
+    for sel in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else []:
+        d = doc[sel]
+        first = np.flatnonzero(np.r_[True, np.diff(d) != 0])
+        gaps = np.diff(at[sel], prepend=0)
+        gaps[first] = at[sel][first]
+        yield int(key[sel[0]]), sel, {
+            "ids": _planes(ids[d[first]].astype(np.int64)), "salts": _planes(salts[d[first]].astype(np.int32)),
+            "counts": _planes(np.diff(np.r_[first, len(sel)]).astype(np.uint32)), "gaps": _planes(gaps.astype(np.uint32))}
 
-_ROW_SCHEMA = pa.schema([("bucket", pa.int32()), ("done", pa.bool_())] + [
-    (c, pa.binary()) for c in ("ids", "salts", "counts", "gaps", "prints", "flags")])
 
-
-def _batches(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=_ROW_SCHEMA)
+def _table(rows: list[dict], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = (f.split() for f in schema.split(", "))
+    return pa.Table.from_pylist(rows, schema=pa.schema([(name, kinds[kind]) for name, kind in fields]))
 
 
 class _Entries:
@@ -89,30 +88,44 @@ class _Entries:
         sums = np.r_[0, np.cumsum(gaps)]
         starts = np.cumsum(self.counts) - self.counts
         self.at = sums[1:] - np.repeat(sums[starts], self.counts)
-        self.prints, self.flags = row["prints"], row["flags"]
-
-    def places(self, chosen: np.ndarray) -> pa.RecordBatch:
-        """Per document the places of its ``chosen`` entries."""
-        doc = np.repeat(np.arange(len(self.counts)), self.counts)[chosen]
-        some, n = np.unique(doc, return_counts=True)
-        data = self.at[chosen].astype(np.uint32).tobytes()
-        offsets = np.r_[0, np.cumsum(n) * 4].astype(np.int32)
-        at = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-        return pa.record_batch([pa.array(self.ids[some]), pa.array(self.salts[some]), at], names=["id", "salt", "at"])
-
-
-def _judged(group: pa.Table, judge) -> pa.Table:
-    """``judge(rows)`` says which entries of a bucket count; entries that are done already count anyway."""
-    rows = group.drop_columns(["bucket"]).to_pylist()
-    open_rows = [r for r in rows if not r["done"]]
-    entries = [_Entries(r) for r in open_rows]
-    out = [e.places(np.ones(len(e.at), dtype=bool)) for e in (_Entries(r) for r in rows if r["done"])]
-    if entries:
-        chosen = judge(entries)
-        cuts = np.cumsum([len(e.at) for e in entries])[:-1]
-        out += [e.places(c) for e, c in zip(entries, np.split(chosen, cuts)) if c.any()]
-    schema = pa.schema([("id", pa.int64()), ("salt", pa.int32()), ("at", pa.binary())])
-    return pa.Table.from_batches(out, schema=schema) if out else schema.empty_table()
+        self.prints, self.flags = row.get("prints"), row.get("flags")
+
+
+def part_of(ids, salts, parts: int):
+    """The part of the documents that one belongs to; copies of one text, and rows without id, are in all parts."""
+    return (ids % parts + salts % parts) % parts
+
+
+def _judged(group: pa.Table, judge, parts: int) -> pa.Table:
+    """The entries of a bucket that count, packed by part: those that ``judge`` says, and those that are done already."""
+    rows = sorted(group.drop_columns(["bucket"]).to_pylist(), key=lambda r: r["done"])
+    entries = [_Entries(r) for r in rows]
+    asked = [e for e, r in zip(entries, rows) if not r["done"]]
+    chosen = np.ones(sum(len(e.at) for e in entries), dtype=bool)
+    if asked:
+        verdict = judge(asked)
+        chosen[: len(verdict)] = verdict
+    ids, salts = (np.concatenate([getattr(e, c) for e in entries]) for c in ("ids", "salts"))
+    doc = np.repeat(np.arange(len(ids)), np.concatenate([e.counts for e in entries]))[chosen]
+    at = np.concatenate([e.at for e in entries])[chosen]
+    part = part_of(ids, salts.astype(np.int64), parts)[doc]
+    return _table([{"part": key, **places} for key, _, places in _packed_by(part, ids, salts, doc, at)], _PLACES)
+
+
+def _places_of(docs: pa.Table, found: pa.Table) -> list[np.ndarray | None]:
+    """For each document the places found in it."""
+    lists: dict[tuple[int, int], list[np.ndarray]] = {}
+    for row in found.select(["ids", "salts", "counts", "gaps"]).to_pylist():
+        e = _Entries(row)
+        ends = np.cumsum(e.counts).tolist()
+        for key, a, b in zip(zip(e.ids.tolist(), e.salts.tolist()), [0, *ends], ends):
+            lists.setdefault(key, []).append(e.at[a:b])
+    joined = {key: np.concatenate(x) for key, x in lists.items()}
+    return [joined.get(key) for key in zip(docs.column("id").to_pylist(), docs.column("salt").to_pylist())]
+
+
+def _one_batch(table: pa.Table) -> pa.RecordBatch:
+    return table.combine_chunks().to_batches()[0]
 
 
 def _groups(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,10 +158,10 @@ def _anchor_entries(window: int, buckets: int):
                 fixed[order[starts]] = flag
             bucket = (print_of % np.uint64(buckets)).astype(np.int32)
             high = (print_of >> np.uint64(32)).astype(np.uint32)
-            yield from _batches(
-                _rows(docs, places[rep], bucket[rep], False, [high[rep]], fixed[rep])
-                # What repeats within the batch is found here and need not be judged.
-                + _rows(docs, places[repeated], np.full(repeated.sum(), batch.num_rows % buckets), True, []))
+            # What repeats within the batch is found here and need not be judged.
+            own = np.full(repeated.sum(), batch.num_rows % buckets)
+            rows = docs.rows(places[rep], bucket[rep], False, [high[rep]], fixed[rep])
+            yield from _table(rows + docs.rows(places[repeated], own, True, []), _ENTRIES).to_batches()
 
     return run
 
@@ -175,33 +188,29 @@ def _covering(first: int, last: int, starts: np.ndarray, before: int, after: int
     return np.cumsum(steps[:n]) > 0
 
 
-def _joined(lists: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(lists), dtype=np.uint32).astype(np.int64) if lists else np.zeros(0, dtype=np.int64)
-
-
 def _window_entries(window: int, buckets: int):
     """Around each hit every window that holds the block, by two fingerprints of its words. Extending hits this way
     reaches the ends of each repeat exactly: a repeat is a run of windows that are equal elsewhere."""
     block = window // 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", BATCH_BYTES):
-            docs = _Docs(batch)
-            chosen = np.zeros(len(docs.words.start), dtype=bool)
-            for i, lists in enumerate(batch.column("at").to_pylist()):
-                first, last = docs.words.first[i], docs.words.first[i + 1] - window + 1
-                if lists and last > first:
-                    chosen[first:last] = _covering(first, last, _joined(lists), window - block, 0)
-            places = np.flatnonzero(chosen)
-            one = window_prints(docs.words.print, window)[places]
-            two = (window_prints(docs.words.print, window, 1)[places] >> np.uint64(32)).astype(np.uint32)
-            ids = docs.ids[docs.doc_of(places)].astype(np.int64)
-            later = _later(one, two, ids)
-            bucket = (one % np.uint64(buckets)).astype(np.int32)
-            yield from _batches(
-                _rows(docs, places[~later], bucket[~later], False, [one[~later], two[~later]])
-                # A smaller id in the same batch settles it.
-                + _rows(docs, places[later], np.full(later.sum(), batch.num_rows % buckets), True, []))
+    def run(part: pa.Table, hits: pa.Table) -> pa.Table:
+        if not part.num_rows or not hits.num_rows:
+            return _table([], _ENTRIES)
+        docs = _Docs(_one_batch(part))
+        chosen = np.zeros(len(docs.words.start), dtype=bool)
+        for i, at in enumerate(_places_of(part, hits)):
+            first, last = docs.words.first[i], docs.words.first[i + 1] - window + 1
+            if at is not None and last > first:
+                chosen[first:last] = _covering(first, last, at, window - block, 0)
+        places = np.flatnonzero(chosen)
+        one = window_prints(docs.words.print, window)[places]
+        two = (window_prints(docs.words.print, window, 1)[places] >> np.uint64(32)).astype(np.uint32)
+        later = _later(one, two, docs.ids[docs.doc_of(places)].astype(np.int64))
+        bucket = (one % np.uint64(buckets)).astype(np.int32)
+        # A smaller id in the same part settles it.
+        own = np.full(later.sum(), part.num_rows % buckets)
+        rows = docs.rows(places[~later], bucket[~later], False, [one[~later], two[~later]])
+        return _table(rows + docs.rows(places[later], own, True, []), _ENTRIES)
 
     return run
 
@@ -224,33 +233,29 @@ def _judge_windows(entries: list[_Entries]) -> np.ndarray:
 
 
 def _cleaned(window: int, digest: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", BATCH_BYTES):
-            docs = _Docs(batch)
-            data, n_removed, kept, spans = docs.words.data.tobytes(), [], [], []
-            for i, lists in enumerate(batch.column("at").to_pylist()):
-                first, last = docs.words.first[i], docs.words.first[i + 1]
-                gone = np.zeros(last - first, dtype=bool)
-                if lists:
-                    gone = _covering(first, last, _joined(lists), 0, window - 1)
-                edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
-                spans.append([{"start": int(a), "size": int(b - a)} for a, b in zip(edges[::2], edges[1::2])])
-                stay = first + np.flatnonzero(~gone)
-                text = b" ".join([data[a:b] for a, b in zip(docs.words.start[stay].tolist(), docs.words.end[stay].tolist())])
-                kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
-                n_removed.append(int(gone.sum()))
-            yield pa.record_batch([
-                batch.column("id"), pa.array(docs.n, pa.int64()), pa.array(n_removed, pa.int64()),
-                pa.array(kept, pa.string()),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())])))],
-                names=["id", "n_words", "n_removed", "kept", "spans"])
+    def run(part: pa.Table, marks: pa.Table) -> pa.Table:
+        docs = _Docs(_one_batch(part))
+        data, n_removed, kept, spans = docs.words.data.tobytes(), [], [], []
+        for i, at in enumerate(_places_of(part, marks)):
+            first, last = docs.words.first[i], docs.words.first[i + 1]
+            gone = np.zeros(last - first, dtype=bool) if at is None else _covering(first, last, at, 0, window - 1)
+            edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
+            spans.append([{"start": int(a), "size": int(b - a)} for a, b in zip(edges[::2], edges[1::2])])
+            stay = first + np.flatnonzero(~gone)
+            text = b" ".join([data[a:b] for a, b in zip(docs.words.start[stay].tolist(), docs.words.end[stay].tolist())])
+            kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
+            n_removed.append(int(gone.sum()))
+        span = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())]))
+        return pa.table({
+            "id": part.column("id"), "n_words": pa.array(docs.n, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
+            "kept": pa.array(kept, pa.string()), "spans": pa.array(spans, span)})
 
     return run
 
 
 def remove_repeats(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", window: int = 50, digest: bool = False,
-    bucket_entries: int = BUCKET_ENTRIES,
+    bucket_entries: int = BUCKET_ENTRIES, part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Per document: ``id``, ``n_words``, ``n_removed``, ``kept`` (the words that stay, joined by one space; with
     ``digest`` its SHA-256) and ``spans`` (start and size, in words, of each run removed).
@@ -267,7 +272,8 @@ def remove_repeats(
 
     Entries travel packed, a row per bucket and batch of documents, about six bytes each. Before that, every batch
     settles what repeats within it, so that a passage which a third of all documents share meets once per batch in its
-    bucket. Buckets hold about ``bucket_entries`` entries however large the input is. Texts are shuffled by id once.
+    bucket. Buckets hold about ``bucket_entries`` entries, and parts of the documents about ``part_bytes`` of text, however
+    large the input is. Texts are shuffled once, to parts; the hits and the repeated windows of a part join them there.
 
     Null and empty texts have no words. A null id comes after all others, and equal ids are not smaller than each other:
     rows repeated whole keep their passages unless a smaller id has them; each row comes back. Documents shorter than a
@@ -279,16 +285,16 @@ def remove_repeats(
         F.coalesce("given", F.lit(LAST)).alias("id"), F.hash("text").alias("salt"), "text")
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-size // (6 * bucket_entries)))
+    parts = max(1, -(-size // part_bytes))
+    part = part_of(F.col("id"), F.pmod(F.col("salt").cast("long"), F.lit(parts)), parts).cast("int")
+    by_part = source.select(part.alias("part"), "id", "salt", "text").groupBy("part")
 
     def met(entries: DataFrame, judge) -> DataFrame:
-        places = entries.groupBy("bucket").applyInArrow(lambda group: _judged(group, judge), _PLACES)
-        return places.groupBy("id", "salt").agg(F.collect_set("at").alias("at"))
-
-    hits = met(source.mapInArrow(_anchor_entries(window, buckets), _PACKED), _judge_anchors)
-    around = source.join(hits, ["id", "salt"]).select("id", "salt", "text", "at")
-    marks = met(around.mapInArrow(_window_entries(window, buckets), _PACKED), _judge_windows)
-    marked = source.join(marks, ["id", "salt"], "left").select("id", "salt", "text", "at")
-    result = marked.mapInArrow(
+        return entries.groupBy("bucket").applyInArrow(lambda group: _judged(group, judge, parts), _PLACES).groupBy("part")
+
+    hits = met(source.mapInArrow(_anchor_entries(window, buckets), _ENTRIES), _judge_anchors)
+    around = by_part.cogroup(hits).applyInArrow(_window_entries(window, buckets), _ENTRIES)
+    result = by_part.cogroup(met(around, _judge_windows)).applyInArrow(
         _cleaned(window, digest),
         "id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start:int,size:int>>")
     given = F.when(F.col("id") != LAST, F.col("id")).alias(id)
