@@ -72,11 +72,10 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _references(pages: DataFrame, least: int) -> DataFrame:
-    """``pages`` with ``refers_to``: the largest key among equal payloads of at least ``least`` bytes, or null for that
-    one itself and for smaller payloads. Only (key, digest) rows are shuffled; the pages with the commonest payloads get
-    theirs by a broadcast, so no payload's pages meet in one task."""
-    size = F.octet_length("payload")
-    light = pages.where((size >= least) & F.col("key").isNotNull()).select("key", F.sha1("payload").alias("digest"))
+    """Rows (key, digest, refers_to) for each page that revisits another: the largest key among equal payloads of at
+    least ``least`` bytes. Payloads stay where they are; the pages with the commonest payloads get their response by a
+    broadcast, so no payload's pages meet in one task."""
+    light = pages.where((F.octet_length("payload") >= least) & F.col("key").isNotNull()).select("key", "digest")
     light = materialise(light, "digests")
     groups = light.groupBy("digest").agg(F.max("key").alias("response"), F.count("*").alias("n")).where("n > 1")
     groups = materialise(groups, "payloads")
@@ -84,27 +83,30 @@ def _references(pages: DataFrame, least: int) -> DataFrame:
     common = light.join(F.broadcast(groups.where(F.col("n") >= often)), "digest")
     rare = light.join(groups.where(F.col("n") < often), "digest")
     revisits = common.unionByName(rare).where(F.col("key") != F.col("response"))
-    revisits = revisits.select("key", "digest", F.col("response").alias("refers_to")).distinct()
-    digest = F.when((size >= least) & F.col("key").isNotNull(), F.sha1("payload"))
-    return pages.withColumn("digest", digest).join(revisits, ["key", "digest"], "left").drop("digest")
+    return revisits.select("key", "digest", F.col("response").alias("refers_to")).distinct()
 
 
 def _members(date: str, level: int):
-    """Each record as a gzip member, with the compressed bytes before it in its partition."""
+    """Each record as a gzip member, with the compressed bytes before it in its partition. A row without payload says
+    what the rows with its key and digest, which follow it, refer to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = 0
+        before, named = 0, (None, None, None)
         for batch in small_batches(batches, "payload"):
-            made, offsets = [], []
-            cols = (batch.column(c).to_pylist() for c in ("key", "uri", "payload", "refers_to"))
-            for key, uri, payload, refers_to in zip(*cols):
-                member = gzip_member(record(key, uri, payload.encode(), refers_to, date), level)
-                offsets.append(before)
+            made = []
+            cols = (batch.column(c).to_pylist() for c in ("part", "key", "digest", "uri", "payload", "refers_to"))
+            for part, key, digest, uri, payload, refers_to in zip(*cols):
+                if payload is None:
+                    named = (key, digest, refers_to)
+                    continue
+                to = named[2] if named[:2] == (key, digest) else None
+                member = gzip_member(record(key, uri, payload.encode(), to, date), level)
+                made.append((part, key, before, member))
                 before += len(member) + len(EMPTY_MEMBER)
-                made.append(member)
+            columns = list(zip(*made)) or [[]] * 4
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.record_batch(
-                [batch.column("part"), batch.column("key"), pa.array(offsets, pa.int64()), pa.array(made, pa.binary())],
-                names=["part", "key", "before", "member"])
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "key", "before", "member"])
 
     return run, "part int, key bigint, before bigint, member binary"
 
@@ -118,7 +120,7 @@ def write_warc(
 
     1. Of equal payloads of at least ``least_revisit`` bytes the one with the largest key is the response, the others
        revisit it.
-    2. Rows are range-partitioned and sorted by key, URI and payload, and each record is compressed by itself.
+    2. Rows are range-partitioned and sorted by key, payload digest and URI, and each record is compressed by itself.
     3. The running compressed size in that order decides the file: a new one begins with the first record after every
        ``roll_bytes``. So files do not depend on how many tasks or machines there were, and a file is no larger than
        ``roll_bytes`` and one record.
@@ -133,10 +135,13 @@ def write_warc(
     rows = packed(pages).select(
         column(id, "row").cast("long").alias("key"), column(uri, "row").alias("uri"),
         F.coalesce(column(payload, "row"), F.lit("")).alias("payload"))
-    order = ["key", "uri", "payload"]
-    sorted_rows = _references(rows, least_revisit).repartitionByRange("key", "uri", F.xxhash64("payload"))
-    sorted_rows = sorted_rows.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    members = materialise(sorted_rows.mapInArrow(*_members(date, level)), "members")
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    # What a page refers to travels as a row of its own to the page's place in the order, so payloads move only once.
+    both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(
+        _references(rows, least_revisit).withColumns({c: F.lit(None).cast("string") for c in ("uri", "payload")}))
+    both = both.repartitionByRange("key", "digest").sortWithinPartitions("key", "digest", F.col("payload").isNotNull(), "uri")
+    members = materialise(
+        both.withColumn("part", F.spark_partition_id()).mapInArrow(*_members(date, level)), "members")
 
     size = (F.length("member") + len(EMPTY_MEMBER)).cast("long")
     parts = members.groupBy("part").agg(F.sum(size).alias("bytes"))
@@ -208,6 +213,22 @@ class _Files:
         self.rename(f"{name}.tmp", name)
 
 
+def _records(content: memoryview, piece: int = 1 << 16) -> Iterator[bytes]:
+    """What each gzip member holds, without the empty ones. The content is fed in pieces, as a member's reader hands back
+    what it was given beyond the member's end."""
+    at = 0
+    while at < len(content):
+        reader, held = zlib.decompressobj(GZIP), []
+        while not reader.eof:
+            if at >= len(content):
+                raise ValueError("a WARC file ends within a record")
+            fed = content[at : at + piece]
+            held.append(reader.decompress(fed))
+            at += len(fed) - len(reader.unused_data)
+        if any(held):
+            yield b"".join(held)
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([
         ("file", pa.string()), ("key", pa.int64()), ("uri", pa.string()), ("payload", pa.string()),
@@ -216,13 +237,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key_of = lambda urn: None if urn in (None, "<urn:page:null>") else int(urn[len("<urn:page:") : -1])
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-            left, rows, held = memoryview(content.as_buffer()), [], 0
-            while len(left):
-                reader = zlib.decompressobj(GZIP)
-                data = reader.decompress(left)
-                left = left[len(left) - len(reader.unused_data) :]
-                if not data:
-                    continue
+            rows, held = [], 0
+            for data in _records(memoryview(content.as_buffer())):
                 headers, block = parse_record(data)
                 digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                 revisit = headers["WARC-Type"] == "revisit"
