@@ -17,7 +17,7 @@ from trustloom.llm.decontaminate import decontaminate as find_passages
 from trustloom.llm.line_dedup import line_dedup as drop_boilerplate
 from trustloom.llm.near_dedup import near_duplicates
 from trustloom.llm.quality import fit_on, keep_quality
-from trustloom.llm.rows import table
+from trustloom.llm.rows import packed, table
 from trustloom.session import materialise
 
 
@@ -34,19 +34,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays. Rows repeated whole (one id, one text) stay
-    once; documents without id stay."""
+    """Of each group of near copies the document with the smallest id stays. Rows with one id and one text are one
+    document and stay once; where no document of a group has an id, one of each text stays. Texts are shuffled once to
+    be compared and once to be kept."""
     found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id")))
-    kept = kept.select("doc_id", "print").distinct()
-    mark = docs.withColumn("print", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = mark["doc_id"].eqNullSafe(kept["doc_id"]) & (mark["print"] == kept["print"])
-    # An id is only there more than once if its rows are repeated; then their order within the copy number is no matter.
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id", "print").agg(F.count("*").alias("n")).where("n > 1")
-    stay = mark.join(kept, same, "left_semi")
-    single = stay.join(repeated, ["doc_id", "print"], "left_anti")
-    once = stay.join(repeated, ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "print"])
-    return single.select(docs.columns).unionByName(once.select(docs.columns))
+    key = [F.coalesce("doc_id", F.lit(-1)).alias("key"), F.col("doc_id").isNull().alias("none"), "print"]
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(*key).distinct()
+    rows = packed(docs).select("row", F.col("row.doc_id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("print"))
+    stay = rows.select("row", *key).join(kept, ["key", "none", "print"], "left_semi")
+    return stay.dropDuplicates(["key", "none", "print"]).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
