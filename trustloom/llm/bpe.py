@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from trustloom.llm.rows import column, packed, table, unpacked
 from trustloom.llm.words import small_batches
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 350_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -183,15 +183,20 @@ def merge_words(words: Iterable[str], vocab: Vocabulary) -> list[list[int]]:
 
 
 class Encoder:
-    """Encodes texts a batch at a time and remembers up to ``CACHE_WORDS`` words: as ids, as decimal ids joined by a
-    blank, and as token strings joined by a blank."""
+    """Encodes texts a batch at a time and remembers up to ``CACHE_WORDS`` words: as the bytes of their ids, or for
+    ``digests`` as number of tokens, decimal ids joined by a blank and token strings joined by a blank."""
 
-    def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
-        self.known: dict[str, tuple[tuple[int, ...], str, str]] = {}
+    def __init__(self, vocab: Vocabulary, digests: bool = False):
+        self.vocab, self.digests = vocab, digests
+        self.known: dict[str, bytes | tuple[int, str, str]] = {}
 
-    def words(self, texts: Iterable[str | None]) -> list[list[str]]:
-        """The words of each text, all of them known afterwards."""
+    def _entry(self, ids: list[int]) -> bytes | tuple[int, str, str]:
+        if self.digests:
+            return len(ids), " ".join(map(str, ids)), " ".join(map(self.vocab.tokens.__getitem__, ids))
+        return np.array(ids, dtype=np.int32).tobytes()
+
+    def entries(self, texts: Iterable[str | None]) -> Iterator[list]:
+        """The entry of each word of each text."""
         cut = [self.vocab.words(t) if t else [] for t in texts]
         new = {w for words in cut for w in words if w not in self.known}
         if len(self.known) + len(new) > CACHE_WORDS:
@@ -200,25 +205,29 @@ class Encoder:
         special = self.vocab.added
         plain = [w for w in new if w not in special]
         for word, ids in zip(plain, merge_words(plain, self.vocab)):
-            self.known[word] = (tuple(ids), " ".join(map(str, ids)), " ".join(map(self.vocab.tokens.__getitem__, ids)))
+            self.known[word] = self._entry(ids)
         for word in new.intersection(special):
-            self.known[word] = ((special[word],), str(special[word]), word)
-        return cut
+            self.known[word] = self._entry([special[word]])
+        known = self.known
+        return ([known[w] for w in words] for words in cut)
+
+    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(words), dtype=np.int32) for words in self.entries(texts)]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The token strings joined by a blank; ids without token are passed over."""
         return " ".join(t for i in ids if (t := self.vocab.tokens.get(i)) is not None)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encoder(definition: str) -> Encoder:
-    """One encoder per Python worker and vocabulary, so that words stay known from batch to batch and task to task."""
-    key = hashlib.sha1(definition.encode()).hexdigest()
+def _encoder(definition: str, digests: bool = False) -> Encoder:
+    """One encoder per Python worker, so that words stay known from batch to batch and task to task."""
+    key = (hashlib.sha1(definition.encode()).hexdigest(), digests)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Vocabulary(definition))
+        _ENCODERS[key] = Encoder(Vocabulary(definition), digests)
     return _ENCODERS[key]
 
 
@@ -234,8 +243,12 @@ def _with_columns(docs: DataFrame, source: str, run, added: list[tuple[str, str]
     rows = packed(docs).select(column(source, "row").alias("text"), F.struct(*unpacked(docs, kept)).alias("row"))
     out = T.StructType([rows.schema["row"], *T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in added)).fields])
 
+    is_text = rows.schema["text"].dataType == T.StringType()
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        # Small pieces, so that no more than the tokens of one are held at a time.
+        pieces = small_batches(parts, "text") if is_text else parts
+        for part in pieces:
             yield pa.RecordBatch.from_arrays([part.column("row"), *run(part)], names=["row", *(n for n, _ in added)])
 
     return rows.mapInArrow(batches, out).select(
@@ -254,21 +267,19 @@ def bpe_encode(docs: DataFrame, *, text: str = "text", path: str | None = None,
     """
     shared = _shared_definition(docs, path or tokenizer_path())
 
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        encoder, n, ids, print_ids, print_text = _encoder(shared.value), [], [], [], []
-        known, sha = encoder.known, lambda x: hashlib.sha256(x.encode()).hexdigest()
-        for part in small_batches([batch.select(["text"])], "text"):
-            for words in encoder.words(part.column(0).to_pylist()):
-                entries = [known[w] for w in words]
-                n.append(sum(len(e[0]) for e in entries))
-                if digests:
-                    print_ids.append(sha(" ".join([e[1] for e in entries])))
-                    print_text.append(sha(" ".join([e[2] for e in entries])))
-                else:
-                    ids.append([i for e in entries for i in e[0]])
-        count = pa.array(n, pa.int64())
-        return [count, pa.array(print_ids, pa.string()), pa.array(print_text, pa.string())] if digests else [
-            pa.array(ids, pa.list_(pa.int32())), count]
+        encoder, values = _encoder(shared.value, digests), batch.column("text").to_pylist()
+        if not digests:
+            ids = encoder.encode(values)
+            return [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())]
+        n, print_ids, print_text = [], [], []
+        for words in encoder.entries(values):
+            n.append(sum([e[0] for e in words]))
+            print_ids.append(sha(" ".join([e[1] for e in words])))
+            print_text.append(sha(" ".join([e[2] for e in words])))
+        return [pa.array(n, pa.int64()), pa.array(print_ids, pa.string()), pa.array(print_text, pa.string())]
 
     digest = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
     return _with_columns(docs, text, run, digest if digests else [("ids", "array<int>"), ("n_tokens", "bigint")])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -116,7 +118,7 @@ def window_prints(prints: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * down[:n])
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text (a longer text alone), to bound what numpy allocates."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -127,3 +129,11 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 <<
             to = max(at + 1, int(np.searchsorted(total, base + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: workers wait for the next one with what they hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
