@@ -254,7 +254,7 @@ def classes_by_loop(rows):
 
     for a in sets:
         for b in sets:
-            if a < b and len(sets[a].keys() & sets[b].keys()) * 2 > max(len(sets[a]), len(sets[b])) and similarity(sets[a], sets[b]) >= 0.8:
+            if a < b and len(sets[a].keys() & sets[b].keys()) * 2 > max(len(sets[a]), len(sets[b])) and similarity(sets[a], sets[b]) >= 0.8 - 1e-9:
                 ra, rb = sorted((find(a), find(b)))
                 parent[rb] = ra
     return {k: find(k) for k in sets}
@@ -329,7 +329,7 @@ def test_languages_and_mixtures(spark):
     new += [(100, mixed, "m"), (101, None, "und"), (102, "", "und"), (103, "12 !!", "und"), (None, "abc", "xx"), (104, "abc " * 30_000, "xx")]
     got = {r.doc_id: r for r in language.identify_languages(frame(spark, new, schema), model).collect()}
     assert all(got[i].lang_pred == lang for i, _, lang in new if lang != "m")
-    assert set(got[100].shares) == {"xx", "zz"} and got[100].shares["xx"] == pytest.approx(0.75, abs=0.06)
+    assert set(got[100].shares) == {"xx", "zz"} and got[100].shares["xx"] == pytest.approx(0.6, abs=0.06)  # by bytes: zz has two a letter
     assert all(0 <= r.score <= 1 for r in got.values()) and got[101].score == 0
     assert language.identify_languages(frame(spark, [], schema), model).count() == 0
     nothing = language.fit_languages(frame(spark, [(1, "abc", None)], schema))

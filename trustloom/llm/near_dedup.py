@@ -16,6 +16,7 @@ from trustloom.session import materialise
 
 BANDS, ROWS = 32, 6  # a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**6)**32 = 0.99994
 SMALL_BUCKET = 4
+ROUNDING = 1e-9  # a similarity of exactly the threshold may come out a little lower
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -222,7 +223,7 @@ def near_duplicates(
         two = shingled.select(F.col("node").alias("b"), F.col("ids").alias("ids_b"), F.col("counts").alias("counts_b"))
         both = pairs.join(one, "a").join(two, "b")
         near = both.mapInArrow(_verified, "a bigint, b bigint, similarity double")
-        return materialise(near.where(F.col("similarity") >= threshold), "links")
+        return materialise(near.where(F.col("similarity") >= threshold - ROUNDING), "links")
 
     links = verify(pairs)
     labels = components(links)
