@@ -1,47 +1,59 @@
-"""Golden rows of the small worked example: six articles, eight sources, seven cases."""
+"""The hybrid verdict on a small invented example, against plain loops."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from sequential import propagate
+from trustloom.functions.constants import STOP_B
 from trustloom.functions.text import clean_b
 from trustloom.operators.graph import citers, nodes_of, source_trust
 from trustloom.operators.naive_bayes import NbModel, nb_fit, nb_score
 from trustloom.plans.hybrid import hybrid
 
 ARTICLES = [
-    ("Millionaire celebrity reveals secret to unlimited wealth", "fake"),
-    ("Scientific study confirms aliens are living among us", "fake"),
-    ("New cure for cancer discovered by lone researcher, big pharma is hiding it", "fake"),
-    ("Local council approves new budget for city parks", "real"),
-    ("Stock market sees slight increase after federal reserve announcement", "real"),
-    ("International trade agreement reached between two nations", "real"),
+    ("Miracle tea melts ten years away overnight", "fake"),
+    ("Secret tunnel under the harbour hides giant robots", "fake"),
+    ("Doctors furious about this miracle harbour trick", "fake"),
+    ("Harbour ferry timetable changes from Monday", "real"),
+    ("School board publishes budget for ten classrooms", "real"),
+    ("Museum extends opening hours during the festival", "real"),
 ]
 EDGES = [
-    ("NewsForYou", "GlobalTruth"), ("GlobalTruth", "HealthWatch"), ("GlobalTruth", "ShadowDispatch"),
-    ("CityTimes", "Reuters"), ("CityTimes", "AssociatedPress"), ("Reuters", "AssociatedPress"),
-    ("Reuters", "CredibleChronicle"), ("AssociatedPress", "Reuters"),
+    ("Hearsay", "Rumour"), ("Rumour", "Whisper"), ("Rumour", "Gossip"), ("Gazette", "Courier"), ("Gazette", "Herald"),
+    ("Courier", "Herald"), ("Courier", "Chronicle"), ("Herald", "Courier"),
 ]
-DECLARED = ["HealthWatch", "CredibleChronicle", "ShadowDispatch"]
-DIRECT = {"Reuters": 0.95, "AssociatedPress": 0.9, "CityTimes": 0.75, "GlobalTruth": 0.1, "NewsForYou": 0.2}
-TRUST = {
-    "AssociatedPress": 0.636046998, "CityTimes": 0.5375, "CredibleChronicle": 0.620218996, "GlobalTruth": 0.40175,
-    "HealthWatch": 0.4164875, "NewsForYou": 0.455, "Reuters": 0.641318757, "ShadowDispatch": 0.4164875,
-}
+DECLARED = ["Whisper", "Chronicle", "Hermit"]
+DIRECT = {"Courier": 0.92, "Herald": 0.81, "Gazette": 0.7, "Rumour": 0.15, "Hearsay": 0.3}
+TRUST = propagate(EDGES, DIRECT, nodes=DECLARED)
 CASES = [
-    ("President gives speech on economic policy", "Reuters", 0.5, 0.457604373, "real"),
-    ("You won't believe what this politician said, shocking secrets revealed", "NewsForYou", 0.5, 0.5135, "fake"),
-    ("Shocking celebrity secret revealed by an unknown insider", "Reuters", 0.8, 0.667604373, "fake"),
-    ("City council meeting agenda for Tuesday was released today", "GlobalTruth", 0.2, 0.319475, "real"),
-    ("Official government report on infrastructure published this morning", "CredibleChronicle", 0.5, 0.463934301,
-     "real"),
-    ("The secret they don't want you to know about the government", "ShadowDispatch", 0.666666667, 0.641720417, "fake"),
-    ("Local weather forecast predicts sun for the weekend", "MyLocalBlog", 0.333333333, 0.383333333, "real"),
+    ("Museum budget published for the festival", "Courier"), ("Miracle robots hide secret trick", "Hearsay"),
+    ("Miracle tea at the harbour", "Courier"), ("School board extends opening hours", "Rumour"), ("Nothing known", "Chronicle"),
+    ("Secret tea tunnel", "Whisper"), ("Ferry timetable for the festival", "Stranger"), ("", "Hermit"),
 ]
 
 
+def words(text):
+    """Cleaner b by plain means: letters only, words of three letters and more that are no stop words."""
+    cleaned = "".join(c for c in text.lower() if c.isalpha() or c == " ")
+    return [w for w in cleaned.split() if len(w) > 2 and w not in STOP_B]
+
+
+COUNTS = {c: Counter(w for text, label in ARTICLES if label == c for w in words(text)) for c in ("fake", "real")}
+VOCABULARY = set(COUNTS["fake"]) | set(COUNTS["real"])
+
+
+def fake_probability(text):
+    """Naive Bayes with smoothing 1 over known words; the classes are equally frequent."""
+    score = {
+        c: sum(math.log((n[w] + 1) / (n.total() + len(VOCABULARY))) for w in words(text) if w in VOCABULARY)
+        for c, n in COUNTS.items()}
+    return 1 / (1 + math.exp(score["real"] - score["fake"]))
+
+
 @pytest.fixture(scope="module")
 def graph(spark):
     return (
@@ -59,12 +71,12 @@ def model(spark):
 
 def test_model_totals(model):
     t = model.totals
-    assert (t.docs_fake, t.docs_real, t.vocab, t.tokens_fake, t.tokens_real) == (3, 3, 41, 21, 21)
+    assert (t.docs_fake, t.docs_real, t.vocab) == (3, 3, len(VOCABULARY))
+    assert (t.tokens_fake, t.tokens_real) == (COUNTS["fake"].total(), COUNTS["real"].total())
 
 
-@pytest.mark.parametrize("split_above,small_edges", [(1_000_000, 1_000_000), (1, 1_000_000), (1, 0)])
-def test_trust(graph, monkeypatch, split_above, small_edges):
-    monkeypatch.setattr("trustloom.operators.graph.SMALL_EDGES", small_edges)
+@pytest.mark.parametrize("split_above", [1_000_000, 1])
+def test_trust(graph, split_above):
     edges, direct, declared = graph
     trust = source_trust(edges, direct, declared=declared, split_above=split_above)
     got = {r.node: r.trust for r in trust.collect()}
@@ -77,11 +89,14 @@ def test_cases(spark, graph, model):
     docs = spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(CASES)], "doc_id int, text string, source string")
     tokens = docs.select("doc_id", "source", clean_b(F.col("text")).alias("tokens"))
     got = hybrid(tokens, model, trust).orderBy("doc_id").collect()
-    for r, (_, source, p, final, verdict) in zip(got, CASES, strict=True):
+    assert {r.verdict for r in got} == {"fake", "real"}
+    for r, (text, source) in zip(got, CASES, strict=True):
+        p, trust = fake_probability(text), TRUST.get(source, 0.5)
+        final = 0.7 * p + 0.3 * (1 - trust)
         assert r.content_fake_score == pytest.approx(p, abs=1e-9)
-        assert r.source_trust_score == pytest.approx(TRUST.get(source, 0.5), abs=1e-9)
+        assert r.source_trust_score == pytest.approx(trust, abs=1e-9)
         assert r.final_fake_score == pytest.approx(final, abs=1e-9)
-        assert r.verdict == verdict
+        assert r.verdict == ("fake" if final > 0.5 else "real")
         assert r.result.asDict() == {c: r[c] for c in r.result.asDict()}
 
 
@@ -105,10 +120,10 @@ def test_nodes_and_citers(graph):
     edges, _, declared = graph
     assert {r.node for r in nodes_of(edges, declared).collect()} == set(TRUST)
     got = {r.node: (r.n_citations, r.n_citers) for r in citers(edges.union(edges.limit(1)), declared).collect()}
-    assert got["Reuters"] == (2, 2) and got["CityTimes"] == (0, 0) and got["GlobalTruth"] == (2, 1)
+    assert got["Courier"] == (2, 2) and got["Gazette"] == (0, 0) and got["Rumour"] == (2, 1)
 
 
-DOCS = [(1, ["secret", "market", "zzz"]), (2, []), (3, ["zzz", "zzz"]), (4, ["city", "celebrity", "city"])]
+DOCS = [(1, ["secret", "budget", "zzz"]), (2, []), (3, ["zzz", "zzz"]), (4, ["museum", "miracle", "museum"])]
 
 
 @pytest.mark.parametrize("unknown", ["count", "skip"])

@@ -88,3 +88,15 @@ def test_bad_parameters_are_refused(spark):
         folded(spark, events(9), {"unit": "hour", "rate": -1.0, "reward": 0.1, "keep": 0.5})
 
 
+
+
+@pytest.mark.parametrize("slice_rows", [1_000_000, 3])
+def test_null_keys_and_missing_times(spark, slice_rows):
+    at = dt.datetime(2025, 1, 1)
+    rows = [(None, at + dt.timedelta(hours=i), i, True) for i in range(8)] + [("a", at, 20, True), ("a", None, 21, True)]
+    events = spark.createDataFrame(rows, "k string, ts timestamp_ntz, seq long, good boolean")
+    now = F.lit("2025-01-01 02:00:00").cast("timestamp_ntz")
+    folded = trust_fold(events, key="k", ts="ts", seq="seq", good=F.col("good"), slice_rows=slice_rows, now=now)
+    filled = [("" if k is None else k, t or at + dt.timedelta(hours=2), s, g) for k, t, s, g in rows]
+    want = fold(filled, unit_seconds=3600, rate=0.1, reward=0.1, keep=0.5)
+    assert {(r.k or "", r.seq): r.trust for r in folded.collect()} == pytest.approx(want)

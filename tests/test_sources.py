@@ -152,6 +152,18 @@ def test_ledger(spark, tmp_path):
     compacted = ledger.compact(str(tmp_path / "compact"))
     assert compacted.history().count() == 2
     assert {(r.entity, r.score) for r in compacted.latest().collect()} == {("a", 7), ("b", 3)}
+    compacted.write(spark.createDataFrame([("c", 4, at, 8, "me"), ("a", 1, at, 9, "me")], SCORES), 0)
+    compacted.write(spark.createDataFrame([("d", 6, at, 8, "me")], SCORES), 0, "other")
+    assert {(r.entity, r.score) for r in compacted.latest().collect()} == {("a", 1), ("b", 3), ("c", 4), ("d", 6)}
+
+
+def test_headers_in_another_order_are_refused(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text("title,text\nT1,X1\n" * 1)
+    (folder / "b.csv").write_text("text,title\nX2,T2\n" * 1)
+    with pytest.raises(Exception, match="(?i)header"):
+        read_labelled(spark, {"real": str(folder)}).collect()
 
 
 def test_small_scans_are_spread(spark, tmp_path):

@@ -111,14 +111,16 @@ def source_event_quarantine(spark, sf_dir):
 
 
 def _submitted(spark, sf_dir):
-    """(doc_id, source_id, text, timestamp, verdict, prediction) of all documents, by a model of the labelled ones."""
+    """(doc_id, source, verdict, prediction) of all documents, by a model of the labelled ones."""
     model = nb_fit(with_tokens(labelled(spark, sf_dir), "a"))
-    return score_texts(documents(spark, sf_dir), model, id_col="doc_id", keep=("source", "text"))
+    return score_texts(documents(spark, sf_dir), model, id_col="doc_id", keep=("source",))
 
 
 def submission_log(spark, sf_dir):
     path = scratch_path(spark, "submissions")
-    scored = _submitted(spark, sf_dir).withColumnRenamed("source", "source_id")
+    # Texts are no grouping key: they come back by id.
+    texts = documents(spark, sf_dir).select("doc_id", "text")
+    scored = _submitted(spark, sf_dir).join(texts, "doc_id").withColumnRenamed("source", "source_id")
     now = F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
     write_events(submission_rows(scored, now=now), path, mode="append")
     log = spark.read.parquet(path)

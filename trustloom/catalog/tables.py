@@ -52,12 +52,17 @@ def citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def direct_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, direct): share of events without error, for the two thirds of users with an own record."""
-    users = table(spark, sf_dir, "events").where(F.col("user_id") % 3 != 0)
+    """(node, direct): share of events without error, for every user with an event."""
+    users = table(spark, sf_dir, "events")
     share = F.avg((F.col("event_type") != "error").cast("double"))
     return users.groupBy(F.col("user_id").alias("node")).agg(share.alias("direct"))
 
 
+def declared_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node): every customer; one without events is in the graph with the default trust."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
+
+
 def named_sources(trust: DataFrame) -> DataFrame:
     """Node numbers as the source names of the documents."""
     return trust.select(F.concat(F.lit("src"), (F.col("node") + 5).cast("string")).alias("node"), "trust")
@@ -188,7 +193,7 @@ EDGES = """edges AS (
 
 DIRECT = """direct AS (
   SELECT user_id AS node, avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END) AS direct
-  FROM events WHERE user_id % 3 <> 0 GROUP BY user_id)"""
+  FROM events GROUP BY user_id)"""
 
 
 def trust_ctes(iterations: int = 10, damping: float = 0.85) -> str:
@@ -197,7 +202,8 @@ def trust_ctes(iterations: int = 10, damping: float = 0.85) -> str:
         EDGES, DIRECT,
         """nodes AS (
   SELECT n.node, coalesce(d.direct, 0.5) AS direct
-  FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) n LEFT JOIN direct d ON n.node = d.node)""",
+  FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges UNION SELECT c_custkey FROM customer) n
+  LEFT JOIN direct d ON n.node = d.node)""",
         "round0 AS MATERIALIZED (SELECT node, direct, direct AS trust FROM nodes)",
     ]
     for i in range(1, iterations + 1):

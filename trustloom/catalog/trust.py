@@ -12,6 +12,7 @@ from trustloom.catalog.tables import (
     article_events,
     behaviour_events,
     citation_edges,
+    declared_nodes,
     direct_trust,
     documents,
     labelled,
@@ -29,6 +30,9 @@ from trustloom.operators.reputation import known_entities, latest, read_scores,
 from trustloom.plans.hybrid import hybrid
 
 
+SELECTED_UP_TO = 12
+
+
 def hourly(spark, sf_dir):
     events = behaviour_events(spark, sf_dir)
     return trust_fold(events, key="user_id", ts="ts", seq="event_id", good=F.col("good"), **VEHICLE)
@@ -53,8 +57,9 @@ def trust_history_daily(spark, sf_dir):
 
 
 def trust_history_selected(spark, sf_dir):
-    chosen = [1, 2, 4, 5, 6, 8, 3, 7]
-    history = trust_history_hourly(spark, sf_dir).where(F.col("user_id").isin(chosen))
+    """Only the events of the chosen users are read and folded."""
+    events = behaviour_events(spark, sf_dir).where(F.col("user_id") <= SELECTED_UP_TO)
+    history = trust_fold(events, key="user_id", ts="ts", seq="event_id", good=F.col("good"), **VEHICLE)
     return history.select("user_id", "ts", "score")
 
 
@@ -96,15 +101,20 @@ def citation_citers(spark, sf_dir):
     return citers(citation_edges(spark, sf_dir))
 
 
+def _trust(spark, sf_dir):
+    declared = declared_nodes(spark, sf_dir)
+    return source_trust(citation_edges(spark, sf_dir), direct_trust(spark, sf_dir), declared=declared)
+
+
 def citation_trust(spark, sf_dir):
-    trust = source_trust(citation_edges(spark, sf_dir), direct_trust(spark, sf_dir))
+    trust = _trust(spark, sf_dir)
     return trust.select("node", F.round("trust", 6).alias("trust"))
 
 
 def hybrid_verdicts(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = nb_fit(with_tokens(labelled(spark, sf_dir), "b"))
-    trust = source_trust(citation_edges(spark, sf_dir), direct_trust(spark, sf_dir))
+    trust = _trust(spark, sf_dir)
     judged = hybrid(with_tokens(docs, "b"), model, named_sources(trust))
     return judged.select(
         "doc_id", "source",
@@ -139,7 +149,7 @@ SELECT k AS user_id, ts, seq AS event_id, round(trust, 6) AS trust, {SCORE} AS s
     "trust_history_daily": f"""{SOURCE_FOLD}
 SELECT k AS source, ts, seq AS doc_id, round(trust, 6) AS trust, {SCORE} AS score FROM folded""",
     "trust_history_selected": f"""{VEHICLE_FOLD}
-SELECT k AS user_id, ts, {SCORE} AS score FROM folded WHERE k IN (1, 2, 3, 4, 5, 6, 7, 8)""",
+SELECT k AS user_id, ts, {SCORE} AS score FROM folded WHERE k <= {SELECTED_UP_TO}""",
     "source_report": f"""{SOURCE_FOLD}
 SELECT k AS source, {SCORE} AS score FROM folded
 QUALIFY row_number() OVER (PARTITION BY k ORDER BY i DESC) = 1 ORDER BY source""",

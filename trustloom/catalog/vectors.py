@@ -125,8 +125,8 @@ def _embedded(spark, sf_dir):
 
 
 def class_prototypes(spark, sf_dir):
-    labelled = _embedded(spark, sf_dir).where(F.col("label").isNotNull())
-    return _rounded_dims(prototypes(labelled, dim=DIM), "label")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("vec"), "label")
+    return _rounded_dims(prototypes(vectors, dim=DIM), "label")
 
 
 def nearest_prototypes(spark, sf_dir):
@@ -223,9 +223,9 @@ pairs AS (
 _BY_CENTER = """SELECT center, count(*) AS n_pairs, CAST(sum(context) AS BIGINT) AS sum_context,
   CAST(sum(context * context_pos) AS BIGINT) AS weighted_context FROM {pairs} GROUP BY center"""
 
-_DRAW = "CAST(CAST('0x' || substr(d, {at}, 8) AS BIGINT) % (SELECT count(*) + 1 FROM vocab) AS BIGINT)"
+_DRAW = "CAST(CAST('0x' || substr(d, {at}, 15) AS BIGINT) % (SELECT count(*) + 1 FROM vocab) AS BIGINT)"
 DRAWS = f"""draws AS (
-  SELECT center_pos, context_pos, {_DRAW.format(at=1)} AS center, {_DRAW.format(at=9)} AS context
+  SELECT center_pos, context_pos, {_DRAW.format(at=1)} AS center, {_DRAW.format(at=16)} AS context
   FROM (SELECT *, md5('42|' || doc_id || '|' || center_pos || '|' || context_pos) AS d FROM pairs))"""
 
 
@@ -310,7 +310,7 @@ SELECT doc_id, label, count(*) AS n_pairs FROM pairs, (SELECT unnest([0, 1]) AS
 SELECT doc_id, n_known, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS dim, round(unnest(vec), 6) + 0.0 AS x
 FROM doc_means""",
     "doc_prototype_verdicts": f"{HELD_OUT_PROTOTYPES}\nSELECT doc_id, label, {_SIMILARITIES} FROM nearest",
-    "class_prototypes": f"""WITH {EMBEDDED}
+    "class_prototypes": f"""WITH protos AS (SELECT label, [{_mean_columns('embedding')}] AS vec FROM embeddings GROUP BY label)
 SELECT label, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS dim, round(unnest(vec), 6) + 0.0 AS x FROM protos""",
     "nearest_prototypes": f"""WITH {EMBEDDED},
 {_near('embedded', 'protos', 'vec_id')}

@@ -74,8 +74,8 @@ def seeded_hash(seed: int, *ids: Column) -> Column:
 
 
 def hash_draw(digest: Column, word: int, bound: Column) -> Column:
-    """A number in [0, bound) from the ``word``-th 8-digit group of a hex digest."""
-    return F.conv(F.substring(digest, 8 * word + 1, 8), 16, 10).cast("bigint") % bound
+    """A number in [0, bound) from the ``word``-th 15-digit group (60 bits) of a hex digest, of which there are two."""
+    return F.conv(F.substring(digest, 15 * word + 1, 15), 16, 10).cast("bigint") % bound
 
 
 def micros(df: DataFrame, ts: str) -> Column:

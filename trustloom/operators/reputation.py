@@ -38,8 +38,9 @@ def _run_starts(keys: pa.Array, carried_key: object, has_carry: bool) -> np.ndar
     starts = np.empty(len(keys), dtype=bool)
     starts[0] = not (has_carry and keys[0].as_py() == carried_key)
     if len(keys) > 1:
-        changed = pc.fill_null(pc.not_equal(keys[1:], keys[:-1]), True)
-        starts[1:] = changed.to_numpy(zero_copy_only=False)
+        both_null = pc.and_(pc.is_null(keys[1:]), pc.is_null(keys[:-1]))
+        same = pc.or_(pc.fill_null(pc.equal(keys[1:], keys[:-1]), False), both_null)
+        starts[1:] = ~same.to_numpy(zero_copy_only=False)
     return starts
 
 
@@ -123,6 +124,15 @@ def _with_prefix(df: DataFrame, key: str, rate_us: float, reward: float, keep: f
     return df.mapInArrow(_fold_batches(key, rate_us, reward, keep), schema)
 
 
+def on_key(left: DataFrame, right: DataFrame, key: str, how: str, *more: str) -> DataFrame:
+    """Join on ``key``, where a null is a key like any other, and on the columns ``more``."""
+    right = right.withColumnsRenamed({key: "_right_key"} | {m: f"_right_{m}" for m in more})
+    same = F.col(key).eqNullSafe(F.col("_right_key"))
+    for m in more:
+        same &= F.col(m) == F.col(f"_right_{m}")
+    return left.join(right, same, how).drop("_right_key", *(f"_right_{m}" for m in more))
+
+
 def _entry(x0: Column, t0: Column, first_us: Column, rate_us: float, start: float) -> Column:
     """Trust on arrival at the first event of a run: decayed from (x0, t0), or the start value for a new key."""
     return F.when(x0.isNull(), F.lit(start)).otherwise(x0 * F.exp(-rate_us * (first_us - t0)))
@@ -142,7 +152,7 @@ def _slice_entries(
     if state is None:
         ends = ends.withColumn("_x0", F.lit(None).cast("double")).withColumn("_t0", F.lit(None).cast("bigint"))
     else:
-        ends = ends.join(state, key, "left")
+        ends = on_key(ends, state, key, "left")
     timeline = Window.partitionBy(key).orderBy("_slice")
     previous_end = F.lag("_last_us").over(timeline)
     ends = ends.withColumn("_prev_us", previous_end).withColumn(
@@ -164,6 +174,10 @@ def _slice_entries(
     )
 
 
+def _shuffle_width(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def trust_fold(
     events: DataFrame,
     *,
@@ -178,19 +192,23 @@ def trust_fold(
     start: float = START_TRUST,
     state: DataFrame | None = None,
     slice_rows: int = 1_000_000,
+    now: Column | None = None,
 ) -> DataFrame:
     """Trust after every event: one row ``(key, ts, seq, good, gap, decay, trust, score)`` per event.
 
     Events of a key are taken in the order of ``(ts, seq)``. The first one starts from ``start`` without decay; later
     ones first decay by exp(-rate * gap). A good event then adds ``reward`` of the distance to 100, a bad one keeps the
     share ``keep``. ``score`` is the trust rounded half to even. ``gap`` (in ``unit``) and ``decay`` are null for the
-    first event. ``state`` holds ``(key, trust, ts)`` of earlier batches, whose events must not be later than these.
+    first event. A null key is a key like any other; a missing time is ``now`` (the time of the query if not given).
+    ``state`` holds ``(key, trust, ts)`` of earlier batches, whose events must not be later than these.
 
     Runs one counting job first, to find the keys that need slicing.
     """
     if not (0 <= reward <= 1 and 0 <= keep <= 1 and rate >= 0):
         raise ValueError("reward and keep must be in [0, 1] and rate must not be negative")
     rate_us = rate / MICROS[unit]
+    now = F.current_timestamp() if now is None else now
+    events = events.withColumn(ts, F.coalesce(F.col(ts), now.cast(events.schema[ts].dataType)))
     steps = events.select(
         key, ts, seq, micros(events, ts).alias("_us"), F.coalesce(good, F.lit(False)).alias("_good")
     )
@@ -204,7 +222,7 @@ def trust_fold(
         hot_keys = materialise(sizes.select(key), "hot-keys")
         if n_hot <= BROADCAST_KEYS:
             hot_keys = F.broadcast(hot_keys)
-        ordinary = steps.join(hot_keys, key, "left_anti")
+        ordinary = on_key(steps, hot_keys, key, "left_anti")
 
     folded = _with_prefix(
         ordinary.repartition(F.col(key)).sortWithinPartitions(key, "_us", seq), key, rate_us, reward, keep
@@ -212,12 +230,14 @@ def trust_fold(
     if state is None:
         folded = folded.withColumn("_x0", F.lit(None).cast("double")).withColumn("_t0", F.lit(None).cast("bigint"))
     else:
-        folded = folded.join(state, key, "left")
+        folded = on_key(folded, state, key, "left")
 
     if n_hot:
-        slices = math.ceil(hot_rows / slice_rows)
+        # A slice costs no memory, so their number may stop at a few for each task that can run.
+        most = 4 * max(_shuffle_width(events), events.sparkSession.sparkContext.defaultParallelism)
+        slices = min(math.ceil(hot_rows / slice_rows), most)
         cut = (
-            steps.join(hot_keys, key, "left_semi")
+            on_key(steps, hot_keys, key, "left_semi")
             .repartitionByRange(slices, key, "_us", seq)
             .sortWithinPartitions(key, "_us", seq)
             .withColumn("_slice", F.spark_partition_id())
@@ -227,7 +247,7 @@ def trust_fold(
         entries = _slice_entries(sliced, key, seq, rate_us, start, state)
         if slices + n_hot <= BROADCAST_KEYS:
             entries = F.broadcast(entries)
-        folded = folded.unionByName(sliced.join(entries, [key, "_slice"]).drop("_slice"))
+        folded = folded.unionByName(on_key(sliced, entries, key, "inner", "_slice").drop("_slice"))
 
     entry = _entry(F.col("_x0"), F.col("_t0"), F.col("_first_us"), rate_us, start)
     gap_us = F.coalesce(F.col("_gap_us"), F.col("_us") - F.col("_t0"))

@@ -14,8 +14,9 @@ from trustloom.functions.constants import MISSING_TEXTS, SOURCE_EVENT_COLUMNS, T
 
 def _records(spark: SparkSession, path: str, mode: str) -> DataFrame:
     """All columns as strings. Quoted fields may hold line breaks, which makes one file one task: many files, or
-    parquet, for large data. Column pruning is off so that a short or long record is seen whatever is selected."""
-    reader = spark.read.option("columnPruning", False)
+    parquet, for large data. A file whose header is not that of the others fails the load, since its columns would be
+    taken by place. Column pruning is off so that a short or long record is seen whatever is selected."""
+    reader = spark.read.option("columnPruning", False).option("enforceSchema", False)
     return reader.csv(path, header=True, multiLine=True, quote='"', escape='"', mode=mode)
 
 
@@ -54,14 +55,14 @@ def _strict(parsed: Column, raw: Column, what: str) -> Column:
 
 
 def read_behaviour(spark: SparkSession, path: str) -> DataFrame:
-    """(timestamp, vehicle_id, behavior, seq): ids stay text, any bad value fails the load. ``seq`` is the file order
+    """(timestamp, vehicle_id, behavior, seq): ids stay text (an empty one too), any bad value fails the load. ``seq`` is the file order
     and settles equal times."""
     rows = _need(_records(spark, path, "FAILFAST"), ("timestamp", "vehicle_id", "behavior"), path)
     stamp = F.to_timestamp_ntz("timestamp", F.lit(TIMESTAMP_FORMAT))
     number = F.trim("behavior").try_cast("int")
     return rows.select(
         _strict(stamp, F.col("timestamp"), "timestamp").alias("timestamp"),
-        "vehicle_id",
+        F.coalesce("vehicle_id", F.lit("")).alias("vehicle_id"),
         _strict(number, F.col("behavior"), "number").alias("behavior"),
         F.monotonically_increasing_id().alias("seq"),
     )
@@ -84,7 +85,7 @@ def read_source_events(
         return none, none.withColumn("reason", F.lit(""))
     _need(header, ("source_id", "prediction"), path)
     schema = ", ".join(f"`{c}` string" for c in [*header.columns, "_record"])
-    rows = spark.read.schema(schema).csv(
+    rows = spark.read.schema(schema).option("enforceSchema", False).csv(
         path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_record"
     )
     for c in ("title", "text"):

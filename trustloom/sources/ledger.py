@@ -1,7 +1,8 @@
 """Score ledger: an append-only table of writes and its latest-per-key view.
 
-Every batch of writes owns one folder and replaces it when it is run again, so a repeated batch changes nothing. Reading
-combines the batches; the newest write per entity wins.
+Every batch of a stream of writes owns one folder and replaces it when it is run again, so a repeated batch changes
+nothing, and streams of different names never touch each other's folders. Reading combines the batches; the newest write
+per entity wins.
 """
 
 from __future__ import annotations
@@ -23,16 +24,18 @@ class Ledger:
     path: str
     owner: str
 
-    def write(self, writes: DataFrame, batch: int) -> None:
-        """Take ``writes`` (entity, score, ts, seq, writer) as batch number ``batch``. Only the owner may write and a
+    def write(self, writes: DataFrame, batch: int, stream: str = "main") -> None:
+        """Take ``writes`` (entity, score, ts, seq, writer) as batch number ``batch`` of ``stream``. Only the owner may write and a
         score is not negative; one row per entity is kept, the newest. Refused rows go to the audit table."""
         rows = writes.select(
             F.col("entity").cast("string"), F.col("score").cast("int"), "ts", F.col("seq").cast("bigint"), "writer"
-        )
+        ).persist()
         allowed = F.coalesce((F.col("writer") == self.owner) & (F.col("score") >= 0), F.lit(False))
         newest = latest(rows.where(allowed), key="entity", order=("ts", "seq"), values=("score", "ts", "seq", "writer"))
-        newest.write.mode("overwrite").parquet(f"{self.path}/accepted/batch={batch}")
-        self._refused(rows, allowed).write.mode("overwrite").parquet(f"{self.path}/refused/batch={batch}")
+        newest.write.mode("overwrite").parquet(f"{self.path}/accepted/stream={stream}/batch={batch}")
+        self._refused(rows, allowed).write.mode("overwrite").parquet(
+            f"{self.path}/refused/stream={stream}/batch={batch}")
+        rows.unpersist()
 
     def _refused(self, rows: DataFrame, allowed: Column) -> DataFrame:
         reason = F.when(F.col("writer").eqNullSafe(F.lit(self.owner)), "score must not be negative").otherwise(
@@ -42,11 +45,11 @@ class Ledger:
 
     def _table(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.path}/{name}")
+            return self.spark.read.schema(f"{schema}, stream string, batch bigint").parquet(f"{self.path}/{name}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], f"{schema}, batch bigint")
+            return self.spark.createDataFrame([], f"{schema}, stream string, batch bigint")
 
     def history(self) -> DataFrame:
         return self._table("accepted", WRITES)
@@ -65,7 +68,8 @@ class Ledger:
         return found.select("entity", F.coalesce("score", F.lit(default)).alias("score"))
 
     def compact(self, into: str) -> Ledger:
-        """A ledger at ``into`` that holds the latest writes as its only batch, to bound the number of files."""
+        """A ledger at ``into`` that holds the latest writes as its only batch, to bound the number of files. That batch
+        comes before all that are written later, from number 0 on."""
         compacted = Ledger(self.spark, into, self.owner)
-        compacted.write(self.latest().withColumn("writer", F.lit(self.owner)), 0)
+        compacted.write(self.latest().withColumn("writer", F.lit(self.owner)), -1, "base")
         return compacted

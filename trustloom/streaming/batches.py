@@ -30,7 +30,16 @@ def get(spark: SparkSession, path: str, schema: str, first: int = 0, before: int
 
 
 def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Start ``step`` on what is available now; a later start goes on from the checkpoint."""
+    """Start ``step`` on what is available now; a later start goes on from the checkpoint. A step reads its batch several
+    times; it is kept meanwhile, so that what stands before it runs once (a lost part is computed again)."""
+
+    def kept(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            step(batch, batch_id)
+        finally:
+            batch.unpersist()
+
     return (
-        stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(kept).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from trustloom.operators.reputation import latest, trust_fold
+from trustloom.operators.reputation import latest, on_key, trust_fold
 from trustloom.streaming.batches import get, put, run_batches
 
 
@@ -40,18 +40,20 @@ def trust_stream(
 
     Inside a batch events are taken by ``(ts, seq)``. An event that is not after the last one folded for its key, in that
     order, is written to /late and never folded: the batch fold over all events is the truth for those. This also
-    keeps an event out that an upstream retry delivers again.
+    keeps an event out that an upstream retry delivers again; one that a batch holds twice is folded once.
     """
     spark = events.sparkSession
     types = dict(events.dtypes)
     state_schema = f"{key} {types[key]}, trust double, ts timestamp_ntz, seq {types[seq]}"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(key, F.col(ts).cast("timestamp_ntz").alias("ts"), F.col(seq).alias("seq"), good.alias("good"))
+        at = F.coalesce(F.col(ts), F.current_timestamp()).cast("timestamp_ntz")
+        rows = batch.select(key, at.alias("ts"), F.col(seq).alias("seq"), good.alias("good"))
+        rows = rows.dropDuplicates([key, "ts", "seq"])
         state = _state(spark, out, state_schema, key, batch_id, full_every)
         if state is not None:
             last = state.select(key, F.struct("ts", "seq").alias("_last"))
-            placed = rows.join(last, key, "left")
+            placed = on_key(rows, last, key, "left")
             is_late = F.coalesce(F.struct("ts", "seq") <= F.col("_last"), F.lit(False))
             put(placed.where(is_late).drop("_last"), f"{out}/late", batch_id)
             rows = placed.where(~is_late).drop("_last")
@@ -59,7 +61,7 @@ def trust_stream(
         history = put(folded, f"{out}/history", batch_id)
         touched = latest(history, key=key, order=("ts", "seq"), values=("trust", "ts", "seq"))
         if state is not None and batch_id % full_every == 0:
-            touched = touched.unionByName(state.join(touched.select(key), key, "left_anti"))
+            touched = touched.unionByName(on_key(state, touched.select(key), key, "left_anti"))
         put(touched, f"{out}/state", batch_id)
 
     return run_batches(events, step, checkpoint)
