@@ -284,6 +284,37 @@ def test_near_duplicates_equal_loop(spark, small_bucket):
     assert all(r.class_size == sizes[r.class_id] for r in got) and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("block", [1_000, 7])
+def test_links_between_nodes_apart_from_their_leader(spark, block):
+    """Chains of edits: ends are far from the middle, which leads the buckets, and linked to each other only."""
+    rnd = random.Random(21)
+    base = [f"w{i}" for i in range(90)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        words = rows[rnd.randrange(max(0, i - 25), i)][1].split()
+        for _ in range(rnd.randrange(1, 4)):
+            words[rnd.randrange(len(words))] = f"n{i}x{rnd.randrange(1000)}"
+        rows.append((i, " ".join(words)))
+    got = near_dedup.near_duplicates(frame(spark, rows, "doc_id long, text string"), block=block, small_bucket=2).collect()
+    assert {r.doc_id: r.class_id for r in got} == classes_by_loop(rows)
+    assert len({r.class_id for r in got}) > 3
+
+
+def test_bounds_are_never_below_the_similarity():
+    rng = np.random.default_rng(22)
+    made = []
+    for n in (40, 40, 40, 400):
+        ids = np.unique(rng.integers(0, 60 if n == 40 else 900, n)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        made.append((np.sort(ids), np.ones(len(ids), dtype=np.uint32)))
+    made += [(ids, rng.integers(1, 4, len(ids)).astype(np.uint32)) for ids, _ in made]
+    cells = [np.bincount((ids >> np.uint64(56)).astype(int), weights=x, minlength=256).astype(np.uint32) for ids, x in made]
+    once = np.array([bool((x == 1).all()) for _, x in made])
+    for (ids, x), sketch, single in zip(made, cells, once):
+        bounds = near_dedup.similarity_bounds(sketch, single, np.array(cells), once)
+        real = [near_dedup.probability_jaccard(ids, x, other, y) for other, y in made]
+        assert (bounds >= np.array(real) - 1e-9).all()
+
+
 def test_near_duplicates_odd_rows(spark):
     docs = odd(spark, texts(12, 10))
     got = near_dedup.near_duplicates(docs).collect()

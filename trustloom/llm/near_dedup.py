@@ -16,6 +16,7 @@ from trustloom.session import materialise
 
 BANDS, ROWS = 32, 6  # a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**6)**32 = 0.99994
 SMALL_BUCKET = 4
+CELL_BITS, BLOCK = 8, 1_000  # a sketch has 1 KB, two blocks of them 2 MB
 ROUNDING = 1e-9  # a similarity of exactly the threshold may come out a little lower
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -124,7 +125,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, used, node) of the buckets that hold several nodes, with their number ``n`` and the ``leader``: the
+    """``rows`` (key, node) of the buckets that hold several nodes, with their number ``n`` and the ``leader``: the
     node that meets most others over all its buckets. In a group of copies that is the one they were made from, or one
     close to it, so that most of the group is linked to it at once. Written."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
@@ -156,24 +157,83 @@ def _labelled(rows: DataFrame, labels: DataFrame, *nodes: str) -> DataFrame:
     return rows
 
 
-def _apart(buckets: DataFrame, labels: DataFrame, small: int) -> DataFrame:
-    """The nodes (key, used, node, leader) of large buckets that are not in their leader's component. Written."""
-    large = buckets.where((F.col("n") > small) & (F.col("node") != F.col("leader")))
-    large = _labelled(large, labels, "node", "leader").where(F.col("node_label") != F.col("leader_label"))
-    return materialise(large.select("key", "used", "node", "leader"), "apart")
+def _mixed(buckets: DataFrame, labels: DataFrame, small: int) -> DataFrame:
+    """The nodes (key, node, label, apart, n, n_apart) of the large buckets that hold nodes ``apart`` from their leader's
+    component. Written."""
+    large = _labelled(buckets.where(F.col("n") > small), labels, "node", "leader").select(
+        "key", "node", F.col("node_label").alias("label"), "n", (F.col("node_label") != F.col("leader_label")).alias("apart"))
+    sums = large.groupBy("key").agg(F.count_if("apart").alias("n_apart")).where(F.col("n_apart") > 0)
+    return materialise(large.join(sums, "key"), "mixed")
 
 
-def _finer(apart: DataFrame) -> DataFrame:
-    """Buckets of the nodes that share two large buckets with different leaders and are apart from both."""
-    other = apart.select("node", F.col("key").alias("key2"), F.col("used").alias("used2"), F.col("leader").alias("leader2"))
-    both = apart.join(other, "node").where(
-        (F.array_max("used") < F.array_max("used2")) & (F.col("leader") != F.col("leader2")))
-    return both.select(F.xxhash64("key", "key2").alias("key"), F.array_union("used", "used2").alias("used"), "node")
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How much weight a node has in each cell of its shingles, and whether all of its shingles occur once."""
+    for batch in batches:
+        ids, counts = batch.column("ids").to_pylist(), batch.column("counts").to_pylist()
+        sketch = [
+            np.bincount(
+                (np.frombuffer(i, dtype=np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int64),
+                weights=np.frombuffer(c, dtype=np.uint32) if c else None, minlength=1 << CELL_BITS,
+            ).astype(np.uint32).tobytes() for i, c in zip(ids, counts)]
+        yield pa.record_batch(
+            [batch.column("node"), pa.array(sketch, pa.binary()), pa.array([not c for c in counts])],
+            names=["node", "sketch", "once"])
+
+
+def similarity_bounds(x: np.ndarray, x_once: bool, y: np.ndarray, y_once: np.ndarray) -> np.ndarray:
+    """An upper bound of the probability Jaccard similarity of a sketch to each row of ``y``.
+
+    Each term of the sum is at most the smaller one of the element's two shares of weight, and these add up to no more
+    than the smaller shares of the cells do. Where all shingles occur once, the similarity is that of plain sets.
+    """
+    n_x, n_y = x.sum(dtype=np.int64), y.sum(axis=1, dtype=np.int64)
+    both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    bounds = both / (n_x + n_y - both)
+    rest = np.flatnonzero(~(x_once & y_once))
+    if len(rest):
+        bounds[rest] = np.minimum(x / n_x, y[rest] / n_y[rest, None]).sum(axis=1)
+    return bounds
+
+
+def _screened(threshold: float):
+    def run(rows: pa.Table) -> pa.Table:
+        node, label, apart, once, probe = (
+            rows.column(c).to_numpy() for c in ("node", "label", "apart", "once", "probe"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint32).reshape(len(node), -1)
+        others = np.flatnonzero(~probe)
+        y, y_once = sketch[others], once[others]
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for i in np.flatnonzero(probe):
+            # Two nodes that are both apart meet twice.
+            new = (label[others] != label[i]) & (~apart[others] | (node[others] > node[i]))
+            near = others[new][similarity_bounds(sketch[i], once[i], y[new], y_once[new]) >= threshold - ROUNDING]
+            a.append(np.minimum(node[near], node[i]))
+            b.append(np.maximum(node[near], node[i]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
+def _screen(mixed: DataFrame, shingled: DataFrame, threshold: float, block: int) -> DataFrame:
+    """The pairs (a, b) of nodes of one bucket, from different components, whose sketches allow a link.
+
+    Within a bucket, blocks of nodes that are apart meet blocks of all its nodes, one pair of blocks at a time. Only
+    pairs that may be links leave a task."""
+    sketches = shingled.select("node", "ids", "counts").mapInArrow(_sketches, "node bigint, sketch binary, once boolean")
+    blocks, probes = (F.ceil(F.col(c) / block).cast("int") for c in ("n", "n_apart"))
+    i, j = F.pmod(F.hash("node"), probes), F.pmod(F.hash("node"), blocks)
+    as_other = F.transform(F.sequence(F.lit(0), probes - 1), lambda k: F.struct(
+        k.alias("i"), j.alias("j"), F.lit(False).alias("probe")))
+    as_probe = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(
+        i.alias("i"), k.alias("j"), F.lit(True).alias("probe")))
+    roles = F.when(F.col("apart"), F.concat(as_other, as_probe)).otherwise(as_other)
+    placed = mixed.join(sketches, "node").select("key", "node", "label", "apart", "once", "sketch", F.inline(roles))
+    return placed.groupBy("key", "i", "j").applyInArrow(_screened(threshold), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8,
-    bands: int = BANDS, rows: int = ROWS, small_bucket: int = SMALL_BUCKET,
+    bands: int = BANDS, rows: int = ROWS, small_bucket: int = SMALL_BUCKET, block: int = BLOCK,
 ) -> DataFrame:
     """Per document: ``id``, ``print`` (xxhash64 of the text, null as empty), ``n_words``, ``class_id`` (the smallest id
     of its class) and ``class_size``.
@@ -185,11 +245,13 @@ def near_duplicates(
     1. Documents with equal words fall together first: one node each, however many copies there are.
     2. ProbMinHash signatures in ``bands`` bands of ``rows`` registers; nodes that share a band share a bucket.
     3. Every pair of a bucket of up to ``small_bucket`` nodes, and the leader of a larger one with all others, is
-       verified on the shingles themselves. So a bucket of g nodes costs about g comparisons. Two nodes that are similar
-       to each other but not to their leader share words that it has not, and so share buckets without it: there they
-       are a small bucket, or have another leader. Where they are apart from that one too, the two buckets together make
-       a finer one, until none is left. Nodes already in one component need no comparison; the classes stay the same.
-    4. Components of the links; class ids go back to all copies.
+       verified on the shingles themselves. That links most of a group of copies at once.
+    4. What is left are pairs of nodes of one large bucket from different components. All of them are screened by an upper
+       bound of their similarity, from counts of their shingles in 2**CELL_BITS cells; those that may be links are
+       verified. So no pair that shares a band goes unjudged, except between nodes already in one component, where a link
+       changes nothing. The screening compares blocks of at most about ``block`` nodes: only arithmetic, and that only for
+       nodes apart from their bucket's leader, grows with more than the size of a bucket.
+    5. Components of all links; class ids go back to all copies.
 
     Signatures, nodes and links are written tables; nothing of them passes the driver but counts. Documents without
     words (null, empty, no letter or digit) are classes of their own. Rows repeated whole are copies of each other; each
@@ -209,7 +271,7 @@ def near_duplicates(
     nodes = nodes.withColumn("node", F.when(F.col("lo") == F.col("hi"), F.col("node")).otherwise(clash))
     nodes = materialise(nodes.select("node", "rep", "bands"), "nodes")
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    buckets = _buckets(keyed.select(F.xxhash64("band", "value").alias("key"), F.array("band").alias("used"), "node"))
+    buckets = _buckets(keyed.select(F.xxhash64("band", "value").alias("key"), "node"))
     pairs = materialise(_pairs(buckets, small_bucket), "pairs")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = ends.join(nodes, "node").select("node", "rep.id", "rep.print")
@@ -227,15 +289,10 @@ def near_duplicates(
 
     links = verify(pairs)
     labels = components(links)
-    apart = _apart(buckets, labels, small_bucket)
-    while apart.limit(1).count():
-        buckets = _buckets(_finer(apart))
-        pairs = _labelled(_pairs(buckets, small_bucket), labels, "a", "b").where(F.col("a_label") != F.col("b_label"))
-        more = verify(materialise(pairs.select("a", "b"), "pairs"))
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = components(links)
-        apart = _apart(buckets, labels, small_bucket)
+    mixed = _mixed(buckets, labels, small_bucket)
+    more = verify(materialise(_screen(mixed, shingled, threshold, block), "pairs"))
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
 
     member = signed.join(labels, "node", "left")
     member = member.withColumn("label", F.when(F.col("n_words") > 0, F.coalesce("label", "node")))
