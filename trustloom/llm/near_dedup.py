@@ -16,7 +16,7 @@ from trustloom.session import materialise
 
 BANDS, ROWS = 32, 6  # a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**6)**32 = 0.99994
 SMALL_BUCKET = 4
-CELL_BITS, BLOCK = 8, 1_000  # a sketch has 1 KB, two blocks of them 2 MB
+CELL_BITS, BLOCK = 10, 1_000  # a sketch has 4 KB, two blocks of them 8 MB
 ROUNDING = 1e-9  # a similarity of exactly the threshold may come out a little lower
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
