@@ -125,7 +125,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, node) of the buckets that hold several nodes, with their number ``n`` and the ``leader``: the
+    """``rows`` (key, band, node) of the buckets that hold several nodes, with their number ``n`` and the ``leader``: the
     node that meets most others over all its buckets. In a group of copies that is the one they were made from, or one
     close to it, so that most of the group is linked to it at once. Written."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
@@ -158,10 +158,10 @@ def _labelled(rows: DataFrame, labels: DataFrame, *nodes: str) -> DataFrame:
 
 
 def _mixed(buckets: DataFrame, labels: DataFrame, small: int) -> DataFrame:
-    """The nodes (key, node, label, apart, n, n_apart) of the large buckets that hold nodes ``apart`` from their leader's
+    """The nodes (key, band, node, label, apart, n, n_apart) of the large buckets that hold nodes ``apart`` from their leader's
     component. Written."""
     large = _labelled(buckets.where(F.col("n") > small), labels, "node", "leader").select(
-        "key", "node", F.col("node_label").alias("label"), "n", (F.col("node_label") != F.col("leader_label")).alias("apart"))
+        "key", "band", "node", F.col("node_label").alias("label"), "n", (F.col("node_label") != F.col("leader_label")).alias("apart"))
     sums = large.groupBy("key").agg(F.count_if("apart").alias("n_apart")).where(F.col("n_apart") > 0)
     return materialise(large.join(sums, "key"), "mixed")
 
@@ -200,6 +200,8 @@ def _screened(threshold: float):
         node, label, apart, once, probe = (
             rows.column(c).to_numpy() for c in ("node", "label", "apart", "once", "probe"))
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint32).reshape(len(node), -1)
+        bands = np.array(rows.column("bands").to_pylist())
+        band = rows.column("band")[0].as_py()
         others = np.flatnonzero(~probe)
         y, y_once = sketch[others], once[others]
         a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
@@ -207,6 +209,8 @@ def _screened(threshold: float):
             # Two nodes that are both apart meet twice.
             new = (label[others] != label[i]) & (~apart[others] | (node[others] > node[i]))
             near = others[new][similarity_bounds(sketch[i], once[i], y[new], y_once[new]) >= threshold - ROUNDING]
+            # A pair that shares several bands is taken in the first of them.
+            near = near[(bands[near] == bands[i]).argmax(axis=1) == band]
             a.append(np.minimum(node[near], node[i]))
             b.append(np.maximum(node[near], node[i]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -214,7 +218,7 @@ def _screened(threshold: float):
     return run
 
 
-def _screen(mixed: DataFrame, shingled: DataFrame, threshold: float, block: int) -> DataFrame:
+def _screen(mixed: DataFrame, nodes: DataFrame, shingled: DataFrame, threshold: float, block: int) -> DataFrame:
     """The pairs (a, b) of nodes of one bucket, from different components, whose sketches allow a link.
 
     Within a bucket, blocks of nodes that are apart meet blocks of all its nodes, one pair of blocks at a time. Only
@@ -227,7 +231,8 @@ def _screen(mixed: DataFrame, shingled: DataFrame, threshold: float, block: int)
     as_probe = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(
         i.alias("i"), k.alias("j"), F.lit(True).alias("probe")))
     roles = F.when(F.col("apart"), F.concat(as_other, as_probe)).otherwise(as_other)
-    placed = mixed.join(sketches, "node").select("key", "node", "label", "apart", "once", "sketch", F.inline(roles))
+    placed = mixed.join(sketches, "node").join(nodes.select("node", "bands"), "node").select(
+        "key", "band", "node", "label", "apart", "once", "sketch", "bands", F.inline(roles))
     return placed.groupBy("key", "i", "j").applyInArrow(_screened(threshold), "a bigint, b bigint").distinct()
 
 
@@ -271,7 +276,7 @@ def near_duplicates(
     nodes = nodes.withColumn("node", F.when(F.col("lo") == F.col("hi"), F.col("node")).otherwise(clash))
     nodes = materialise(nodes.select("node", "rep", "bands"), "nodes")
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    buckets = _buckets(keyed.select(F.xxhash64("band", "value").alias("key"), "node"))
+    buckets = _buckets(keyed.select(F.xxhash64("band", "value").alias("key"), "band", "node"))
     pairs = materialise(_pairs(buckets, small_bucket), "pairs")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = ends.join(nodes, "node").select("node", "rep.id", "rep.print")
@@ -290,7 +295,7 @@ def near_duplicates(
     links = verify(pairs)
     labels = components(links)
     mixed = _mixed(buckets, labels, small_bucket)
-    more = verify(materialise(_screen(mixed, shingled, threshold, block), "pairs"))
+    more = verify(materialise(_screen(mixed, nodes, shingled, threshold, block), "pairs"))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
