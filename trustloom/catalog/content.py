@@ -27,6 +27,7 @@ from trustloom.operators.metrics import evaluate
 from trustloom.operators.naive_bayes import nb_fit, nb_fit_weighted, nb_score, nb_score_weighted, term_counts
 from trustloom.operators.split import split_prefix, split_stratified
 from trustloom.operators.tfidf import document_frequency, tfidf_fit, tfidf_transform
+from trustloom.session import materialise
 
 
 def _clean_tokens(cleaner):
@@ -88,14 +89,14 @@ def sides(folded: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(folded.where(F.col("fold") == side).drop("fold") for side in ("train", "test"))
 
 
-def held_out_a(spark, sf_dir):
-    """Cleaner a, 80/20 cut, unknown words counted."""
-    train, test = sides(with_tokens(prefix_fold(spark, sf_dir), "a"))
+def held_out_a(folded):
+    """Cleaner a, unknown words counted."""
+    train, test = sides(with_tokens(folded, "a"))
     return nb_score(test, nb_fit(train), keep=("label",))
 
 
 def nb_scores(spark, sf_dir):
-    scored = held_out_a(spark, sf_dir)
+    scored = held_out_a(prefix_fold(spark, sf_dir))
     return scored.select(
         "doc_id", "label", F.round("s_fake", 4).alias("s_fake"), F.round("s_real", 4).alias("s_real"), "verdict"
     )
@@ -115,7 +116,7 @@ def rounded_metrics(metrics: DataFrame) -> DataFrame:
 
 
 def nb_metrics(spark, sf_dir):
-    return rounded_metrics(evaluate(held_out_a(spark, sf_dir)))
+    return rounded_metrics(evaluate(held_out_a(prefix_fold(spark, sf_dir))))
 
 
 def prediction_flags(spark, sf_dir):
@@ -144,31 +145,30 @@ def lemmatised_tokens(spark, sf_dir):
     return based.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
-def held_out_lemmas(spark, sf_dir):
-    """Cleaner c with lemmas, stratified 75/25, unknown words counted."""
+def base_sides(spark, sf_dir):
+    """Cleaner c with lemmas, stratified 75/25: texts are read and cleaned twice, for the lemmas and for the written
+    tokens, however many models use them."""
     folded = with_tokens(stratified_fold(spark, sf_dir), "c")
-    train, test = sides(folded)
-    base = _lemmas(spark, sf_dir, folded)
-    model = nb_fit(lemmatise(train, base, keep=("label",)), class_docs=train)
-    return nb_score(lemmatise(test, base, keep=("label",)), model, keep=("label",))
+    based = lemmatise(folded, _lemmas(spark, sf_dir, folded), keep=("label", "fold"))
+    return sides(materialise(based, "base-tokens"))
 
 
-def nb_lemma_verdicts(spark, sf_dir):
-    return held_out_lemmas(spark, sf_dir).select("doc_id", "label", "verdict")
+def held_out_lemmas(train, test):
+    """Naive Bayes on base forms, unknown words counted."""
+    return nb_score(test, nb_fit(train), keep=("label",))
 
 
-def plain_sides(spark, sf_dir):
-    """Cleaner c without lemmas, stratified 75/25."""
-    return sides(with_tokens(stratified_fold(spark, sf_dir), "c"))
+def nb_lemma_verdicts(spark, sf_dir):
+    return held_out_lemmas(*base_sides(spark, sf_dir)).select("doc_id", "label", "verdict")
 
 
 def doc_freq(spark, sf_dir):
-    train, _ = plain_sides(spark, sf_dir)
+    train, _ = base_sides(spark, sf_dir)
     return document_frequency(train, train.count())
 
 
 def tfidf_weights(spark, sf_dir):
-    train, test = plain_sides(spark, sf_dir)
+    train, test = base_sides(spark, sf_dir)
     weights = tfidf_transform(test, tfidf_fit(train))
     return weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
@@ -180,14 +180,14 @@ def held_out_tfidf_nb(train, test):
 
 
 def tfidf_nb_scores(spark, sf_dir):
-    scored = held_out_tfidf_nb(*plain_sides(spark, sf_dir))
+    scored = held_out_tfidf_nb(*base_sides(spark, sf_dir))
     return scored.select(
         "doc_id", "label", F.round("s_fake", 4).alias("s_fake"), F.round("s_real", 4).alias("s_real"), "verdict"
     )
 
 
 def tfidf_nb_metrics(spark, sf_dir):
-    return rounded_metrics(evaluate(held_out_tfidf_nb(*plain_sides(spark, sf_dir))))
+    return rounded_metrics(evaluate(held_out_tfidf_nb(*base_sides(spark, sf_dir))))
 
 
 def held_out_logistic(train, test):
@@ -199,7 +199,7 @@ def held_out_logistic(train, test):
 
 
 def logistic_scores(spark, sf_dir):
-    scored = held_out_logistic(*plain_sides(spark, sf_dir))
+    scored = held_out_logistic(*base_sides(spark, sf_dir))
     return scored.select("doc_id", "label", F.round("p_fake", 4).alias("p_fake"), "verdict")
 
 
@@ -268,7 +268,13 @@ def grams(words: str) -> str:
     )
 
 
-TFIDF = f"""token_lists AS (SELECT doc_id, label, fold, {tokens_sql('c')} AS toks FROM folded),
+BASED = f"""{lemmatised_ctes('labelled')},
+based AS MATERIALIZED (
+  SELECT f.doc_id, f.label, f.fold, coalesce(r.tokens, []) AS tokens
+  FROM folded f LEFT JOIN regrouped r ON f.doc_id = r.doc_id)"""
+
+TFIDF = f"""{BASED},
+token_lists AS (SELECT doc_id, label, fold, tokens AS toks FROM based),
 gram_rows AS MATERIALIZED (SELECT doc_id, label, fold, unnest({grams('toks')}) AS term FROM token_lists),
 train_docs AS (SELECT doc_id, label FROM folded WHERE fold = 'train'),
 test_docs AS (SELECT doc_id, label FROM folded WHERE fold = 'test'),
@@ -305,19 +311,22 @@ scores AS (
 
 _SCORES = "SELECT doc_id, label, round(s_fake, 4) AS s_fake, round(s_real, 4) AS s_real, verdict FROM scores"
 
-HELD_OUT_A = f"""WITH {LABELLED},
-{PREFIX_FOLD},
+
+
+def held_out_a_sql(fold: str) -> str:
+    return f"""WITH {LABELLED},
+{fold},
 train AS (SELECT * FROM folded WHERE fold = 'train'),
 test AS (SELECT * FROM folded WHERE fold = 'test'),
 {nb_ctes('train', 'a')},
 {nb_score_ctes('test', 'a', 'count', 'label')}"""
 
+
+HELD_OUT_A = held_out_a_sql(PREFIX_FOLD)
+
 HELD_OUT_LEMMAS = f"""WITH {LABELLED},
 {STRATIFIED_FOLD},
-{lemmatised_ctes('labelled')},
-based AS (
-  SELECT f.doc_id, f.label, f.fold, coalesce(r.tokens, []) AS tokens
-  FROM folded f LEFT JOIN regrouped r ON f.doc_id = r.doc_id),
+{BASED},
 train AS (SELECT * FROM based WHERE fold = 'train'),
 test AS (SELECT * FROM based WHERE fold = 'test'),
 {nb_ctes('train', None)},

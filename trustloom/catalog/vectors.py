@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trustloom.catalog.content import (
-    HELD_OUT_A,
+    BASED,
     HELD_OUT_LEMMAS,
     TFIDF_NB,
+    base_sides,
     held_out_a,
+    held_out_a_sql,
     held_out_lemmas,
     held_out_logistic,
     held_out_tfidf_nb,
-    plain_sides,
     rounded_metrics,
+    stratified_fold,
 )
 from trustloom.catalog.tables import (
     LABELLED,
@@ -113,7 +115,7 @@ def held_out_prototypes(spark, sf_dir, train, test):
 
 
 def doc_prototype_verdicts(spark, sf_dir):
-    judged = held_out_prototypes(spark, sf_dir, *plain_sides(spark, sf_dir))
+    judged = held_out_prototypes(spark, sf_dir, *base_sides(spark, sf_dir))
     return judged.select(
         "doc_id", "label", F.round("sim_fake", 6).alias("sim_fake"), F.round("sim_real", 6).alias("sim_real"), "verdict"
     )
@@ -148,7 +150,7 @@ def neighbour_cosine(spark, sf_dir):
 
 def trained_prototype_verdicts(spark, sf_dir):
     """Prototypes on vectors trained from the train side: no SQL, since training is iterative."""
-    return _held_out_word2vec(*plain_sides(spark, sf_dir)).select("doc_id", "label", "verdict")
+    return _held_out_word2vec(*base_sides(spark, sf_dir)).select("doc_id", "label", "verdict")
 
 
 def _held_out_word2vec(train, test, dim=50):
@@ -162,10 +164,11 @@ def _judged(df):
 
 
 def model_comparison(spark, sf_dir):
-    train, test = plain_sides(spark, sf_dir)
+    """All models on the same held-out documents."""
+    train, test = base_sides(spark, sf_dir)
     rows = compare({
-        "naive bayes a": _judged(held_out_a(spark, sf_dir)),
-        "naive bayes lemmas": _judged(held_out_lemmas(spark, sf_dir)),
+        "naive bayes a": _judged(held_out_a(stratified_fold(spark, sf_dir))),
+        "naive bayes lemmas": _judged(held_out_lemmas(train, test)),
         "tf-idf naive bayes": _judged(held_out_tfidf_nb(train, test)),
         "prototypes": _judged(held_out_prototypes(spark, sf_dir, train, test)),
     })
@@ -174,7 +177,7 @@ def model_comparison(spark, sf_dir):
 
 def trained_model_comparison(spark, sf_dir):
     """The models whose fit is iterative: no SQL."""
-    train, test = plain_sides(spark, sf_dir)
+    train, test = base_sides(spark, sf_dir)
     rows = compare({
         "tf-idf logistic regression": _judged(held_out_logistic(train, test)),
         "word vectors": _judged(_held_out_word2vec(train, test)),
@@ -203,10 +206,10 @@ QUERIES = {
 # --- SQL -------------------------------------------------------------------------------------------------------------
 
 
-def vocab_cte(docs: str) -> str:
+def vocab_cte(docs: str, tokens: str = tokens_sql("c")) -> str:
     return f"""vocab AS MATERIALIZED (
   SELECT w, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, md5(w)) AS id
-  FROM (SELECT unnest({tokens_sql('c')}) AS w FROM {docs}) GROUP BY w HAVING count(*) >= 2)"""
+  FROM (SELECT unnest({tokens}) AS w FROM {docs}) GROUP BY w HAVING count(*) >= 2)"""
 
 
 SEQUENCES = f"""{vocab_cte('documents')},
@@ -238,15 +241,15 @@ def _mean_columns(vec: str) -> str:
     return ", ".join(f"avg({vec}[{i}])" for i in range(1, DIM + 1))
 
 
-def doc_vector_ctes(docs: str, train: str) -> str:
+def doc_vector_ctes(docs: str, train: str, tokens: str = tokens_sql("c")) -> str:
     """CTE ``doc_means(doc_id, n_known, vec)`` of ``docs`` with words from ``train``."""
-    return f"""{vocab_cte(train)},
+    return f"""{vocab_cte(train, tokens)},
 vectors AS MATERIALIZED (
   SELECT v.w, CAST(e.embedding AS DOUBLE[]) AS vec
   FROM vocab v JOIN embeddings e ON e.vec_id = v.id % (SELECT count(*) FROM embeddings)),
 known_means AS (
   SELECT doc_id, count(*) AS n_known, [{_mean_columns('vec')}] AS vec
-  FROM (SELECT doc_id, unnest({tokens_sql('c')}) AS w FROM {docs}) JOIN vectors USING (w) GROUP BY doc_id),
+  FROM (SELECT doc_id, unnest({tokens}) AS w FROM {docs}) JOIN vectors USING (w) GROUP BY doc_id),
 doc_means AS (
   SELECT d.doc_id, coalesce(k.n_known, 0) AS n_known,
     coalesce(k.vec, list_transform(range({DIM}), lambda i: CAST(0 AS DOUBLE))) AS vec
@@ -269,8 +272,9 @@ nearest AS (SELECT *, CASE WHEN sim_fake > sim_real THEN 'fake' ELSE 'real' END
 
 HELD_OUT_PROTOTYPES = f"""WITH {LABELLED},
 {STRATIFIED_FOLD},
-train AS (SELECT * FROM folded WHERE fold = 'train'),
-{doc_vector_ctes('folded', 'train')},
+{BASED},
+train AS (SELECT * FROM based WHERE fold = 'train'),
+{doc_vector_ctes('based', 'train', 'tokens')},
 sided AS (SELECT f.doc_id, f.label, f.fold, m.vec FROM folded f JOIN doc_means m ON f.doc_id = m.doc_id),
 protos AS (
   SELECT label, [{_mean_columns('vec')}] AS vec FROM sided
@@ -320,7 +324,7 @@ SELECT a.vec_id, round({_cosine('a.vec', 'b.vec')}, 6) + 0.0 AS similarity FROM
     "model_comparison": "\nUNION ALL\n".join(
         f"SELECT '{name}' AS model, * FROM ({ctes}\n{metrics_sql(predictions)})"
         for name, ctes, predictions in (
-            ("naive bayes a", HELD_OUT_A, "scores"),
+            ("naive bayes a", held_out_a_sql(STRATIFIED_FOLD), "scores"),
             ("naive bayes lemmas", HELD_OUT_LEMMAS, "scores"),
             ("tf-idf naive bayes", TFIDF_NB, "scores"),
             ("prototypes", HELD_OUT_PROTOTYPES, "nearest"),
