@@ -145,6 +145,27 @@ def test_lemmas(spark, docs):
         assert got == {1: ["cat", "unknowns", "cat", "city"], 2: [], 3: ["goose"]}
 
 
+@pytest.mark.parametrize("default", [None, "?"])
+def test_words_replaced_in_place(spark, default):
+    rows = [(1, ["a", "x", None, "a"]), (1, ["b"]), (2, []), (3, None), (None, ["x"])]
+    docs = spark.createDataFrame(rows, "doc_id int, tokens array<string>")
+    for known in ({"a": "A", "b": "B"}, {}):
+        table = spark.createDataFrame(list(known.items()), "w string, v string")
+        found = lookup.replaced(docs, table, ["doc_id"], "tokens", key="w", value="v", name="new", default=default)
+        want = [(i, [known.get(w, w if default is None else default) for w in ws or []]) for i, ws in rows]
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+
+
+def test_what_a_task_may_hold(spark):
+    table = spark.createDataFrame([("ab", 1), ("cd", 2)], "w string, id int")
+    assert lookup.fits(table, "w", "id", hot_rows=2, hot_bytes=6)
+    assert not lookup.fits(table, "w", "id", hot_rows=1)
+    assert not lookup.fits(table, "w", "id", hot_bytes=5)
+    assert lookup.fits(table.limit(0), "w", "id", hot_rows=0, hot_bytes=0)
+
+
 def grams(words):
     return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
 

@@ -7,10 +7,17 @@ up nearly all occurrences. That head is broadcast; only occurrences it does not
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 HOT_ROWS = 200_000
+HOT_BYTES = 32 << 20
 
 Parts = tuple[DataFrame, DataFrame | None]
 
@@ -57,3 +64,36 @@ def bounded(table: DataFrame, rows: int, max_rows: int = HOT_ROWS) -> DataFrame:
     """``table``, known to have ``rows`` rows, marked for broadcast if these are at most ``max_rows``. A larger one is
     joined by shuffle, where adaptive execution splits heavy keys."""
     return F.broadcast(table) if rows <= max_rows else table
+
+
+def fits(table: DataFrame, *columns: str, hot_rows: int = HOT_ROWS, hot_bytes: int = HOT_BYTES) -> bool:
+    """Whether a written table is small enough to be held by every task, in rows and in bytes."""
+    size = sum((F.octet_length(F.col(c).cast("string")) for c in columns), F.lit(0))
+    found = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return found.n <= hot_rows and found.bytes <= hot_bytes
+
+
+def replaced(
+    docs: DataFrame, table: DataFrame, ids: list[str], words: str, *, key: str, value: str, name: str,
+    default: int | str | None = None,
+) -> DataFrame:
+    """(ids.., name): each word of the list ``words`` replaced in place by its ``value``. Words that ``table`` lacks become
+    ``default``, or stay if there is none. No list is an empty one. Nothing is shuffled; ``table`` must be one that
+    ``fits``."""
+    entries = table.select(key, value).toArrow().combine_chunks()
+    shared = docs.sparkSession.sparkContext.broadcast(entries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = (shared.value.column(c).combine_chunks() for c in (key, value))
+        for batch in batches:
+            lists = batch.column(len(ids))
+            flat = lists.flatten()
+            met = values.take(pc.index_in(flat, value_set=keys))
+            met = pc.coalesce(met, flat) if default is None else pc.fill_null(met, default)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            offsets = pa.array(np.r_[0, ends], pa.int32())
+            yield pa.record_batch(
+                [*batch.columns[: len(ids)], pa.ListArray.from_arrays(offsets, met)], names=[*ids, name])
+
+    schema = StructType([*docs.select(*ids).schema]).add(name, ArrayType(table.schema[value].dataType))
+    return docs.select(*ids, words).mapInArrow(run, schema)
