@@ -25,10 +25,12 @@ def word_vectors(
     min_count: int = 2,
     epochs: int = 3,
     seed: int = 42,
-    partitions: int = 8,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """(w, id, vec): skip-gram vectors trained by Spark ML, with the ids of ``vocab``; written. ML keeps vocabulary times ``dim``
+    """(w, id, vec): skip-gram vectors trained by Spark ML, with the ids of ``vocab``; written. ``partitions`` are trained
+    side by side and averaged after each epoch; as many as there are cores unless given. ML keeps vocabulary times ``dim``
     floats on the driver, so raise ``min_count`` with the corpus."""
+    partitions = partitions or docs.sparkSession.sparkContext.defaultParallelism
     trainer = Word2Vec(
         vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=partitions,
         maxSentenceLength=1_000_000, inputCol=tokens_col, outputCol="_unused",
