@@ -27,8 +27,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source go; ``n_chars`` follows."""
-    cleaned = drop_boilerplate(docs)
+    """Boilerplate lines of each source go; ``n_chars`` follows. Copies are one page, or a large group of them would lose
+    all its lines before ``near_dedup`` can keep one."""
+    cleaned = drop_boilerplate(docs, distinct_pages=True)
     n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", n_chars).select(docs.columns)
 

@@ -206,3 +206,17 @@ def test_pipeline_odd_rows(spark):
             assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 2, 3, 4]
         elif name != "quality":
             assert got.count() == docs.count()
+
+
+def test_pipeline_keeps_one_of_many_copies(spark):
+    rnd = random.Random(23)
+    page = lambda i: "\n".join(f"line {i} {j} " + " ".join(f"w{rnd.randrange(5_000)}" for _ in range(12)) for j in range(5))
+    copied = page("copy")
+    rows = [(i, copied, "en", "s", len(copied)) for i in range(20)]
+    rows += [(100 + i, t, "en", "s", len(t)) for i, t in enumerate(f"menu\n{page(i)}" for i in range(40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cleaned = corpus_pipeline.line_dedup(spark, docs, SF_DIR).cache()
+    assert all(r.text == copied and r.n_chars == len(copied) for r in cleaned.where("doc_id < 100").collect())
+    assert not any("menu" in r.text for r in cleaned.collect())
+    kept = {r.doc_id: r.text for r in corpus_pipeline.near_dedup(spark, cleaned, SF_DIR).collect()}
+    assert {i: t for i, t in kept.items() if i < 100} == {0: copied} and len(kept) == 41

@@ -17,20 +17,27 @@ def _lines(text: Column) -> Column:
     return F.coalesce(F.split(text, "\n", -1), F.array().cast("array<string>"))
 
 
-def boilerplate(docs: DataFrame, text: str, host: str, max_ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(
+    docs: DataFrame, text: str, host: str, max_ratio: float, min_pages: int, distinct_pages: bool = False
+) -> DataFrame:
     """Rows (host, line): the fingerprint of every line that is on more than ``max_ratio`` of its host's pages.
 
     A line counts once per page (made distinct inside the row) and is combined before the shuffle, so neither a line
     nor a host that holds a third of all rows meets in one task. The few lines with enough pages are then joined to the
-    pages per host, a host spread over ``SALTS`` parts.
+    pages per host, a host spread over ``SALTS`` parts. With ``distinct_pages`` lines and pages are first made distinct
+    by host and fingerprint of the page's text, which spreads a line over all pages that have it.
     """
     pages = packed(docs).select(column(host, "row").alias("host"), column(text, "row").alias("text"))
     pages = pages.where(F.col("host").isNotNull())
     distinct = F.array_distinct(F.transform(_lines(F.col("text")), F.trim))
+    text_print = F.xxhash64(F.coalesce("text", F.lit(""))) if distinct_pages else F.lit(0).cast("long")
+    lines = pages.select("host", text_print.alias("print"), F.explode_outer(distinct).alias("line"))
+    lines = lines.where(F.col("line") != "").select("host", F.md5("line").alias("line"), "print")
+    pages = pages.select("host", text_print.alias("print"))
+    if distinct_pages:
+        lines, pages = lines.distinct(), pages.distinct()
     on_pages = (
-        pages.select("host", F.explode_outer(distinct).alias("line"))
-        .where(F.col("line") != "")
-        .groupBy("host", F.md5("line").alias("line"))
+        lines.groupBy("host", "line")
         .agg(F.count("*").alias("pages"))
         .where(F.col("pages") >= min_pages)
         .withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int"))
@@ -46,7 +53,7 @@ def boilerplate(docs: DataFrame, text: str, host: str, max_ratio: float, min_pag
 
 def line_dedup(
     docs: DataFrame, *, text: str = "text", host: str = "source", max_ratio: float = 0.05, min_pages: int = 5,
-    broadcast_lines: int = BROADCAST_LINES,
+    distinct_pages: bool = False, broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
     """``docs`` with the boilerplate lines of each host taken out of ``text``; ``n_lines`` and ``n_dropped`` are added
     (they replace columns of those names).
@@ -55,13 +62,14 @@ def line_dedup(
     Lines are cut at line feeds and compared without blanks at their ends; a line said twice on a page counts once, and
     blank lines always stay. A page without host belongs to no site and keeps all its lines. Null text stays null with
     no lines; empty text has one blank line. A text that loses all its lines becomes empty. Repeated rows each count as
-    a page and each come back. Rows are neither added nor lost.
+    a page and each come back. Rows are neither added nor lost. With ``distinct_pages`` rows of a host with equal texts
+    count as one page together (null and empty texts are equal), so copies of a page cannot make its lines boilerplate.
 
     A host has at most (mean lines per page) / ``max_ratio`` boilerplate lines, so they fit in one array. The arrays are
     broadcast up to ``broadcast_lines`` lines in all, and texts then are never shuffled; beyond, they are joined by
     host, with each host spread over ``SALTS`` parts.
     """
-    bad = materialise(boilerplate(docs, text, host, max_ratio, min_pages), "boilerplate")
+    bad = materialise(boilerplate(docs, text, host, max_ratio, min_pages, distinct_pages), "boilerplate")
     per_host = bad.groupBy("host").agg(F.collect_list("line").alias("bad"))
     rows = packed(docs).withColumn("host", column(host, "row"))
     if bad.count() <= broadcast_lines:
