@@ -47,11 +47,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; others with their id, or without one like them, stay."""
     found = find_passages(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select("doc_id").distinct()
-    keep = docs["doc_id"].eqNullSafe(bad["doc_id"])
-    return docs.join(bad, keep, "left_anti")
+    key = [F.coalesce("doc_id", F.lit(-1)).alias("key"), F.col("doc_id").isNull().alias("none"), "print"]
+    bad = found.where("contaminated").select(*key).distinct()
+    rows = packed(docs).select("row", F.col("row.doc_id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("print"))
+    return rows.select("row", *key).join(bad, ["key", "none", "print"], "left_anti").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -220,3 +220,14 @@ def test_pipeline_keeps_one_of_many_copies(spark):
     assert not any("menu" in r.text for r in cleaned.collect())
     kept = {r.doc_id: r.text for r in corpus_pipeline.near_dedup(spark, cleaned, SF_DIR).collect()}
     assert {i: t for i, t in kept.items() if i < 100} == {0: copied} and len(kept) == 41
+
+
+def test_pipeline_decontaminates_by_id_and_text(spark):
+    items = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").where(F.length("text") > 0)
+    leak = items.orderBy(F.desc(F.length("text"))).first().text
+    texts = [(None, leak), (None, "a clean one"), (None, None), (7, f"so {leak}"), (7, "another clean one"), (-1, "clean too")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.decontaminate(spark, docs, SF_DIR)
+    assert got.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in got.collect()} == set(texts) - {texts[0], texts[3]}

@@ -57,7 +57,8 @@ def decontaminate(
     item_text: str = "text", window: int = 10, shingle: int = 3, block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """Per document: ``id``, ``n_words``, ``n_hit``, ``items`` (ids of the benchmark items with a window in it, as sorted
-    strings), ``spans`` (start and length of every window found) and ``contaminated`` (any word hit).
+    strings), ``spans`` (start and length of every window found), ``contaminated`` (any word hit) and ``print`` (xxhash64
+    of the text, null as empty), which tells apart documents that share an id or have none.
 
     A window is ``window`` consecutive words of an item, or the whole of a shorter item. Containment is exact, so of a
     window's shingles, ordered by how rare they are in all documents, the rarest one alone is a necessary prefix: a
@@ -117,6 +118,7 @@ def decontaminate(
         F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"),
         "spans",
         (F.size("spans") > 0).alias("contaminated"),
+        "print",
         F.explode_outer(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
     )
     return per_doc.drop("copy")
