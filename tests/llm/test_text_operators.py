@@ -226,6 +226,17 @@ def test_repeats_equal_loop(spark, monkeypatch, bucket_entries, batch_bytes):
     assert got == repeats_by_loop(rows, 10)
 
 
+def test_repeats_of_negative_ids_in_many_parts(spark):
+    rnd = random.Random(24)
+    passages = [" ".join(f"p{rnd.randrange(50)}" for _ in range(n)) for n in (10, 15, 30)]
+    ids = [rnd.randrange(-(1 << 62), 1 << 62) for _ in range(60)] + rnd.sample(range(-50, 50), 40)
+    rows = [(i, f"{t} {rnd.choice(passages)} {t[:9]}") for i, t in zip(ids, texts(25, 100))] + [(None, passages[0])]
+    got = substring_dedup.remove_repeats(
+        frame(spark, rows, "doc_id long, text string"), window=10, bucket_entries=50, part_bytes=1_000)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()), key=str)
+    assert got == repeats_by_loop(rows, 10)
+
+
 def test_repeats_odd_rows(spark):
     docs = odd(spark, texts(9, 10))
     assert substring_dedup.remove_repeats(docs).count() == docs.count()

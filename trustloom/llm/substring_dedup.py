@@ -92,7 +92,8 @@ class _Entries:
 
 
 def part_of(ids, salts, parts: int):
-    """The part of the documents that one belongs to; copies of one text, and rows without id, are in all parts."""
+    """The part of the documents that one belongs to; copies of one text, and rows without id, are in all parts. Columns
+    must not be negative: Spark's % keeps the sign, numpy's does not."""
     return (ids % parts + salts % parts) % parts
 
 
@@ -286,7 +287,8 @@ def remove_repeats(
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-size // (6 * bucket_entries)))
     parts = max(1, -(-size // part_bytes))
-    part = part_of(F.col("id"), F.pmod(F.col("salt").cast("long"), F.lit(parts)), parts).cast("int")
+    id_part, salt_part = (F.pmod(F.col(c).cast("long"), F.lit(parts)) for c in ("id", "salt"))
+    part = part_of(id_part, salt_part, parts).cast("int")
     by_part = source.select(part.alias("part"), "id", "salt", "text").groupBy("part")
 
     def met(entries: DataFrame, judge) -> DataFrame:
