@@ -237,6 +237,16 @@ def test_repeats_of_negative_ids_in_many_parts(spark):
     assert got == repeats_by_loop(rows, 10)
 
 
+def test_settled_repeats_of_equal_batches_spread_over_buckets(spark):
+    copies = frame(spark, [(None, " ".join(f"w{i}" for i in range(60)))] * 4_000, "doc_id long, text string")
+    source = copies.selectExpr("9 AS id", "text", "hash(text) AS salt").repartition(80)
+    found = source.mapInArrow(substring_dedup._anchor_entries(50, 40), substring_dedup._ENTRIES)
+    settled = [r.bucket for r in found.where("done").select("bucket").collect()]
+    assert len(settled) == 80 and max(Counter(settled).values()) <= 12
+    pieces = substring_dedup.dealt(5 * substring_dedup.SETTLED_ENTRIES, 3, 1_000)
+    assert len(set(pieces.tolist())) > 3
+
+
 def test_repeats_odd_rows(spark):
     docs = odd(spark, texts(9, 10))
     assert substring_dedup.remove_repeats(docs).count() == docs.count()

@@ -7,15 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustloom.llm.rows import column, packed, table
-from trustloom.llm.words import WHITE_SPACE, small_batches, split_words, window_prints
+from trustloom.llm.words import WHITE_SPACE, mix, small_batches, split_words, window_prints
 
 BATCH_BYTES = 6 << 20
 BUCKET_ENTRIES = 1_000_000
 PART_BYTES = 8 << 20
+# Settled entries that go to one bucket together.
+SETTLED_ENTRIES = 1 << 16
 LAST = (1 << 63) - 1
 _ENTRIES = "bucket int, done boolean, ids binary, salts binary, counts binary, gaps binary, prints binary, flags binary"
 _PLACES = "part int, ids binary, salts binary, counts binary, gaps binary"
@@ -97,6 +100,13 @@ def part_of(ids, salts, parts: int):
     return (ids % parts + salts % parts) % parts
 
 
+def dealt(n: int, batch: int, buckets: int) -> np.ndarray:
+    """Buckets for ``n`` entries that need no judging, piece by piece, by a number that no other batch has: they spread
+    evenly whatever documents the batches hold."""
+    pieces = np.arange(n, dtype=np.uint64) // np.uint64(SETTLED_ENTRIES)
+    return (mix(mix(np.uint64([batch])) + pieces) % np.uint64(buckets)).astype(np.int32)
+
+
 def _judged(group: pa.Table, judge, parts: int) -> pa.Table:
     """The entries of a bucket that count, packed by part: those that ``judge`` says, and those that are done already."""
     rows = sorted(group.drop_columns(["bucket"]).to_pylist(), key=lambda r: r["done"])
@@ -142,7 +152,8 @@ def _anchor_entries(window: int, buckets: int):
     block = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", BATCH_BYTES):
+        task = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(small_batches(batches, "text", BATCH_BYTES)):
             docs = _Docs(batch)
             places = docs.windows(block, window)
             print_of = window_prints(docs.words.print, block)[places]
@@ -160,7 +171,7 @@ def _anchor_entries(window: int, buckets: int):
             bucket = (print_of % np.uint64(buckets)).astype(np.int32)
             high = (print_of >> np.uint64(32)).astype(np.uint32)
             # What repeats within the batch is found here and need not be judged.
-            own = np.full(repeated.sum(), batch.num_rows % buckets)
+            own = dealt(repeated.sum(), task + number, buckets)
             rows = docs.rows(places[rep], bucket[rep], False, [high[rep]], fixed[rep])
             yield from _table(rows + docs.rows(places[repeated], own, True, []), _ENTRIES).to_batches()
 
@@ -209,7 +220,7 @@ def _window_entries(window: int, buckets: int):
         later = _later(one, two, docs.ids[docs.doc_of(places)].astype(np.int64))
         bucket = (one % np.uint64(buckets)).astype(np.int32)
         # A smaller id in the same part settles it.
-        own = np.full(later.sum(), part.num_rows % buckets)
+        own = dealt(later.sum(), part.column("part")[0].as_py(), buckets)
         rows = docs.rows(places[~later], bucket[~later], False, [one[~later], two[~later]])
         return _table(rows + docs.rows(places[later], own, True, []), _ENTRIES)
 
@@ -273,7 +284,7 @@ def remove_repeats(
 
     Entries travel packed, a row per bucket and batch of documents, about six bytes each. Before that, every batch
     settles what repeats within it, so that a passage which a third of all documents share meets once per batch in its
-    bucket. Buckets hold about ``bucket_entries`` entries, and parts of the documents about ``part_bytes`` of text, however
+    bucket. What is settled is dealt to all buckets in pieces. Buckets hold about ``bucket_entries`` entries, and parts of the documents about ``part_bytes`` of text, however
     large the input is. Texts are shuffled once, to parts; the hits and the repeated windows of a part join them there.
 
     Null and empty texts have no words. A null id comes after all others, and equal ids are not smaller than each other:
