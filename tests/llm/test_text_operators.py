@@ -411,3 +411,13 @@ def test_quality_votes(spark):
     assert quality.keep_quality(strange, model, threshold=-1.0).collect() == strange.collect()
     untaught = quality.fit_quality(docs, frame(spark, [], "doc_id long, quality int"))
     assert {r.score for r in quality.score_quality(docs, untaught).collect()} == {0.5}
+
+
+def test_quality_tells_junk_by_its_words(spark):
+    rnd = random.Random(26)
+    good, junk = (["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9))) for _ in range(n)] for n in (900, 90))
+    text = lambda words: " ".join(" ".join(rnd.choices(words, k=rnd.randrange(6, 12))).capitalize() + "." for _ in range(6))
+    docs = frame(spark, [(i, text(good if i % 2 else junk), "s") for i in range(240)])
+    labels = frame(spark, [(i, i % 2) for i in range(160)], "doc_id long, quality int")
+    got = quality.score_quality(docs, quality.fit_quality(docs, labels)).where("doc_id >= 160").collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got) and len(got) == 80

@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 from trustloom.llm.language import fold
 from trustloom.llm.rows import column, packed, table
-from trustloom.llm.words import WHITE_SPACE, mix, small_batches, split_words
+from trustloom.llm.words import LOWER_WORDS, WHITE_SPACE, mix, small_batches, split_words
 
-FEATURES = 2048
+SHAPES = 2048
+WORDS = 2048
+FEATURES = SHAPES + WORDS
+# Words count half beside the shape.
+WORD_SHARE = 0.25
 RANK = 48
 BLOCK = 512
 # What kind of letter each byte is: small, large, digit, blank, line end, beyond ASCII; other signs stand for themselves.
@@ -23,11 +27,13 @@ _SHAPE = bytes(
 
 
 def features(texts: pa.Array) -> np.ndarray:
-    """A row of ``FEATURES`` numbers per text: how often each hashed run of three and five bytes of its shape occurs, and
-    how often a word repeats the one before it, as square roots of shares. Runs of one kind of letter count as one, so
-    the shape tells capitals, signs, digits and tables, but not words."""
+    """A row of ``FEATURES`` numbers per text, as square roots of shares: how often each hashed run of three and five bytes
+    of its shape occurs, how often a word repeats the one before it, and how often each hashed word occurs, in whatever
+    case. Runs of one kind of letter count as one, so the shape tells capitals, signs, digits and tables; the words tell
+    what the text says."""
     out = np.zeros((len(texts), FEATURES), dtype=np.float32)
-    words = split_words(texts, WHITE_SPACE)
+    words, terms = split_words(texts, WHITE_SPACE), split_words(texts, LOWER_WORDS)
+    bins = (terms.print % np.uint64(WORDS)).astype(np.int64)
     for i, text in enumerate(texts.to_pylist()):
         if not text:
             continue
@@ -39,14 +45,17 @@ def features(texts: pa.Array) -> np.ndarray:
                 gram = np.zeros(len(shape) - size + 1, dtype=np.uint64)
                 for j in range(size):
                     gram = gram << np.uint64(8) | shape[j : len(shape) - size + 1 + j]
-                found.append(mix(gram + np.uint64(size << 48)) % np.uint64(FEATURES - 2))
+                found.append(mix(gram + np.uint64(size << 48)) % np.uint64(SHAPES - 2))
         if found:
-            counts = np.bincount(np.concatenate(found).astype(np.int64), minlength=FEATURES)[:FEATURES]
-            out[i] = counts / counts.sum()
+            counts = np.bincount(np.concatenate(found).astype(np.int64), minlength=SHAPES)
+            out[i, :SHAPES] = counts / counts.sum()
         prints = words.print[words.first[i] : words.first[i + 1]]
         if len(prints) > 1:
             again = float((prints[1:] == prints[:-1]).mean())
-            out[i, -2:] = again, 1.0 - again
+            out[i, SHAPES - 2 : SHAPES] = again, 1.0 - again
+        said = bins[terms.first[i] : terms.first[i + 1]]
+        if len(said):
+            out[i, SHAPES:] = np.bincount(said, minlength=WORDS) * (WORD_SHARE / len(said))
     return np.sqrt(out)
 
 
@@ -103,7 +112,7 @@ def fit_quality(
 ) -> Model:
     """Learn from the documents that ``labels`` marks 0 or 1: at most about ``per_label`` of each, chosen by a hash of the
     id (a bounded sample of labelled rows). Equal numbers of both keep the rarer label from being outvoted. The sample's
-    ids, a few thousand, are broadcast to find its documents; only their features (2,048 numbers each) come back, and
+    ids, a few thousand, are broadcast to find its documents; only their features (4,096 numbers each) come back, and
     the latent space is fitted on them. Null labels and ids are no label; an id with both labels is none either."""
     marks = packed(labels).select(column(id, "row").cast("long").alias("id"), column(label, "row").cast("int").alias("y"))
     marks = marks.where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).groupBy("id").agg(
