@@ -261,3 +261,20 @@ def test_trained_vectors(docs):
     vectors = word_vectors(docs, vocab, dim=5, min_count=2)
     assert {r.w for r in vectors.collect()} == {r.w for r in vocab.collect()}
     assert all(len(r.vec) == 5 for r in vectors.collect())
+
+
+def test_large_and_small_word_tables_give_the_same_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from trustloom.operators import lemmas, vocabulary as words
+
+    rows = [(1, "b a"), (1, "a c"), (None, "c b"), (None, "z"), (2, None), (3, "a a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tokens", F.split("text", " "))
+    vocab = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3), ("c", 4)], "w string, id int")
+    forms = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "x")], "w string, lemma string")
+    same = lambda df: sorted(map(str, df.collect()))
+    small = [same(words.word_ids(docs, vocab)), same(lemmas.lemmatise(docs, forms)), same(words.padded_sequences(docs, vocab, length=3))]
+    monkeypatch.setattr(lookup, "fits", lambda *a, **k: False)
+    large = [same(words.word_ids(docs, vocab, hot_rows=1)), same(lemmas.lemmatise(docs, forms, hot_rows=1)),
+             same(words.padded_sequences(docs, vocab, length=3))]
+    assert small == large and [len(x) for x in small] == [6, 6, 6]

@@ -73,14 +73,24 @@ def fits(table: DataFrame, *columns: str, hot_rows: int = HOT_ROWS, hot_bytes: i
     return found.n <= hot_rows and found.bytes <= hot_bytes
 
 
+def numbered(docs: DataFrame, *columns) -> DataFrame:
+    """``columns`` beside a ``_row`` of each row's own, by which its words are gathered again: ids may repeat or be null."""
+    return docs.withColumn("_row", F.monotonically_increasing_id()).select("_row", *columns)
+
+
+def one_each(table: DataFrame, key: str, value: str) -> DataFrame:
+    """The table with one entry a word, the smallest."""
+    return table.groupBy(key).agg(F.min(value).alias(value))
+
+
 def replaced(
     docs: DataFrame, table: DataFrame, ids: list[str], words: str, *, key: str, value: str, name: str,
     default: int | str | None = None,
 ) -> DataFrame:
     """(ids.., name): each word of the list ``words`` replaced in place by its ``value``. Words that ``table`` lacks become
-    ``default``, or stay if there is none. No list is an empty one. Nothing is shuffled; ``table`` must be one that
-    ``fits``."""
-    entries = table.select(key, value).toArrow().combine_chunks()
+    ``default``, or stay if there is none. Of several entries of a word the smallest counts. No list is an empty one.
+    Nothing is shuffled; ``table`` must be one that ``fits``."""
+    entries = table.select(key, value).toArrow().sort_by([(key, "ascending"), (value, "ascending")]).combine_chunks()
     shared = docs.sparkSession.sparkContext.broadcast(entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
