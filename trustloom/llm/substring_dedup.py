@@ -284,8 +284,9 @@ def remove_repeats(
 
     Entries travel packed, a row per bucket and batch of documents, about six bytes each. Before that, every batch
     settles what repeats within it, so that a passage which a third of all documents share meets once per batch in its
-    bucket. What is settled is dealt to all buckets in pieces. Buckets hold about ``bucket_entries`` entries, and parts of the documents about ``part_bytes`` of text, however
-    large the input is. Texts are shuffled once, to parts; the hits and the repeated windows of a part join them there.
+    bucket. What is settled is dealt to all buckets in pieces. Buckets hold about ``bucket_entries`` entries, and parts of
+    the documents about ``part_bytes`` of text, however large the input is. Texts are shuffled once, to parts; the hits and
+    the repeated windows of a part join them there.
 
     Null and empty texts have no words. A null id comes after all others, and equal ids are not smaller than each other:
     rows repeated whole keep their passages unless a smaller id has them; each row comes back. Documents shorter than a
