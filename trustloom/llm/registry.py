@@ -8,15 +8,19 @@ from trustloom.llm import (
     language,
     line_dedup,
     near_dedup,
+    periodic_runs,
     quality,
     sharding,
+    simhash,
     substring_dedup,
+    token_alignment,
     topk,
     warc,
 )
 
 MODULES = (
     line_dedup, decontaminate, sharding, topk, warc, bpe, language, quality, substring_dedup, near_dedup,
+    periodic_runs, token_alignment, simhash,
 )
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
