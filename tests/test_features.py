@@ -1,14 +1,15 @@
 import hashlib
 import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from trustloom.operators import lookup
+from trustloom.operators import vectors as vectors_module
 from trustloom.operators.lemmas import lemma_table, lemmatise
-from trustloom.operators.linear import logistic_fit, logistic_score
+from trustloom.operators.linear import INTERCEPT, logistic_fit, logistic_score
 from trustloom.operators.metrics import evaluate
 from trustloom.operators.naive_bayes import nb_fit_weighted, nb_score_weighted
 from trustloom.operators.split import allot_test, split_prefix, split_stratified
@@ -212,18 +213,28 @@ def test_logistic_regression(docs):
     terms = sorted({t for _, t in weights})
     x = np.array([[weights.get((i, t), 0.0) for t in terms] + [1.0] for i, _, _ in rows])
     y = np.array([1.0 if c == "fake" else 0.0 for _, c, _ in rows])
-    penalty = np.diag([1.0] * len(terms) + [0.0])
+    c, penalty = 0.25, np.diag([1.0] * len(terms) + [0.0])
     beta = np.zeros(len(terms) + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-x @ beta))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ beta)
+        step = np.linalg.solve(c * x.T @ (x * (p * (1 - p))[:, None]) + penalty, c * x.T @ (y - p) - penalty @ beta)
         beta += step
     want = 1 / (1 + np.exp(-x @ beta))
     model = tfidf_fit(docs)
     spread = tfidf_transform(docs, model, keep=("label",))
-    fitted = logistic_fit(spread, docs, model.terms.select("term", "df"), tol=1e-9)
+    fitted = logistic_fit(spread, docs, c=c, tol=3e-7, max_steps=150, chained=15)
+    assert fitted.steps < 150 and fitted.gradient <= 3e-7
+    coefficients = {r.term: r.w for r in fitted.coefficients.collect()}
+    assert [coefficients[t] for t in [*terms, INTERCEPT]] == pytest.approx(list(beta), abs=1e-5)
     got = {r.doc_id: r.p_fake for r in logistic_score(spread, docs, fitted).collect()}
-    assert [got[i] for i, _, _ in rows] == pytest.approx(list(want), abs=2e-3)
+    assert [got[i] for i, _, _ in rows] == pytest.approx(list(want), abs=1e-5)
+
+
+def test_regression_of_no_documents(docs):
+    none = docs.limit(0)
+    spread = tfidf_transform(docs, tfidf_fit(docs), keep=("label",))
+    fitted = logistic_fit(spread.limit(0), none)
+    assert fitted.size == 0 and {r.p_fake for r in logistic_score(spread, docs, fitted).collect()} == {0.5}
 
 
 @pytest.mark.parametrize("hot_rows", [100, 2])
@@ -256,11 +267,79 @@ def test_missing_prototype_is_zero(spark):
     assert got == {"fake": (0.0, 0.0, "real"), "real": (0.0, 1.0, "real")}
 
 
-def test_trained_vectors(docs):
-    vocab = vocabulary(docs, min_count=2)
-    vectors = word_vectors(docs, vocab, dim=5, min_count=2)
-    assert {r.w for r in vectors.collect()} == {r.w for r in vocab.collect()}
-    assert all(len(r.vec) == 5 for r in vectors.collect())
+@pytest.mark.parametrize("hot_numbers", [8_000_000, 1])
+def test_trained_vectors_equal_plain_steps(docs, monkeypatch, hot_numbers):
+    monkeypatch.setattr(vectors_module, "HOT_NUMBERS", hot_numbers)
+    dim, vocab = 4, vocabulary(docs, min_count=2)
+    got = {r.id: r.vec for r in word_vectors(docs, vocab, dim=dim, epochs=2, batches=2, rate=0.4).collect()}
+    ids = {r.w: r.id for r in vocab.collect()}
+    weights = defaultdict(lambda: [0, 0])
+    for i, _, words in corpus():
+        line = [ids.get(w, 0) for w in words]
+        for x in range(len(line)):
+            for y in range(max(0, x - 5), min(len(line), x + 6)):
+                if x != y:
+                    d = hashlib.md5(f"42|{i}|{x}|{y}".encode()).hexdigest()
+                    drawn = [int(d[k : k + 15], 16) % (len(ids) + 1) for k in (0, 15)]
+                    for k, (a, b) in enumerate(((line[x], line[y]), drawn)):
+                        weights[a, b][k] += 1
+                        weights[b, a][k] += 1
+    vec, power = np.zeros((len(ids) + 1, dim)), np.zeros(len(ids) + 1)
+    for i in range(len(vec)):
+        for k in range(dim):
+            d = hashlib.md5(f"42|{i}|{k // 2}".encode()).hexdigest()
+            vec[i, k] = (int(d[15 * (k % 2) : 15 * (k % 2) + 15], 16) % (1 << 20) / (1 << 20) - 0.5) * 0.1
+    for step in range(4):
+        g = np.zeros_like(vec)
+        for (a, b), (pos, neg) in weights.items():
+            if (a + b) % 2 == step % 2:
+                p = 1 / (1 + np.exp(-vec[a] @ vec[b]))
+                g[a] += (pos * (1 - p) - neg * p) * vec[b]
+        power += (g * g).sum(axis=1)
+        vec += g * np.where(power > 0, 0.4 / np.sqrt(np.maximum(power, 1e-300)), 0)[:, None]
+    assert set(got) == set(ids.values())
+    for i, v in got.items():
+        assert v == pytest.approx(list(vec[i]), abs=1e-9)
+
+
+def test_words_of_one_topic_get_near_vectors(spark):
+    rng = random.Random(12)
+    rows = [(i, [f"{'xy'[i % 2]}{rng.randrange(8)}" for _ in range(30)]) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id int, tokens array<string>")
+    found = {r.w: np.array(r.vec) for r in word_vectors(docs, vocabulary(docs), dim=12).collect()}
+    cosine = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    near = [cosine(found[a], found[b]) for a in found for b in found if a < b and a[0] == b[0]]
+    far = [cosine(found[a], found[b]) for a in found for b in found if a < b and a[0] != b[0]]
+    assert min(near) > max(far)
+
+
+@pytest.mark.parametrize("rows, size", [(0, 10**6), (1, 10**6), (7, 10**6), (29, 10**6), (10**6, 0), (10**6, 400), (10**6, 10**6)])
+def test_most_frequent_words_without_sorting(spark, rows, size):
+    counts = [(f"w{i}", n) for i, n in enumerate([1] * 12 + [2] * 9 + [3, 5, 5, 8, 90, 91, 5_000, 10**12])] + [("longer" * 9, 4)]
+    table = spark.createDataFrame(counts, "w string, n long")
+    head, tail = lookup.by_count(table, "w", "n", rows, size)
+    width = lambda w: len(w) + 16
+    kept = {r.w: r.n for r in head.collect()}
+    left = {} if tail is None else {r.w: r.n for r in tail.collect()}
+    assert {**kept, **left} == dict(counts) and not set(kept) & set(left)
+    if tail is not None:
+        assert len(kept) <= rows and sum(map(width, kept)) <= size
+        assert not kept or min(kept.values()) >= max(left.values()) * 2 ** (-1 / lookup.STEPS)
+        for df in (head, tail):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "TakeOrdered" not in plan and "Exchange" not in plan
+    else:
+        assert len(counts) <= rows and sum(width(w) for w, _ in counts) <= size
+
+
+def test_lemmas_round_by_round(spark):
+    forms = "glasss bosses xsess lessss sss classes men foxesses mice feet oddlys".split()
+    words = spark.createDataFrame([(w,) for w in forms], "w string")
+    lexicon = spark.createDataFrame([(w,) for w in "gla bos xs le cla man foxe mouse odd ee".split()], "w string")
+    irregular = spark.createDataFrame([("mice", "mouse"), ("feet", "foot"), ("oddlys", "odd")], "w string, lemma string")
+    got = {r.w: r.lemma for r in lemma_table(words, lexicon, irregular).collect()}
+    assert got == {"glasss": "gla", "bosses": "bos", "xsess": "xs", "lessss": "le", "classes": "cla", "men": "man",
+                   "foxesses": "foxe", "mice": "mouse", "oddlys": "odd"}
 
 
 def test_large_and_small_word_tables_give_the_same_rows(spark, monkeypatch):

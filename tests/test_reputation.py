@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sequential import fold
 from trustloom.functions.constants import SOURCE, VEHICLE
-from trustloom.operators.reputation import latest, read_scores, trust_fold
+from trustloom.operators.reputation import latest, read_scores, trust_fold, with_account
 
 SCHEMA = "entity string, ts timestamp_ntz, seq bigint, good boolean"
 
@@ -100,3 +100,26 @@ def test_null_keys_and_missing_times(spark, slice_rows):
     filled = [("" if k is None else k, t or at + dt.timedelta(hours=2), s, g) for k, t, s, g in rows]
     want = fold(filled, unit_seconds=3600, rate=0.1, reward=0.1, keep=0.5)
     assert {(r.k or "", r.seq): r.trust for r in folded.collect()} == pytest.approx(want)
+
+
+def test_newest_rows_by_hash_aggregate(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("a", at, 5, True), ("a", at, -7, False), ("a", None, 9, False), ("b", None, None, True), ("b", None, 3, False),
+            ("c", dt.datetime(9999, 12, 31), -(2**63), True), ("c", dt.datetime(9999, 12, 31), 2**63 - 1, False),
+            ("d", dt.datetime(1, 1, 1), 1, True), (None, at, 1, True), (None, at, 2, False)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    newest = latest(df, key="entity", order=("ts", "seq"), values=("good", "seq", "ts"))
+    assert {(r.entity, r.seq, r.good) for r in newest.collect()} == {
+        ("a", 5, True), ("b", 3, False), ("c", 2**63 - 1, False), ("d", 1, True), (None, 2, False)}
+    assert "SortAggregate" not in newest._jdf.queryExecution().executedPlan().toString()
+    named = latest(df.withColumn("name", F.col("seq").cast("string")), key="entity", order=("ts", "seq"), values=("name",))
+    assert {(r.entity, r.name) for r in named.collect()} == {
+        ("a", "5"), ("b", "3"), ("c", str(2**63 - 1)), ("d", "1"), (None, "2")}
+
+
+def test_accounts_stand_beside_events(spark):
+    events = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "entity string, n int")
+    registry = spark.createDataFrame([("a", "0x1"), ("a", "0x0"), ("z", "0x9")], "vehicle string, account string")
+    got = with_account(events, registry, key="entity", registry_key="vehicle", account="account")
+    assert {(r.entity, r.n, r.account) for r in got.collect()} == {
+        ("a", 1, "0x0"), ("a", 2, "0x0"), ("b", 3, None), (None, 4, None)}

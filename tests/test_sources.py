@@ -117,6 +117,13 @@ def test_submissions(spark):
     ("{text", None, INVALID_BODY),
     ("", None, INVALID_BODY),
     (None, None, INVALID_BODY),
+    ('{"Text": "hello"}', "hello", None),
+    ('{"text": "a", "TEXT": "b"}', "b", None),
+    ('{"text": "a", "text": "b", "text": null}', "b", None),
+    ('{"text": 1, "text": "b"}', None, INVALID_BODY),
+    ('{"text": "a", "text": ""}', "", TEXT_REQUIRED),
+    ('{"text": "a"} and more', "a", None),
+    ('{"more": {"text": 5}, "text": "é \\" q"}', 'é " q', None),
 ])
 def test_requests(spark, body, text, reason):
     row = decode_requests(spark.createDataFrame([(body,)], "body string")).first()
@@ -157,13 +164,68 @@ def test_ledger(spark, tmp_path):
     assert {(r.entity, r.score) for r in compacted.latest().collect()} == {("a", 1), ("b", 3), ("c", 4), ("d", 6)}
 
 
-def test_headers_in_another_order_are_refused(spark, tmp_path):
-    folder = tmp_path / "mixed"
+def test_columns_are_found_by_the_header_of_each_file(spark, tmp_path):
+    folder = tmp_path / "mixed files"
     folder.mkdir()
-    (folder / "a.csv").write_text("title,text\nT1,X1\n" * 1)
-    (folder / "b.csv").write_text("text,title\nX2,T2\n" * 1)
-    with pytest.raises(Exception, match="(?i)header"):
-        read_labelled(spark, {"real": str(folder)}).collect()
+    (folder / "a.csv").write_text("title,text\nT1,\"X1\nmore\"\n")
+    (folder / "b.csv").write_text("text,title,extra\nX2,T2,e\n")
+    (folder / "c.csv").write_text("text,title,extra\n")
+    got = read_labelled(spark, {"real": str(folder)}).collect()
+    assert {(r.title, r.text, r.extra, r.label) for r in got} == {("T1", "X1\nmore", None, "real"), ("T2", "X2", "e", "real")}
+    (folder / "d.csv").write_text("body,title\nX3,T3\n")
+    with pytest.raises(ValueError, match="not found"):
+        read_labelled(spark, {"real": str(folder)})
+
+
+def test_events_of_several_files_and_headers(spark, tmp_path):
+    for name, text in (
+        ("1.csv", "timestamp,vehicle_id,behavior\n2025-05-01 00:00:00,a,1\n2025-05-01 00:00:00,a,0\n"),
+        ("2.csv", "vehicle_id,behavior,timestamp\na,1,2025-05-01 00:00:00\n" + "b,1,2025-05-01 00:00:00\n" * 50),
+        ("3.csv", "timestamp,vehicle_id,behavior\n2025-05-01 00:00:00,a,0\n2025-05-01 00:00:00,a,0\n"),
+    ):
+        (tmp_path / name).write_text(text)
+    rows = read_behaviour(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r.behavior for r in rows if r.vehicle_id == "a"] == [1, 0, 1, 0, 0]
+    assert [r.vehicle_id for r in rows] == ["a"] * 3 + ["b"] * 50 + ["a"] * 2 and len({r.seq for r in rows}) == 55
+    for name, text in (
+        ("1.csv", "source_id,prediction,timestamp\na,1,2025-01-01T10:00:00\n"),
+        ("2.csv", "prediction,source_id\n0,b\nx,c\n0,d,e\n"),
+    ):
+        (tmp_path / "s").mkdir(exist_ok=True)
+        (tmp_path / "s" / name).write_text(text)
+    events, bad = read_source_events(spark, str(tmp_path / "s"), now=now())
+    assert [(r.source_id, r.prediction, r.timestamp) for r in events.orderBy("seq").collect()] == [
+        ("a", 1, dt.datetime(2025, 1, 1, 10)), ("b", 0, dt.datetime(2025, 1, 2, 3, 4, 5))]
+    assert [r.reason for r in bad.orderBy("seq").collect()] == ["prediction is not a number", "fields do not fit the header"]
+
+
+def test_ledger_orders_the_writes_of_all_streams(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"), "me")
+    january, february = dt.datetime(2025, 1, 5), dt.datetime(2025, 2, 5)
+    ledger.write(spark.createDataFrame([("a", 10, january, 1, "me"), ("b", 5, january, 2, "you")], SCORES), 7, "x")
+    ledger.write(spark.createDataFrame([("a", 99, february, 3, "me")], SCORES), 0, "y")
+    ledger.write(spark.createDataFrame([("a", 10, january, 1, "me"), ("b", 5, january, 2, "you")], SCORES), 7, "x")
+    assert ledger.latest().first().score == 99
+    assert sorted((r.number, r.stream, r.batch) for r in ledger.commits().collect()) == [(0, "x", 7), (1, "y", 0)]
+    assert ledger.refused().count() == 1 and ledger.history().count() == 2
+
+
+def test_a_killed_write_is_not_seen(spark, tmp_path, monkeypatch):
+    ledger = Ledger(spark, str(tmp_path / "ledger"), "me")
+    at = dt.datetime(2025, 1, 5)
+    ledger.write(spark.createDataFrame([("a", 10, at, 1, "me")], SCORES), 0)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    again = spark.createDataFrame([("a", 20, at, 2, "me"), ("b", 1, at, 2, "you")], SCORES)
+    with monkeypatch.context() as m:
+        m.setattr(Ledger, "_number", killed)
+        with pytest.raises(KeyboardInterrupt):
+            ledger.write(again, 1)
+    assert ledger.latest().first().score == 10 and ledger.refused().count() == 0
+    ledger.write(again, 1)
+    assert ledger.latest().first().score == 20 and ledger.refused().count() == 1
 
 
 def test_small_scans_are_spread(spark, tmp_path):

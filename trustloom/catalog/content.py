@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trustloom.catalog.tables import (
     LABELLED,
@@ -22,7 +27,7 @@ from trustloom.functions.constants import NOUN_ENDINGS
 from trustloom.functions.scalar import flag_or_marker
 from trustloom.functions.text import occurrences, tokeniser
 from trustloom.operators.lemmas import lemma_table, lemmatise
-from trustloom.operators.linear import logistic_fit, logistic_score
+from trustloom.operators.linear import logistic_fit, logistic_score, momentum_limits
 from trustloom.operators.metrics import evaluate
 from trustloom.operators.naive_bayes import nb_fit, nb_fit_weighted, nb_score, nb_score_weighted, term_counts
 from trustloom.operators.split import split_prefix, split_stratified
@@ -30,6 +35,9 @@ from trustloom.operators.tfidf import document_frequency, tfidf_fit, tfidf_trans
 from trustloom.session import materialise
 
 
+LOGISTIC_STEPS = 25
+
+
 def _clean_tokens(cleaner):
     def query(spark, sf_dir):
         docs = with_tokens(documents(spark, sf_dir), cleaner)
@@ -139,6 +147,26 @@ def lemmas(spark, sf_dir):
     return _lemmas(spark, sf_dir, with_tokens(documents(spark, sf_dir), "c"))
 
 
+def lemma_rounds(spark, sf_dir):
+    """The words of the documents, those of the lexicon with an ending twice over, and irregular forms of them."""
+    lexicon = materialise(_lexicon(spark, sf_dir), "lexicon")
+    irregular = lexicon.select(F.concat("w", F.lit("ren")).alias("w"), F.col("w").alias("lemma"))
+    words = occurrences(with_tokens(documents(spark, sf_dir), "c"), "tokens")
+    words = words.unionByName(lexicon.select(F.concat("w", F.lit("ss")).alias("w"))).unionByName(irregular.select("w"))
+    return lemma_table(words.distinct(), lexicon, irregular)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def long_words(texts: pa.Array) -> pa.Array:
+    """A tokeniser as a caller may bring one along: words of four letters or more."""
+    return pa.array([re.findall("[a-z]{4,}", (t or "").lower()) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
+def caller_tokeniser_counts(spark, sf_dir):
+    docs = labelled(spark, sf_dir)
+    return term_counts(docs.select("label", tokeniser(long_words)(F.col("text")).alias("tokens")))
+
+
 def lemmatised_tokens(spark, sf_dir):
     docs = with_tokens(documents(spark, sf_dir), "c")
     based = lemmatise(docs, _lemmas(spark, sf_dir, docs))
@@ -191,16 +219,15 @@ def tfidf_nb_metrics(spark, sf_dir):
 
 
 def held_out_logistic(train, test):
+    """A fixed number of steps, so that the SQL can take the same ones."""
     model = tfidf_fit(train)
-    fitted = logistic_fit(
-        tfidf_transform(train, model, keep=("label",)), train, model.terms.select("term", "df")
-    )
+    fitted = logistic_fit(tfidf_transform(train, model, keep=("label",)), train, max_steps=LOGISTIC_STEPS, tol=0.0)
     return logistic_score(tfidf_transform(test, model, keep=("label",)), test, fitted, keep=("label",))
 
 
 def logistic_scores(spark, sf_dir):
     scored = held_out_logistic(*base_sides(spark, sf_dir))
-    return scored.select("doc_id", "label", F.round("p_fake", 4).alias("p_fake"), "verdict")
+    return scored.select("doc_id", "label", F.round("p_fake", 6).alias("p_fake"), "verdict")
 
 
 QUERIES = {
@@ -220,6 +247,8 @@ QUERIES = {
     "nb_metrics": nb_metrics,
     "prediction_flags": prediction_flags,
     "lemmas": lemmas,
+    "lemma_rounds": lemma_rounds,
+    "caller_tokeniser_counts": caller_tokeniser_counts,
     "lemmatised_tokens": lemmatised_tokens,
     "nb_lemma_verdicts": nb_lemma_verdicts,
     "doc_freq": doc_freq,
@@ -233,19 +262,29 @@ QUERIES = {
 # --- SQL -------------------------------------------------------------------------------------------------------------
 
 
-def lemma_ctes(words: str) -> str:
-    """CTEs up to ``lemmas(w, lemma)`` for ``words(w)``."""
-    rules = "\n  UNION ALL ".join(
-        f"SELECT w, left(w, length(w) - {len(old)}) || '{new}' AS lemma, {i} AS rule FROM {words} WHERE w LIKE '%{old}'"
-        for i, (old, new) in enumerate(NOUN_ENDINGS, start=1)
-    )
-    return f"""lexicon AS (SELECT DISTINCT unnest({tokens_sql('c')}) AS w FROM conversations),
+LEXICON = f"lexicon AS (SELECT DISTINCT unnest({tokens_sql('c')}) AS w FROM conversations)"
+ROUNDS = 6
+
+
+def lemma_ctes(words: str, more: str = "") -> str:
+    """CTEs up to ``lemmas(w, lemma)`` for ``words(w)``: ``ROUNDS`` rounds of the rules. ``more``: further candidates."""
+    ctes = [f"forms0 AS (SELECT w, w AS lemma, '' AS place FROM {words})"]
+    for k in range(1, ROUNDS + 1):
+        rules = "\n  UNION ALL ".join(
+            f"SELECT w, left(lemma, length(lemma) - {len(old)}) || '{new}' AS lemma, place || '{i}' AS place "
+            f"FROM forms{k - 1} WHERE lemma LIKE '%{old}'"
+            for i, (old, new) in enumerate(NOUN_ENDINGS, start=1)
+        )
+        ctes.append(f"forms{k} AS MATERIALIZED (\n  {rules})")
+    rounds = "\n  UNION ALL ".join(f"SELECT w, lemma, place, {max(k, 1)} AS round FROM forms{k}" for k in range(ROUNDS + 1))
+    every = ",\n".join(ctes)
+    return f"""{LEXICON},
+{every},
 candidates AS (
-  SELECT w, w AS lemma, 0 AS rule FROM {words}
-  UNION ALL {rules}),
+  {rounds}{more}),
 lemmas AS (
   SELECT w, lemma FROM candidates WHERE lemma IN (SELECT w FROM lexicon)
-  QUALIFY row_number() OVER (PARTITION BY w ORDER BY length(lemma), rule) = 1 AND lemma <> w)"""
+  QUALIFY row_number() OVER (PARTITION BY w ORDER BY round, length(lemma), place) = 1 AND lemma <> w)"""
 
 
 def lemmatised_ctes(docs: str) -> str:
@@ -309,6 +348,41 @@ scores AS (
     CASE WHEN prior_fake + coalesce(f, 0) >= prior_real + coalesce(r, 0) THEN 'fake' ELSE 'real' END AS verdict
   FROM test_docs d LEFT JOIN term_sums s ON d.doc_id = s.doc_id, class_stats)"""
 
+
+
+def _logistic_steps() -> str:
+    """CTEs up to the coefficients after the last step, one step after the other."""
+    ctes = ["coefficients0 AS MATERIALIZED (SELECT DISTINCT term, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS u FROM entries)"]
+    for i, limit in enumerate(islice(momentum_limits(), LOGISTIC_STEPS)):
+        ctes.append(f"""missed{i} AS (
+  SELECT e.doc_id, (1 / (1 + exp(-sum(e.x * k.u))) - any_value(e.y)) / any_value(p.n) AS r
+  FROM entries e JOIN coefficients{i} k USING (term), pace p GROUP BY e.doc_id),
+moved{i} AS (
+  SELECT k.term, k.w AS old, k.u - (s.s + CASE WHEN k.term = '' THEN 0 ELSE k.u * p.penalty END) / p.bend AS w,
+    least({limit!r}, (sqrt(p.bend / p.penalty) - 1) / (sqrt(p.bend / p.penalty) + 1)) AS momentum
+  FROM coefficients{i} k JOIN (
+    SELECT e.term, sum(e.x * m.r) AS s FROM entries e JOIN missed{i} m USING (doc_id) GROUP BY e.term) s USING (term), pace p),
+coefficients{i + 1} AS MATERIALIZED (SELECT term, w, w + momentum * (w - old) AS u FROM moved{i})""")
+    return ",\n".join(ctes)
+
+
+LOGISTIC = f"""WITH {LABELLED},
+{STRATIFIED_FOLD},
+{TFIDF},
+all_entries AS MATERIALIZED (
+  SELECT doc_id, label, fold, term, weight AS x FROM weights
+  UNION ALL SELECT doc_id, label, fold, '', CAST(1 AS DOUBLE) FROM folded),
+entries AS MATERIALIZED (
+  SELECT doc_id, CASE label WHEN 'fake' THEN 1.0 ELSE 0.0 END AS y, term, x FROM all_entries WHERE fold = 'train'),
+pace AS MATERIALIZED (
+  SELECT count(*) AS n, CAST(1 AS DOUBLE) / count(*) AS penalty, max(x2) / 4 + CAST(1 AS DOUBLE) / count(*) AS bend
+  FROM (SELECT sum(x * x) AS x2 FROM entries GROUP BY doc_id)),
+{_logistic_steps()},
+probabilities AS (
+  SELECT e.doc_id, any_value(e.label) AS label, 1 / (1 + exp(-sum(e.x * coalesce(k.w, 0)))) AS p_fake
+  FROM all_entries e LEFT JOIN coefficients{LOGISTIC_STEPS} k USING (term) WHERE e.fold = 'test' GROUP BY e.doc_id),
+scores AS (SELECT *, CASE WHEN p_fake > 0.5 THEN 'fake' ELSE 'real' END AS verdict FROM probabilities)"""
+
 _SCORES = "SELECT doc_id, label, round(s_fake, 4) AS s_fake, round(s_real, 4) AS s_real, verdict FROM scores"
 
 
@@ -370,6 +444,16 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "lemmas": f"""WITH all_words AS (SELECT DISTINCT unnest({tokens_sql('c')}) AS w FROM documents),
 {lemma_ctes('all_words')}
 SELECT w, lemma FROM lemmas""",
+    "lemma_rounds": f"""WITH doc_words AS (SELECT DISTINCT unnest({tokens_sql('c')}) AS w FROM documents),
+known AS (SELECT DISTINCT unnest({tokens_sql('c')}) AS w FROM conversations),
+irregular AS (SELECT w || 'ren' AS w, w AS lemma FROM known),
+regular AS (
+  SELECT w FROM (SELECT w FROM doc_words UNION SELECT w || 'ss' FROM known) WHERE w NOT IN (SELECT w FROM irregular)),
+{lemma_ctes('regular', " UNION ALL SELECT w, w, '', 1 FROM irregular UNION ALL SELECT w, lemma, '', 1 FROM irregular")}
+SELECT w, lemma FROM lemmas""",
+    "caller_tokeniser_counts": f"""WITH {LABELLED},
+words AS (SELECT label, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM labelled)
+SELECT w, count(*) FILTER (label = 'fake') AS n_fake, count(*) FILTER (label = 'real') AS n_real FROM words GROUP BY w""",
     "lemmatised_tokens": f"""WITH {lemmatised_ctes('documents')}
 SELECT d.doc_id, coalesce(array_to_string(r.tokens, ' '), '') AS tokens
 FROM documents d LEFT JOIN regrouped r ON d.doc_id = r.doc_id""",
@@ -381,4 +465,5 @@ FROM documents d LEFT JOIN regrouped r ON d.doc_id = r.doc_id""",
 SELECT doc_id, term, round(weight, 6) AS weight FROM weights WHERE fold = 'test'""",
     "tfidf_nb_scores": f"{TFIDF_NB}\n{_SCORES}",
     "tfidf_nb_metrics": f"{TFIDF_NB}\n{metrics_sql('scores')}",
+    "logistic_scores": f"{LOGISTIC}\nSELECT doc_id, label, round(p_fake, 6) AS p_fake, verdict FROM scores",
 }

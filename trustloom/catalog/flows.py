@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trustloom.catalog.tables import (
@@ -20,7 +21,7 @@ from trustloom.catalog.trust import SCORE, hourly
 from trustloom.functions.constants import INVALID_BODY, SOURCE, TEXT_REQUIRED, TIMESTAMP_FORMAT, VEHICLE
 from trustloom.operators.naive_bayes import nb_fit
 from trustloom.operators.reputation import latest, trust_fold
-from trustloom.session import scratch_path
+from trustloom.session import materialise, scratch_path
 from trustloom.sources.articles import article_events, submission_rows, write_events
 from trustloom.sources.csv import read_behaviour, read_labelled, read_source_events
 from trustloom.sources.ledger import Ledger
@@ -62,16 +63,39 @@ def labelled_csv_scan_dropping(spark, sf_dir):
     return _scanned(read_labelled(spark, paths, text_col="body", drop_empty=True))
 
 
-def behaviour_csv_scan(spark, sf_dir):
-    path = scratch_path(spark, "behaviour")
-    events = behaviour_events(spark, sf_dir).select(
+def _behaviour_records(spark, sf_dir):
+    return behaviour_events(spark, sf_dir).select(
         F.date_format("ts", TIMESTAMP_FORMAT).alias("timestamp"), F.col("user_id").alias("vehicle_id"),
-        F.col("good").cast("int").alias("behavior"),
+        F.col("good").cast("int").alias("behavior"), "event_id",
     )
-    events.write.csv(path, header=True)
+
+
+def behaviour_csv_scan(spark, sf_dir):
+    path = scratch_path(spark, "behaviour")
+    _behaviour_records(spark, sf_dir).drop("event_id").write.csv(path, header=True)
+    return read_behaviour(spark, path).select("timestamp", "vehicle_id", "behavior")
+
+
+def mixed_header_scan(spark, sf_dir):
+    """Files of one folder with the columns in two orders, and a column that only some have."""
+    path = scratch_path(spark, "mixed-behaviour")
+    rows = _behaviour_records(spark, sf_dir)
+    even = F.col("event_id") % 2 == 0
+    rows.where(even).drop("event_id").write.mode("append").csv(path, header=True)
+    rows.where(~even).withColumn("note", F.lit("x, y")).select("behavior", "note", "timestamp", "vehicle_id").write.mode(
+        "append").csv(path, header=True)
     return read_behaviour(spark, path).select("timestamp", "vehicle_id", "behavior")
 
 
+def csv_file_order(spark, sf_dir):
+    """The events of each vehicle in the order of three files and of their lines."""
+    path = scratch_path(spark, "ordered-behaviour")
+    rows = _behaviour_records(spark, sf_dir).repartitionByRange(3, "event_id").sortWithinPartitions("event_id")
+    rows.drop("event_id").write.csv(path, header=True)
+    place = F.row_number().over(Window.partitionBy("vehicle_id").orderBy("seq"))
+    return read_behaviour(spark, path).select("vehicle_id", place.alias("place"), "timestamp", "behavior")
+
+
 def _articles(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("label"))
     published = F.timestamp_add("HOUR", F.col("doc_id") * 6, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
@@ -143,6 +167,27 @@ def _requests(spark, sf_dir):
     return turns.select(request_id.alias("request_id"), body.alias("body"))
 
 
+def _odd_requests(spark, sf_dir):
+    """User turns under odd field names, repeated or beside other fields; other turns with a number before the text."""
+    turns = table(spark, sf_dir, "conversations").withColumn("json", F.to_json(F.struct("text")))
+    value = F.expr("substring(json, 9, length(json) - 9)")  # the text as a JSON string
+    kind = F.when(F.col("role") == "user", F.col("turn") % 4).otherwise(4)
+    body = F.element_at(F.array(
+        F.concat(F.lit('{"Text":'), value, F.lit("}")),
+        F.concat(F.lit('{"text":"first","TEXT":'), value, F.lit("}")),
+        F.concat(F.lit('{"text":'), value, F.lit(',"text":null}')),
+        F.concat(F.lit('{"more":{"text":1},"teXt":'), value, F.lit("}")),
+        F.concat(F.lit('{"text":1,"text":'), value, F.lit("}")),
+    ), (kind + 1).cast("int"))
+    request_id = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return turns.select(request_id.alias("request_id"), body.alias("body"))
+
+
+def odd_request_validation(spark, sf_dir):
+    decoded = decode_requests(_odd_requests(spark, sf_dir))
+    return decoded.select("request_id", F.md5("text").alias("digest"), "reason")
+
+
 def request_validation(spark, sf_dir):
     decoded = decode_requests(_requests(spark, sf_dir))
     return decoded.select("request_id", F.md5("text").alias("digest"), "reason")
@@ -184,6 +229,22 @@ def ledger_refusals(spark, sf_dir):
     return _ledger(spark, sf_dir).refused().select("entity", "seq", "reason")
 
 
+def ledger_two_streams(spark, sf_dir):
+    """Two streams write in turn, with batch numbers of their own; the first batch is then delivered again."""
+    ledger = Ledger(spark, scratch_path(spark, "ledger"), "owner")
+    writes = materialise(hourly(spark, sf_dir).select(
+        F.col("user_id").alias("entity"), "score", "ts", F.col("event_id").alias("seq"), F.lit("owner").alias("writer"),
+    ), "writes")
+    early = F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    even = F.col("seq") % 2 == 0
+    for rows, batch, stream in (
+        (even & ~early, 7, "x"), (~even & ~early, 0, "y"), (even & early, 8, "x"), (~even & early, 1, "y"),
+        (even & ~early, 7, "x"),
+    ):
+        ledger.write(writes.where(rows), batch, stream)
+    return ledger.latest().select("entity", "score", "ts")
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 
@@ -197,6 +258,13 @@ def _in_thirds(spark, rows, ts, path, run):
         run(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
 
 
+def _in_parts(spark, rows, part, path, run):
+    """The same with the parts 0, 1 and 2 of ``rows``."""
+    for i in range(3):
+        rows.where(part == i).write.mode("append").parquet(path)
+        run(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
+
+
 def _trust_stream_out(spark, sf_dir):
     base = scratch_path(spark, "trust-stream")
     events = behaviour_events(spark, sf_dir)
@@ -226,10 +294,9 @@ def stream_ledger_latest(spark, sf_dir):
 def stream_replies(spark, sf_dir):
     base = scratch_path(spark, "request-stream")
     requests = _requests(spark, sf_dir)
-    requests.write.parquet(f"{base}/in")
     model = nb_fit(with_tokens(labelled(spark, sf_dir), "a"))
-    stream = spark.readStream.schema(requests.schema).parquet(f"{base}/in")
-    scoring_stream(stream, model, f"{base}/out", f"{base}/checkpoint", id_col="request_id").awaitTermination()
+    _in_parts(spark, requests, F.crc32("request_id") % 3, f"{base}/in", lambda stream: scoring_stream(
+        stream, model, f"{base}/out", f"{base}/checkpoint", id_col="request_id"))
     replies = spark.read.parquet(f"{base}/out/replies").select("request_id", F.col("reply").alias("answer"))
     refused = spark.read.parquet(f"{base}/out/refused").select("request_id", F.col("reason").alias("answer"))
     return replies.unionByName(refused)
@@ -242,16 +309,18 @@ def stream_submission_trust(spark, sf_dir):
         F.regexp_extract("title", r"(\d+)", 1).cast("bigint").alias("doc_id"), F.col("source").alias("source_id"),
         "text", "timestamp",
     )
-    submissions.write.parquet(f"{base}/in")
     model = nb_fit(with_tokens(labelled(spark, sf_dir), "a"))
-    stream = spark.readStream.schema(submissions.schema).parquet(f"{base}/in")
-    submission_stream(stream, model, base, f"{base}/scoring", id_col="doc_id").awaitTermination()
-    log = spark.read.parquet(f"{base}/log").drop("batch")
-    logged = spark.readStream.schema(log.schema).parquet(f"{base}/log/batch=*")
-    trust_stream(
-        logged, f"{base}/out", f"{base}/checkpoint",
-        key="source_id", ts="timestamp", seq="doc_id", good=F.col("prediction") == 0, **SOURCE,
-    ).awaitTermination()
+
+    def both(stream):
+        submission_stream(stream, model, base, f"{base}/scoring", id_col="doc_id").awaitTermination()
+        log = spark.read.parquet(f"{base}/log").drop("batch")
+        logged = spark.readStream.schema(log.schema).parquet(f"{base}/log/batch=*")
+        return trust_stream(
+            logged, f"{base}/out", f"{base}/checkpoint",
+            key="source_id", ts="timestamp", seq="doc_id", good=F.col("prediction") == 0, **SOURCE,
+        )
+
+    _in_thirds(spark, submissions, "timestamp", f"{base}/in", both)
     history = trust_history(spark, f"{base}/out", "source_id", "string")
     newest = latest(history, key="source_id", order=("ts", "seq"), values=("trust", "score"))
     return newest.select("source_id", F.round("trust", 6).alias("trust"), "score")
@@ -273,15 +342,19 @@ QUERIES = {
     "labelled_csv_scan": labelled_csv_scan,
     "labelled_csv_scan_dropping": labelled_csv_scan_dropping,
     "behaviour_csv_scan": behaviour_csv_scan,
+    "mixed_header_scan": mixed_header_scan,
+    "csv_file_order": csv_file_order,
     "article_etl": article_etl,
     "source_event_scan": source_event_scan,
     "source_event_quarantine": source_event_quarantine,
     "submission_log": submission_log,
     "request_validation": request_validation,
+    "odd_request_validation": odd_request_validation,
     "request_replies": request_replies,
     "ledger_latest": ledger_latest,
     "ledger_reads": ledger_reads,
     "ledger_refusals": ledger_refusals,
+    "ledger_two_streams": ledger_two_streams,
     "stream_trust_history": stream_trust_history,
     "stream_ledger_latest": stream_ledger_latest,
     "stream_replies": stream_replies,
@@ -332,13 +405,20 @@ owned AS (
   SELECT CAST(k AS VARCHAR) AS entity, {SCORE} AS score, ts FROM folded WHERE good
   QUALIFY row_number() OVER (PARTITION BY k ORDER BY i DESC) = 1)"""
 
+_BEHAVIOUR_RECORDS = """SELECT CAST(date_trunc('second', ts) AS TIMESTAMP) AS timestamp,
+  CAST(user_id AS VARCHAR) AS vehicle_id, CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS behavior FROM events"""
+
 ORACLES = {
     "labelled_csv_scan": f"WITH {LABELLED}\nSELECT doc_id, label, md5(text) AS digest FROM labelled",
     "labelled_csv_scan_dropping": f"""WITH {LABELLED}
 SELECT l.doc_id, l.label, md5(l.text) AS digest FROM labelled l JOIN documents d ON l.doc_id = d.doc_id
 WHERE d.lang <> 'fr'""",
-    "behaviour_csv_scan": """SELECT CAST(date_trunc('second', ts) AS TIMESTAMP) AS timestamp,
-  CAST(user_id AS VARCHAR) AS vehicle_id, CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS behavior FROM events""",
+    "behaviour_csv_scan": _BEHAVIOUR_RECORDS,
+    "mixed_header_scan": _BEHAVIOUR_RECORDS,
+    "csv_file_order": """SELECT CAST(user_id AS VARCHAR) AS vehicle_id,
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS place,
+  CAST(date_trunc('second', ts) AS TIMESTAMP) AS timestamp,
+  CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS behavior FROM events""",
     "article_etl": _ARTICLE_ROWS,
     "source_event_scan": _ARTICLE_ROWS,
     "source_event_quarantine": f"""WITH {_ARTICLES}
@@ -349,6 +429,10 @@ SELECT d.source AS source_id, md5(d.text) AS digest, CASE WHEN s.verdict = 'fake
     "request_validation": f"""WITH {_TURNS}
 SELECT request_id, CASE WHEN valid THEN md5(text) WHEN refusal LIKE '%required' THEN md5('') END AS digest,
   CASE WHEN NOT valid THEN refusal END AS reason FROM turns""",
+    "odd_request_validation": f"""SELECT conv_id || '-' || turn AS request_id,
+  CASE WHEN role = 'user' THEN md5(text) END AS digest,
+  CASE WHEN role <> 'user' THEN '{INVALID_BODY}' WHEN text = '' THEN '{TEXT_REQUIRED.replace("'", "''")}' END AS reason
+FROM conversations""",
     "request_replies": f"{_REPLIES}\nSELECT doc_id AS request_id, {_REPLY} AS reply FROM scores",
     "ledger_latest": f"{_LEDGER}\nSELECT entity, score, ts FROM owned",
     "ledger_reads": f"""{_LEDGER}
@@ -356,6 +440,11 @@ SELECT CAST(c.c_custkey AS VARCHAR) AS entity, coalesce(o.score, 0) AS score
 FROM customer c LEFT JOIN owned o ON CAST(c.c_custkey AS VARCHAR) = o.entity""",
     "ledger_refusals": """SELECT CAST(user_id AS VARCHAR) AS entity, event_id AS seq,
   'only the owner can set a score' AS reason FROM events WHERE event_type = 'error'""",
+    "ledger_two_streams": f"""{VEHICLE_FOLD},
+commits AS (
+  SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 2 ELSE 0 END + seq % 2 AS number FROM folded)
+SELECT CAST(k AS VARCHAR) AS entity, {SCORE} AS score, ts FROM commits
+QUALIFY row_number() OVER (PARTITION BY k ORDER BY number DESC, i DESC) = 1""",
     "stream_trust_history": f"""{VEHICLE_FOLD}
 SELECT k AS user_id, ts, seq AS event_id, round(trust, 6) AS trust, {SCORE} AS score FROM folded""",
     "stream_ledger_latest": f"""{VEHICLE_FOLD}

@@ -15,6 +15,7 @@ from trustloom.catalog.tables import (
     declared_nodes,
     direct_trust,
     documents,
+    fold_ctes,
     labelled,
     named_sources,
     nb_ctes,
@@ -26,11 +27,19 @@ from trustloom.catalog.tables import (
 from trustloom.functions.constants import SOURCE, VEHICLE
 from trustloom.operators.graph import citers, source_trust
 from trustloom.operators.naive_bayes import nb_fit
-from trustloom.operators.reputation import known_entities, latest, read_scores, trust_fold, unknown_entities
+from trustloom.operators.reputation import (
+    known_entities,
+    latest,
+    read_scores,
+    trust_fold,
+    unknown_entities,
+    with_account,
+)
 from trustloom.plans.hybrid import hybrid
 
 
 SELECTED_UP_TO = 12
+NOW = "2030-01-01 00:00:00"
 
 
 def hourly(spark, sf_dir):
@@ -97,6 +106,25 @@ def unknown_entity_events(spark, sf_dir):
     return _registered(spark, sf_dir, unknown_entities)
 
 
+def entity_accounts(spark, sf_dir):
+    """Events of every user under the name of the supplier with that number."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type")
+    registry = table(spark, sf_dir, "supplier")
+    known = with_account(events, registry, key="user_id", registry_key="s_suppkey", account="s_name")
+    return known.groupBy("user_id", "s_name").agg(
+        F.count("*").alias("n_events"), F.count_if(F.col("event_type") == "error").alias("n_errors"))
+
+
+def missing_event_times(spark, sf_dir):
+    """Views have lost their time and count as of now."""
+    events = table(spark, sf_dir, "events").select(
+        "user_id", F.when(F.col("event_type") != "view", F.col("ts")).alias("ts"), "event_id",
+        (F.col("event_type") != "error").alias("good"))
+    folded = trust_fold(
+        events, key="user_id", ts="ts", seq="event_id", good=F.col("good"), now=F.lit(NOW).cast("timestamp_ntz"), **VEHICLE)
+    return folded.select("user_id", "ts", "event_id", F.round("trust", 6).alias("trust"), "score")
+
+
 def citation_citers(spark, sf_dir):
     return citers(citation_edges(spark, sf_dir))
 
@@ -133,11 +161,16 @@ QUERIES = {
     "score_reads": score_reads,
     "known_entity_events": known_entity_events,
     "unknown_entity_events": unknown_entity_events,
+    "entity_accounts": entity_accounts,
+    "missing_event_times": missing_event_times,
     "citation_citers": citation_citers,
     "citation_trust": citation_trust,
     "hybrid_verdicts": hybrid_verdicts,
 }
 
+UNTIMED_EVENTS = """
+  SELECT user_id AS k, CASE WHEN event_type = 'view' THEN TIMESTAMP '{now}' ELSE ts END AS ts, event_id AS seq,
+    event_type <> 'error' AS good FROM events"""
 SCORE = "CAST(round_even(trust, 0) AS INTEGER)"
 
 ORACLES = {
@@ -164,6 +197,11 @@ FROM asked a LEFT JOIN newest n ON a.user_id = n.k""",
 WHERE user_id IN (SELECT s_suppkey FROM supplier) GROUP BY user_id""",
     "unknown_entity_events": """SELECT user_id, count(*) AS n_events FROM events
 WHERE user_id NOT IN (SELECT s_suppkey FROM supplier) GROUP BY user_id""",
+    "entity_accounts": """SELECT e.user_id, s.s_name, count(*) AS n_events,
+  count(*) FILTER (e.event_type = 'error') AS n_errors
+FROM events e LEFT JOIN supplier s ON s.s_suppkey = e.user_id GROUP BY e.user_id, s.s_name""",
+    "missing_event_times": f"""WITH RECURSIVE {fold_ctes(UNTIMED_EVENTS.format(now=NOW), VEHICLE)}
+SELECT k AS user_id, ts, seq AS event_id, round(trust, 6) AS trust, {SCORE} AS score FROM folded""",
     "citation_citers": f"""WITH {EDGES}
 SELECT n.node, count(e.src) AS n_citations, count(DISTINCT e.src) AS n_citers
 FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) n LEFT JOIN edges e ON e.dst = n.node

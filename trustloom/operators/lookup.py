@@ -1,8 +1,8 @@
 """Attach a word table to word occurrences without moving the frequent words.
 
 Tables here are fitted ones: written, so that counting them reads file footers only. A table of at most ``hot_rows``
-rows is broadcast. A larger one is cut in two: word frequencies are skewed, and its most frequent ``hot_rows`` words make
-up nearly all occurrences. That head is broadcast; only occurrences it does not cover are shuffled to meet the tail.
+rows is broadcast. A larger one is cut in two: word frequencies are skewed, and its most frequent words, as many as
+``hot_rows`` and ``hot_bytes`` allow, make up nearly all occurrences. That head is broadcast; only occurrences it does not cover are shuffled to meet the tail.
 """
 
 from __future__ import annotations
@@ -18,16 +18,46 @@ from pyspark.sql.types import ArrayType, StructType
 
 HOT_ROWS = 200_000
 HOT_BYTES = 32 << 20
+# Steps of a histogram of counts per doubling, and parts by digest of the step that is cut.
+STEPS, DIGESTS = 32, 4096
 
 Parts = tuple[DataFrame, DataFrame | None]
 
 
-def by_count(table: DataFrame, key: str, count: str, hot_rows: int = HOT_ROWS) -> Parts:
-    """(head, tail) of a word table by a count column; no tail if the head holds all."""
-    if table.count() <= hot_rows:
+def _taken(sizes: list, rows: int, size: int) -> tuple[int, int, int]:
+    """How many of ``sizes`` (.., rows, bytes) fit one after the other, and what room is left then."""
+    for i, entry in enumerate(sizes):
+        if entry["n"] > rows or entry["bytes"] > size:
+            return i, rows, size
+        rows, size = rows - entry["n"], size - entry["bytes"]
+    return len(sizes), rows, size
+
+
+def by_count(
+    table: DataFrame, key: str, count: str, hot_rows: int = HOT_ROWS, hot_bytes: int = HOT_BYTES
+) -> Parts:
+    """(head, tail) of a word table by a count column: the most frequent words, at most ``hot_rows`` and ``hot_bytes`` of
+    them; no tail if the head holds all.
+
+    Nothing is sorted: a histogram of the counts on a logarithmic scale tells the step at which the room ends, and of
+    that step's words those with the first digests are taken. Both parts are filters on the table, which is read by
+    column and combined in the tasks, to a few thousand numbers.
+    """
+    step = F.floor(F.log2(F.greatest(F.col(count).cast("double"), F.lit(2.0**-60))) * STEPS)
+    digest = F.pmod(F.xxhash64(key), F.lit(DIGESTS))
+    widths = F.octet_length(F.col(key).cast("string")) + 8 * len(table.columns)
+    sums = [F.count("*").alias("n"), F.sum(widths).alias("bytes")]
+    steps = table.groupBy(step.alias("at")).agg(*sums).orderBy(F.desc("at")).collect()
+    taken, rows, size = _taken(steps, hot_rows, hot_bytes)
+    if taken == len(steps):
         return table, None
-    head = table.orderBy(F.desc(count), key).limit(hot_rows)
-    return head, table.join(F.broadcast(head.select(key)), key, "left_anti")
+    cut = steps[taken]["at"]
+    parts = table.where(step == cut).groupBy(digest.alias("at")).agg(*sums).orderBy("at").collect()
+    full, _, _ = _taken(parts, rows, size)
+    first_left = parts[full]["at"]
+    return (
+        table.where((step > cut) | ((step == cut) & (digest < first_left))),
+        table.where((step < cut) | ((step == cut) & (digest >= first_left))))
 
 
 def by_rank(table: DataFrame, rank: str, hot_rows: int = HOT_ROWS) -> Parts:

@@ -2,48 +2,136 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-from trustloom.functions.scalar import argmax_verdict, cosine
+from trustloom.functions.scalar import argmax_verdict, cosine, dot, hash_draw, seeded_hash
 from trustloom.operators import lookup
+from trustloom.operators.vocabulary import UNKNOWN_ID, skipgrams, training_pairs, word_ids
 from trustloom.session import materialise
 
-# Numbers in the broadcast part of a vector table: 64 MB.
-HOT_NUMBERS = 8_000_000
+# Numbers in the broadcast part of a vector table: 64 MB. Words whose vectors a task adds up at a time.
+HOT_NUMBERS, WORDS_AT_ONCE = 8_000_000, 50_000
+# Vectors start with numbers between -SPREAD and SPREAD, of so many different ones.
+SPREAD, DRAWS = 0.05, 1 << 20
+
+
+def _start(dim: int, seed: int) -> Column:
+    """Small numbers drawn from a digest of the id: the same on every run."""
+    def draw(i: Column) -> Column:
+        digest = seeded_hash(seed, F.col("id"), F.floor(i / 2))
+        both = (hash_draw(digest, word, F.lit(DRAWS).cast("bigint")) for word in (0, 1))
+        return (F.when(i % 2 == 0, next(both)).otherwise(next(both)) / F.lit(float(DRAWS)) - 0.5) * (2 * SPREAD)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), draw)
+
+
+def pair_weights(pairs: DataFrame, batches: int) -> DataFrame:
+    """(a, b, pos, neg, batch): how often word a stood in a true and in a drawn pair with word b, in either role. Both
+    directions of a pair are of one batch."""
+    both = pairs.select(F.col("center").alias("a"), F.col("context").alias("b"), "label").unionByName(
+        pairs.select(F.col("context").alias("a"), F.col("center").alias("b"), "label"))
+    sums = both.groupBy("a", "b").agg(
+        F.sum("label").cast("double").alias("pos"), F.sum(1 - F.col("label")).cast("double").alias("neg"))
+    return sums.withColumn("batch", ((F.col("a") + F.col("b")) % batches).cast("int"))
+
+
+def _trained(state: DataFrame, weights: DataFrame, dim: int, rate: float, small: bool) -> DataFrame:
+    """The next (id, vec, power) after one batch of pairs: every word moves along the sum of its pairs' gradients, the less
+    the more it has moved before."""
+    held = F.broadcast(state) if small else state
+    a = held.select(F.col("id").alias("a"), F.col("vec").alias("_x"))
+    b = held.select(F.col("id").alias("b"), F.col("vec").alias("_y"))
+    met = weights.join(a, "a").join(b, "b")
+    near = sum((F.get("_x", F.lit(i)) * F.get("_y", F.lit(i)) for i in range(1, dim)), F.get("_x", F.lit(0)) * F.get("_y", F.lit(0)))
+    met = met.select("a", "pos", "neg", "_y", (1.0 / (1.0 + F.exp(-near))).alias("_p"))
+    met = met.select("a", "_y", (F.col("pos") * (1.0 - F.col("_p")) - F.col("neg") * F.col("_p")).alias("_e"))
+    names = [f"_g{i}" for i in range(dim)]
+    sums = met.groupBy(F.col("a").alias("id")).agg(
+        *(F.sum(F.col("_e") * F.get("_y", F.lit(i))).alias(g) for i, g in enumerate(names)))
+    moved = state.join(sums.select("id", _as_array(names).alias("_g")), "id", "left")
+    moved = moved.withColumn("power", F.col("power") + F.coalesce(dot(F.col("_g"), F.col("_g")), F.lit(0.0)))
+    pace = F.when(F.col("power") > 0, F.lit(rate) / F.sqrt("power")).otherwise(F.lit(0.0))
+    after = F.zip_with("vec", "_g", lambda x, g: x + F.col("_pace") * g)
+    return moved.withColumn("_pace", pace).select("id", F.coalesce(after, "vec").alias("vec"), "power")
 
 
 def word_vectors(
     docs: DataFrame,
     vocab: DataFrame,
     *,
+    id_col: str = "doc_id",
     tokens_col: str = "tokens",
     dim: int = 50,
     window: int = 5,
-    min_count: int = 2,
     epochs: int = 3,
+    batches: int = 2,
+    rate: float = 0.5,
     seed: int = 42,
-    partitions: int | None = None,
 ) -> DataFrame:
-    """(w, id, vec): skip-gram vectors trained by Spark ML, with the ids of ``vocab``; written. ``partitions`` are trained
-    side by side and averaged after each epoch; as many as there are cores unless given. ML keeps vocabulary times ``dim``
-    floats on the driver, so raise ``min_count`` with the corpus."""
-    partitions = partitions or docs.sparkSession.sparkContext.defaultParallelism
-    trainer = Word2Vec(
-        vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=partitions,
-        maxSentenceLength=1_000_000, inputCol=tokens_col, outputCol="_unused",
-    )
-    trained = trainer.fit(docs.select(tokens_col)).getVectors()
-    vectors = trained.select(F.col("word").alias("w"), vector_to_array("vector").alias("vec"))
-    return materialise(vocab.select("w", "id").join(vectors, "w"), "word-vectors")
+    """(w, id, vec): skip-gram vectors of the words of ``vocab`` (w, id); written.
+
+    One table of vectors serves both roles. The true pairs of words at most ``window`` places apart and as many pairs of
+    ids drawn at random (id 0, any other word, among both) are told apart by the logistic function of the product of
+    their vectors. Equal pairs are counted once and for all, so a step costs what there are of different pairs, however
+    often they occur. An epoch goes through them in ``batches`` steps; each joins the pairs of its batch with the
+    vectors and sums the gradients by word, combined before the shuffle. A word's steps get shorter by the root of what
+    its gradients have summed up to. Vectors, pairs and sums are tables; the driver knows the number of words only. As
+    many numbers as ``HOT_NUMBERS`` allows are broadcast in a step, larger tables are joined by shuffle.
+    """
+    n = vocab.count()
+    sequences = word_ids(docs, vocab, id_col=id_col, tokens_col=tokens_col)
+    pairs = training_pairs(skipgrams(sequences, id_col=id_col, window=window), n + 1, id_col=id_col, seed=seed)
+    weights = materialise(pair_weights(pairs, batches), "pair-weights")
+    every = vocab.select("id").unionByName(docs.sparkSession.createDataFrame([(UNKNOWN_ID,)], "id bigint"))
+    state = materialise(every.select("id", _start(dim, seed).alias("vec"), F.lit(0.0).alias("power")), "word-vectors")
+    for step in range(epochs * batches):
+        part = weights.where(F.col("batch") == step % batches).drop("batch")
+        state = materialise(_trained(state, part, dim, rate, (n + 1) * dim <= HOT_NUMBERS), "word-vectors")
+    return materialise(vocab.select("w", "id").join(state.select("id", "vec"), "id"), "word-vectors")
 
 
 def _as_array(names: list[str]) -> Column:
     return F.array(*[F.col(c) for c in names])
 
 
+def _means(docs: DataFrame, vectors: DataFrame, ids: list[str], tokens_col: str, dim: int) -> DataFrame:
+    """(ids.., n_known, vec) of each document within its task, a few words' vectors at a time; of several vectors of a word
+    the first by id counts."""
+    found = vectors.groupBy("w").agg(F.min_by("vec", "id").alias("vec")).toArrow().combine_chunks()
+    matrix = found.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    shared = docs.sparkSession.sparkContext.broadcast((found.column("w").combine_chunks(), matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, matrix = shared.value
+        for batch in batches:
+            lists = batch.column(len(ids))
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=words), -1).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            doc, at = doc[at >= 0], at[at >= 0]
+            sums = np.zeros((len(ends), dim))
+            for i in range(0, len(at), WORDS_AT_ONCE):
+                part = doc[i : i + WORDS_AT_ONCE]
+                first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                sums[part[first]] += np.add.reduceat(matrix[at[i : i + WORDS_AT_ONCE]], first, axis=0)
+            n = np.bincount(doc, minlength=len(ends))
+            mean = sums / np.maximum(n, 1)[:, None]
+            offsets = pa.array(np.arange(len(ends) + 1, dtype=np.int32) * dim)
+            yield pa.record_batch(
+                [*batch.columns[: len(ids)], pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(mean.ravel()))],
+                names=[*ids, "n_known", "vec"])
+
+    schema = StructType([*docs.select(*ids).schema]).add("n_known", LongType()).add("vec", ArrayType(DoubleType()))
+    return docs.select(*ids, tokens_col).mapInArrow(run, schema)
+
+
 def doc_vectors(
     docs: DataFrame,
     vectors: DataFrame,
@@ -56,28 +144,26 @@ def doc_vectors(
 ) -> DataFrame:
     """(id, keep.., n_known, vec): mean over the occurrences of known words, the zero vector where there are none.
 
-    ``vectors``: a written table (w, id, vec) with ids by falling frequency. The vectors of the ``hot_rows`` most
-    frequent words (as many as fit into ``HOT_NUMBERS``) are broadcast and summed while a document is read; only rarer words travel. The sums are ``dim``
-    plain columns, so they combine before the shuffle.
+    ``vectors``: a written table (w, id, vec) with ids by falling frequency. One of at most ``hot_rows`` words (as many as
+    fit into ``HOT_NUMBERS``) is held by every task, and nothing is shuffled. Of a larger one the vectors of that many most
+    frequent words are broadcast and summed while a document is read; only rarer words travel, and the sums are ``dim``
+    plain columns, so they combine before the shuffle. Each row has its own mean, whatever its id.
     """
-    ids = [id_col, *keep]
     sums = [f"_s{i}" for i in range(dim)]
     vectors = vectors.withColumn("vec", F.col("vec").cast("array<double>"))
     head, tail = lookup.by_rank(vectors, "id", hot_rows or HOT_NUMBERS // dim)
-    words = docs.select(*ids, F.explode_outer(tokens_col).alias("w"))
     if tail is None:
-        met = words.join(F.broadcast(head.select("w", "vec")), "w", "left")
-        known = F.when(F.col("vec").isNotNull(), F.lit(1)).otherwise(F.lit(0))
-        parts = [F.get("vec", F.lit(i)) for i in range(dim)]
-    else:
-        hits = lookup.meet_head(words, head.select("w", "vec"), "w").groupBy(*ids, "_missed").agg(
-            F.count("vec").alias("_hits"),
-            F.count("_missed").alias("_times"),
-            *[F.sum(F.get("vec", F.lit(i))).alias(s) for i, s in enumerate(sums)],
-        )
-        met = lookup.meet_tail(hits, tail.select("w", F.col("vec").alias("_tail")), "w", F.col(id_col))
-        known = F.when(F.col("_tail").isNotNull(), F.col("_times")).otherwise(F.col("_hits"))
-        parts = [F.coalesce(F.col(s), F.col("_times") * F.get("_tail", F.lit(i))) for i, s in enumerate(sums)]
+        return _means(docs, head, [id_col, *keep], tokens_col, dim)
+    ids = ["_row", id_col, *keep]
+    words = docs.withColumn("_row", F.monotonically_increasing_id()).select(*ids, F.explode_outer(tokens_col).alias("w"))
+    hits = lookup.meet_head(words, head.select("w", "vec"), "w").groupBy(*ids, "_missed").agg(
+        F.count("vec").alias("_hits"),
+        F.count("_missed").alias("_times"),
+        *[F.sum(F.get("vec", F.lit(i))).alias(s) for i, s in enumerate(sums)],
+    )
+    met = lookup.meet_tail(hits, tail.select("w", F.col("vec").alias("_tail")), "w", F.col("_row"))
+    known = F.when(F.col("_tail").isNotNull(), F.col("_times")).otherwise(F.col("_hits"))
+    parts = [F.coalesce(F.col(s), F.col("_times") * F.get("_tail", F.lit(i))) for i, s in enumerate(sums)]
     totals = met.groupBy(*ids).agg(
         F.sum(known).alias("n_known"),
         *[F.sum(F.coalesce(part, F.lit(0.0))).alias(s) for part, s in zip(parts, sums)],
@@ -85,7 +171,7 @@ def doc_vectors(
     mean = F.transform(
         _as_array(sums), lambda x: F.when(F.col("n_known") > 0, x / F.col("n_known")).otherwise(F.lit(0.0))
     )
-    return totals.select(*ids, "n_known", mean.alias("vec"))
+    return totals.select(id_col, *keep, "n_known", mean.alias("vec"))
 
 
 def prototypes(vectors: DataFrame, *, dim: int, label_col: str = "label", vec_col: str = "vec") -> DataFrame:

@@ -1,7 +1,8 @@
 """Trust as a stream: the batch fold per micro-batch, with the state of the keys as a table.
 
-The fold of a micro-batch is the batch operator itself, so a key that fills a third of a batch is sliced there too. State
-is written per batch: the keys the batch touched, and all keys every ``full_every`` batches, so that reading it back
+The fold of a micro-batch is the batch operator itself, so a key that fills a third of a batch is sliced there too. The
+state of a key joins the fold as a row of its timeline, which also tells what comes late and what comes again: events
+are shuffled once. State is written per batch: the keys the batch touched, and all keys every ``full_every`` batches, so that reading it back
 looks at a bounded number of batches.
 """
 
@@ -49,16 +50,13 @@ def trust_stream(
     def step(batch: DataFrame, batch_id: int) -> None:
         at = F.coalesce(F.col(ts), F.current_timestamp()).cast("timestamp_ntz")
         rows = batch.select(key, at.alias("ts"), F.col(seq).alias("seq"), good.alias("good"))
-        rows = rows.dropDuplicates([key, "ts", "seq"])
         state = _state(spark, out, state_schema, key, batch_id, full_every)
+        folded = trust_fold(
+            rows, key=key, ts="ts", seq="seq", good=F.col("good"), state=state, strict=True, **params).persist()
         if state is not None:
-            last = state.select(key, F.struct("ts", "seq").alias("_last"))
-            placed = on_key(rows, last, key, "left")
-            is_late = F.coalesce(F.struct("ts", "seq") <= F.col("_last"), F.lit(False))
-            put(placed.where(is_late).drop("_last"), f"{out}/late", batch_id)
-            rows = placed.where(~is_late).drop("_last")
-        folded = trust_fold(rows, key=key, ts="ts", seq="seq", good=F.col("good"), state=state, **params)
-        history = put(folded, f"{out}/history", batch_id)
+            put(folded.where("late").select(key, "ts", "seq", "good"), f"{out}/late", batch_id)
+        history = put(folded.where("NOT late").drop("late"), f"{out}/history", batch_id)
+        folded.unpersist()
         touched = latest(history, key=key, order=("ts", "seq"), values=("trust", "ts", "seq"))
         if state is not None and batch_id % full_every == 0:
             touched = touched.unionByName(on_key(state, touched.select(key), key, "left_anti"))
