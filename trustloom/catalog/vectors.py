@@ -316,12 +316,12 @@ def _training_ctes() -> str:
     sums = ", ".join(f"sum(e * y[{i}])" for i in range(1, TRAINED_DIM + 1))
     ctes = [f"""{sequence_ctes('train', 'tokens')},
 {DRAWS},
-both AS (
+paired AS (
   SELECT center AS a, context AS b, 1 AS label FROM pairs UNION ALL SELECT context, center, 1 FROM pairs
   UNION ALL SELECT center, context, 0 FROM draws UNION ALL SELECT context, center, 0 FROM draws),
 pair_weights AS MATERIALIZED (
   SELECT a, b, CAST(sum(label) AS DOUBLE) AS pos, CAST(sum(1 - label) AS DOUBLE) AS neg, (a + b) % {BATCHES} AS batch
-  FROM both GROUP BY a, b),
+  FROM paired GROUP BY a, b),
 state0 AS MATERIALIZED (
   SELECT id, {_start_sql()} AS vec, CAST(0 AS DOUBLE) AS power FROM (SELECT id FROM vocab UNION ALL SELECT 0))"""]
     for k in range(EPOCHS * BATCHES):
