@@ -80,18 +80,22 @@ def top_k(
     those are ranked by a window.
 
     Null and empty vectors, vectors with a null component, and rows with a null id take no part; neither do pairs of vectors of
-    different length. Rows with one id are one vector, the smallest of them. A query without other rows has no result;
-    one with fewer than ``k`` has them all. No rows, no result.
+    different length. Of rows that share an id each is a candidate of its own, but not for queries of that id, and their
+    queries are one: its result is the best of what any of them finds. A query without other rows has no result; one with
+    fewer than ``k`` has them all. No rows, no result.
     """
     rows = vectors.select(
         column(id).cast("long").alias("id"),
         F.transform(column(vector), lambda x: x.cast("double")).alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     usable = F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull())
-    rows = rows.where(usable).groupBy("id").agg(F.min(F.struct("v", "q")).alias("x")).select("id", "x.v", "x.q")
+    rows = rows.where(usable)
     total, asked = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("int")), F.lit(0))).first()
     n_c, n_q = max(1, -(-total // candidates_at_once)), max(1, -(-asked // queries_at_once))
 
-    place = F.xxhash64("id")
+    # By row, not by id or vector: rows repeated any number of times spread over all blocks. A column of its own, so that
+    # a row's copies have one place.
+    rows = rows.withColumn("place", F.xxhash64(F.monotonically_increasing_id()))
+    place = F.col("place")
     shared = [F.size("v").alias("size"), "id", "v"]
     every = lambda n, name: F.explode_outer(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     candidates = rows.select(
