@@ -71,24 +71,31 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block
 
 
-def _references(pages: DataFrame, least: int) -> DataFrame:
-    """Rows (key, digest, refers_to) for each page that revisits another: the largest key among equal payloads of at
-    least ``least`` bytes. Payloads stay where they are; the pages with the commonest payloads get their response by a
-    broadcast, so no payload's pages meet in one task."""
-    light = pages.where((F.octet_length("payload") >= least) & F.col("key").isNotNull()).select("key", "digest")
-    light = materialise(light, "digests")
-    groups = light.groupBy("digest").agg(F.max("key").alias("response"), F.count("*").alias("n")).where("n > 1")
-    groups = materialise(groups, "payloads")
-    often = max(1000, light.count() // 1000)  # at most a thousand payloads are that common
+def _references(light: DataFrame, often: int) -> DataFrame:
+    """Rows (key, digest, refers_to) for each page of ``light`` (key, digest) that revisits another: the largest key among
+    equal payloads. Payloads stay where they are; the pages with the commonest payloads (``often``) get their response by
+    a broadcast, so no payload's pages meet in one task."""
+    groups = light.groupBy("digest").agg(F.max("key").alias("response"), F.count("*").alias("n"))
+    groups = materialise(groups.where((F.col("n") > 1) & F.col("response").isNotNull()), "payloads")
     common = light.join(F.broadcast(groups.where(F.col("n") >= often)), "digest")
     rare = light.join(groups.where(F.col("n") < often), "digest")
-    revisits = common.unionByName(rare).where(F.col("key") != F.col("response"))
-    return revisits.select("key", "digest", F.col("response").alias("refers_to")).distinct()
+    revisits = common.unionByName(rare).where(~F.col("key").eqNullSafe(F.col("response")))
+    return materialise(revisits.select("key", "digest", F.col("response").alias("refers_to")).distinct(), "revisits")
+
+
+def _crowds(light: DataFrame, references: DataFrame, often: int) -> DataFrame:
+    """Rows (crowd_key, crowd_digest, refers_to) of the keys and digests that ``often`` rows or more share, such as empty
+    pages without key. There are at most a thousand."""
+    crowds = light.groupBy("key", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= often)
+    named = references.withColumnsRenamed({"key": "to_key", "digest": "to_digest"})
+    same = F.col("key").eqNullSafe(F.col("to_key")) & (F.col("digest") == F.col("to_digest"))
+    return crowds.join(named, same, "left").select(
+        F.col("key").alias("crowd_key"), F.col("digest").alias("crowd_digest"), "refers_to")
 
 
 def _members(date: str, level: int):
-    """Each record as a gzip member, with the compressed bytes before it in its partition. A row without payload says
-    what the rows with its key and digest, which follow it, refer to."""
+    """Each record as a gzip member, with the compressed bytes before it in its partition. A row says itself what it refers
+    to, or one without payload says so for the rows with its key and digest, which follow it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, named = 0, (None, None, None)
@@ -99,7 +106,7 @@ def _members(date: str, level: int):
                 if payload is None:
                     named = (key, digest, refers_to)
                     continue
-                to = named[2] if named[:2] == (key, digest) else None
+                to = named[2] if refers_to is None and named[:2] == (key, digest) else refers_to
                 member = gzip_member(record(key, uri, payload.encode(), to, date), level)
                 made.append((part, key, before, member))
                 before += len(member) + len(EMPTY_MEMBER)
@@ -128,8 +135,10 @@ def write_warc(
        repeated tasks out); they are then renamed, and the manifest, renamed last, commits them. A reader takes what the
        manifest lists. Writing the same pages again gives the same bytes; an old manifest is taken away first.
 
-    A null payload is empty; a null URI has no header; a row with a null key is always a response. Rows repeated whole
-    give repeated records, all of them responses if theirs is the largest key. No rows, no files and an empty manifest.
+    A null payload is empty; a null URI has no header; a row with a null key revisits the page with the largest key that has
+    its payload, and is a response if there is none. Rows repeated whole give repeated records, all of them responses if
+    theirs is the largest key. No rows, no files and an empty manifest. Rows that share a key and a payload stay together,
+    unless they are more than one in a thousand: these spread over any number of ranges.
     """
     spark = pages.sparkSession
     rows = packed(pages).select(
@@ -137,9 +146,18 @@ def write_warc(
         F.coalesce(column(payload, "row"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     # What a page refers to travels as a row of its own to the page's place in the order, so payloads move only once.
-    both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(
-        _references(rows, least_revisit).withColumns({c: F.lit(None).cast("string") for c in ("uri", "payload")}))
-    both = both.repartitionByRange("key", "digest").sortWithinPartitions("key", "digest", F.col("payload").isNotNull(), "uri")
+    light = materialise(rows.where(F.octet_length("payload") >= least_revisit).select("key", "digest"), "digests")
+    often = max(1000, light.count() // 1000)
+    references = _references(light, often)
+    in_crowd = F.col("key").eqNullSafe(F.col("crowd_key")) & (F.col("digest") == F.col("crowd_digest"))
+    rows = rows.join(F.broadcast(_crowds(light, references, often)), in_crowd, "left")
+    crowded = F.col("crowd_digest").isNotNull()
+    rows = rows.select(
+        "key", "digest", "uri", "payload", "refers_to", F.when(crowded, F.coalesce("uri", F.lit(""))).alias("spread"),
+        F.when(crowded, F.xxhash64(F.monotonically_increasing_id())).alias("more"))
+    both = rows.unionByName(references, allowMissingColumns=True)
+    both = both.repartitionByRange("key", "digest", "spread", "more").sortWithinPartitions(
+        "key", "digest", F.col("payload").isNotNull(), "uri")
     members = materialise(
         both.withColumn("part", F.spark_partition_id()).mapInArrow(*_members(date, level)), "members")
 
