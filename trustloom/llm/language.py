@@ -14,6 +14,7 @@ from trustloom.llm.rows import column, packed, table
 from trustloom.llm.words import mix, small_batches
 
 GRAM_BITS = 16
+MODEL_BITS = 24  # a model has at most 2^24 numbers; the more languages, the fewer cells for n-grams
 GRAM_SIZES = (2, 4)
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -21,7 +22,7 @@ _LETTER = regex.compile(r"\p{L}")
 _BLANKED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
-def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+def gram_counts(text: str, bits: int = GRAM_BITS) -> tuple[np.ndarray, np.ndarray]:
     """The hashed byte n-grams of the text's lower-cased words (with a blank at both ends) and how often they occur."""
     data = b" " + b" ".join(text.lower().encode().translate(_BLANKED).split()) + b" "
     codes = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
@@ -31,10 +32,10 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
             gram = np.zeros(len(codes) - size + 1, dtype=np.uint64)
             for j in range(size):
                 gram = gram << np.uint64(8) | codes[j : len(codes) - size + 1 + j]
-            found.append(mix(gram + np.uint64(size << 40)) >> np.uint64(64 - GRAM_BITS))
+            found.append(mix(gram + np.uint64(size << 40)) >> np.uint64(64 - bits))
     if not found:
         return np.zeros(0, dtype=np.int64), np.zeros(0)
-    counts = np.bincount(np.concatenate(found).astype(np.int64), minlength=1 << GRAM_BITS)
+    counts = np.bincount(np.concatenate(found).astype(np.int64), minlength=1 << bits)
     grams = np.flatnonzero(counts)
     return grams, counts[grams].astype(float)
 
@@ -60,6 +61,7 @@ class Model:
 
     def __init__(self, languages: list[str], counts: np.ndarray, smoothing: float = 0.5):
         self.languages = languages
+        self.bits = len(counts).bit_length() - 1
         self.log = np.log((counts + smoothing) / (counts + smoothing).sum(axis=0))
 
     def languages_of(self, text: str | None, penalty: float) -> tuple[str, float, dict[str, float]]:
@@ -71,7 +73,7 @@ class Model:
         """
         if not text or not _LETTER.search(text) or not self.languages:
             return UNKNOWN, 0.0, {}
-        grams, counts = gram_counts(text)
+        grams, counts = gram_counts(text, self.bits)
         if not len(grams):
             return UNKNOWN, 0.0, {}
         counts = counts / len(GRAM_SIZES)
@@ -95,33 +97,33 @@ class Model:
         return self.languages[best[top]], float(min(max(share[top], 0.0), 1.0)), shares
 
 
-def fit_languages(
-    docs: DataFrame, *, text: str = "text", lang: str = "lang", id: str = "doc_id", per_language: int = 5_000,
-    max_languages: int = 256,
-) -> Model:
-    """Learn from the rows of ``docs`` with a language: at most about ``per_language`` of each, chosen by a hash of the id
-    (a bounded sample, so that the work of fitting does not grow). Counts are summed by Spark; the model is a table of
-    2^16 numbers per language. More than ``max_languages`` languages are an error. A language without any n-gram is kept
-    but never likely; without labelled rows the model knows no language and says ``und`` to everything."""
-    rows = packed(docs).select(
-        column(lang, "row").alias("lang"), column(text, "row").alias("text"), column(id, "row").alias("id"))
+def fit_languages(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = 5_000) -> Model:
+    """Learn from the rows of ``docs`` with a language: at most about ``per_language`` different texts of each, chosen by a
+    hash of the text (a bounded sample, so that the work of fitting does not grow, whatever rows repeat). Counts are summed
+    by Spark; the model is a table of 2^16 numbers per language, or of 2^24 in all where there are more than 256. A
+    language without any n-gram is kept but never likely; without labelled rows the model knows no language and says
+    ``und`` to everything."""
+    rows = packed(docs).select(column(lang, "row").alias("lang"), column(text, "row").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(max_languages + 1).collect()
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit((1 << MODEL_BITS - 8) + 1).collect()
     languages = [r.lang for r in sizes]
     if not languages:
         return Model([], np.zeros((1 << GRAM_BITS, 0)))
-    limits = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, min(1.0, per_language / r.n))))
-    draw = F.pmod(F.xxhash64(F.lit(29), "id"), F.lit(1_000_000)) / 1_000_000.0
-    sample = rows.where(draw < limits[F.col("lang")]).select("lang", "text")
+    bits = min(GRAM_BITS, MODEL_BITS - (len(languages) - 1).bit_length())
+    if bits < 8:
+        raise ValueError(f"a column of more than {1 << MODEL_BITS - 8} values does not name languages")
+    known = docs.sparkSession.createDataFrame(
+        [(r.lang, min(1.0, per_language / r.n)) for r in sizes], "lang string, share double")
+    rows = rows.join(F.broadcast(known), "lang").withColumn("print", F.xxhash64("text"))
+    draw = F.pmod(F.xxhash64(F.lit(29), "print"), F.lit(1_000_000)) / 1_000_000.0
+    sample = rows.where(draw < F.col("share")).dropDuplicates(["lang", "print"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in small_batches(batches, "text"):
             for name, body in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                grams, n = gram_counts(body)
-                sums.setdefault(name, np.zeros(1 << GRAM_BITS))[grams] += n
+                grams, n = gram_counts(body, bits)
+                sums.setdefault(name, np.zeros(1 << bits))[grams] += n
         for name, values in sums.items():
             grams = np.flatnonzero(values)
             yield pa.record_batch(
@@ -129,10 +131,11 @@ def fit_languages(
                 names=["lang", "gram", "n"])
 
     table_rows = sample.mapInArrow(count, "lang string, gram int, n double").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # At most languages x 2^16 numbers, whatever the input.
+    # At most 2^24 numbers, whatever the input.
     found = table_rows.toPandas()
-    counts = np.zeros((1 << GRAM_BITS, len(languages)))
-    counts[found["gram"].to_numpy(dtype=np.int64), found["lang"].map(languages.index).to_numpy(dtype=np.int64)] = found["n"]
+    place = {name: i for i, name in enumerate(languages)}
+    counts = np.zeros((1 << bits, len(languages)))
+    counts[found["gram"].to_numpy(dtype=np.int64), found["lang"].map(place).to_numpy(dtype=np.int64)] = found["n"]
     return Model(languages, counts)
 
 

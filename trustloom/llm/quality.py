@@ -113,7 +113,8 @@ def fit_quality(
     """Learn from the documents that ``labels`` marks 0 or 1: at most about ``per_label`` of each, chosen by a hash of the
     id (a bounded sample of labelled rows). Equal numbers of both keep the rarer label from being outvoted. The sample's
     ids, a few thousand, are broadcast to find its documents; only their features (4,096 numbers each) come back, and
-    the latent space is fitted on them. Null labels and ids are no label; an id with both labels is none either."""
+    the latent space is fitted on them. Null labels and ids are no label; an id with both labels is none either.
+    Of several texts under one id one is learnt from."""
     marks = packed(labels).select(column(id, "row").cast("long").alias("id"), column(label, "row").cast("int").alias("y"))
     marks = marks.where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).groupBy("id").agg(
         F.min("y").alias("y"), F.max("y").alias("other")).where(F.col("y") == F.col("other")).select("id", "y")
@@ -122,7 +123,10 @@ def fit_quality(
     limit = F.when(F.col("y") == 1, min(1.0, per_label / sizes.get(1, 1))).otherwise(min(1.0, per_label / sizes.get(0, 1)))
     sample = marks.where(draw < limit)
     rows = packed(docs).select(column(id, "row").cast("long").alias("id"), column(text, "row").alias("text"))
-    rows = rows.join(F.broadcast(sample), "id").where(F.length("text") > 0).select("id", "y", "text")
+    rows = rows.join(F.broadcast(sample), "id").where(F.length("text") > 0)
+    # Of several texts under one id the one with the smallest fingerprint, on every run.
+    one = F.min(F.struct(F.xxhash64("text").alias("print"), "y", "text")).alias("row")
+    rows = rows.groupBy("id").agg(one).select("id", "row.y", "row.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -131,7 +135,7 @@ def fit_quality(
                 [batch.column("id"), batch.column("y"), pa.array([row.tobytes() for row in x], pa.binary())],
                 names=["id", "y", "x"])
 
-    found = rows.mapInArrow(run, "id bigint, y int, x binary").dropDuplicates(["id"]).orderBy("id").collect()
+    found = rows.mapInArrow(run, "id bigint, y int, x binary").orderBy("id").collect()
     x = np.frombuffer(b"".join(r.x for r in found), dtype=np.float32).reshape(-1, FEATURES)
     return Model(x, np.array([r.y for r in found]), neighbours, power)
 
