@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trustloom.llm.rows import column, packed, table
 from trustloom.llm.words import WHITE_SPACE, mix, small_batches, split_words, window_prints
+from trustloom.session import materialise
 
 BATCH_BYTES = 6 << 20
 BUCKET_ENTRIES = 1_000_000
@@ -20,8 +21,13 @@ PART_BYTES = 8 << 20
 # Settled entries that go to one bucket together.
 SETTLED_ENTRIES = 1 << 16
 LAST = (1 << 63) - 1
-_ENTRIES = "bucket int, done boolean, ids binary, salts binary, counts binary, gaps binary, prints binary, flags binary"
-_PLACES = "part int, ids binary, salts binary, counts binary, gaps binary"
+# A batch is dealt to so many buckets or parts at a time; more of them take further rounds.
+FAN = 1024
+# Ids that several rows share: so many are flagged by a broadcast, 8 bytes each. Beyond, all rows are taken for such.
+SHARED_IDS = 100_000
+CROWDS = 1_000
+_ENTRIES = (
+    "key int, done boolean, ids binary, salts binary, counts binary, gaps binary, rest binary, prints binary, flags binary")
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -52,32 +58,49 @@ class _Docs:
     def doc_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.words.first, places, side="right") - 1
 
-    def rows(self, places: np.ndarray, bucket: np.ndarray, done: bool, prints: list[np.ndarray], flags=None) -> list[dict]:
-        """One packed row per bucket for the entries at ``places`` (in order), with fingerprints and flags."""
+    def rows(
+        self, places: np.ndarray, bucket: np.ndarray, width: int, done: bool, prints: list[np.ndarray], flags=None,
+    ) -> list[dict]:
+        """One packed row per ``width`` buckets for the entries at ``places`` (in order), with fingerprints and flags."""
         doc = self.doc_of(places)
-        return [
-            {"bucket": key, "done": done, **packed_places, "prints": b"".join(p[sel].tobytes() for p in prints),
-             "flags": b"" if flags is None else np.packbits(flags[sel]).tobytes()}
-            for key, sel, packed_places in _packed_by(bucket, self.ids, self.salts, doc, places - self.words.first[doc])]
-
-
-def _packed_by(key: np.ndarray, ids: np.ndarray, salts: np.ndarray, doc: np.ndarray, at: np.ndarray):
-    """For each key the entries that have it, and these packed: the documents, how many entries each has, and the gaps
-    between an entry and the one before it in its document. ``doc`` points into ``ids`` and ``salts``."""
-    order = np.argsort(key, kind="stable")
-    for sel in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else []:
+        return _packed(bucket, width, done, self.ids, self.salts, doc, places - self.words.first[doc], prints, flags)
+
+
+def _packed(
+    key: np.ndarray, width: int, done: bool, ids: np.ndarray, salts: np.ndarray, doc: np.ndarray, at: np.ndarray,
+    prints: list[np.ndarray], flags: np.ndarray | None = None,
+) -> list[dict]:
+    """A row for each run of ``width`` keys, with the entries that have them packed: the documents, how many entries each
+    has, and the gaps between an entry and the one before it in its document. ``doc`` points into ``ids`` and ``salts``;
+    ``rest`` tells the keys of a run apart."""
+    first_key, rest = key // width, (key % width).astype(np.uint32)
+    order, rows = np.argsort(first_key, kind="stable"), []
+    for sel in np.split(order, np.flatnonzero(np.diff(first_key[order])) + 1) if len(order) else []:
         d = doc[sel]
         first = np.flatnonzero(np.r_[True, np.diff(d) != 0])
         gaps = np.diff(at[sel], prepend=0)
         gaps[first] = at[sel][first]
-        yield int(key[sel[0]]), sel, {
-            "ids": _planes(ids[d[first]].astype(np.int64)), "salts": _planes(salts[d[first]].astype(np.int32)),
-            "counts": _planes(np.diff(np.r_[first, len(sel)]).astype(np.uint32)), "gaps": _planes(gaps.astype(np.uint32))}
+        rows.append({
+            "key": int(first_key[sel[0]]), "done": done, "ids": _planes(ids[d[first]].astype(np.int64)),
+            "salts": _planes(salts[d[first]].astype(np.int64)),
+            "counts": _planes(np.diff(np.r_[first, len(sel)]).astype(np.uint32)), "gaps": _planes(gaps.astype(np.uint32)),
+            "rest": rest[sel].tobytes() if width > 1 else b"", "prints": b"".join(p[sel].tobytes() for p in prints),
+            "flags": b"" if flags is None else np.packbits(flags[sel]).tobytes()})
+    return rows
+
+
+def widths(keys: int, fan: int) -> list[int]:
+    """How many keys stand together in a packed row, by round: each round has at most ``fan`` rows for each it is made of,
+    the last one a row per key."""
+    found = [1]
+    while found[0] * fan < keys:
+        found.insert(0, found[0] * fan)
+    return found
 
 
-def _table(rows: list[dict], schema: str) -> pa.Table:
+def _table(rows: list[dict]) -> pa.Table:
     kinds = {"int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
-    fields = (f.split() for f in schema.split(", "))
+    fields = (f.split() for f in _ENTRIES.split(", "))
     return pa.Table.from_pylist(rows, schema=pa.schema([(name, kinds[kind]) for name, kind in fields]))
 
 
@@ -85,18 +108,69 @@ class _Entries:
     """The entries of a packed row again."""
 
     def __init__(self, row: dict):
-        self.ids, self.salts = _unplaned(row["ids"], "int64"), _unplaned(row["salts"], "int32")
+        self.ids, self.salts = _unplaned(row["ids"], "int64"), _unplaned(row["salts"], "int64")
         self.counts = _unplaned(row["counts"], "uint32").astype(np.int64)
         gaps = _unplaned(row["gaps"], "uint32").astype(np.int64)
         sums = np.r_[0, np.cumsum(gaps)]
         starts = np.cumsum(self.counts) - self.counts
         self.at = sums[1:] - np.repeat(sums[starts], self.counts)
-        self.prints, self.flags = row.get("prints"), row.get("flags")
+        self.key, self.rest, self.prints, self.flags = (row[c] for c in ("key", "rest", "prints", "flags"))
+
+
+def _all_of(entries: list[_Entries]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, salts, the document of each entry among these, and the places, of all entries."""
+    ids, salts = (np.concatenate([getattr(e, c) for e in entries]) for c in ("ids", "salts"))
+    doc = np.repeat(np.arange(len(ids)), np.concatenate([e.counts for e in entries]))
+    return ids, salts, doc, np.concatenate([e.at for e in entries])
+
+
+def _prints_of(entries: list[_Entries], kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """The fingerprints of all entries: one array for each kind of number that they have."""
+    found, before = [], 0
+    for kind in kinds:
+        found.append(np.concatenate(
+            [np.frombuffer(e.prints, dtype=kind, count=len(e.at), offset=before * len(e.at)) for e in entries]))
+        before += np.dtype(kind).itemsize
+    return found
+
+
+def _flags_of(entries: list[_Entries]) -> np.ndarray:
+    return np.concatenate([np.unpackbits(np.frombuffer(e.flags, dtype=np.uint8), count=len(e.at)) for e in entries])
+
+
+def _regrouped(width: int, narrower: int, kinds: tuple[str, ...], flagged: bool, chunk: int):
+    """Packed rows of ``width`` keys each, which come sorted, taken together by about ``chunk`` entries and packed again by
+    ``narrower`` keys."""
+
+    def packed_again(entries: list[_Entries], done: bool) -> list[dict]:
+        if not entries:
+            return []
+        key = np.concatenate([e.key * width + np.frombuffer(e.rest, dtype=np.uint32).astype(np.int64) for e in entries])
+        return _packed(
+            key, narrower, done, *_all_of(entries), [] if done else _prints_of(entries, kinds),
+            _flags_of(entries) if flagged and not done else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[_Entries]] = {False: [], True: []}
+        n = 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                entries = _Entries(row)
+                held[row["done"]].append(entries)
+                n += len(entries.at)
+                if n >= chunk:
+                    for done, some in held.items():
+                        yield from _table(packed_again(some, done)).to_batches()
+                    held, n = {False: [], True: []}, 0
+        for done, some in held.items():
+            yield from _table(packed_again(some, done)).to_batches()
+
+    return run
 
 
 def part_of(ids, salts, parts: int):
-    """The part of the documents that one belongs to; copies of one text, and rows without id, are in all parts. Columns
-    must not be negative: Spark's % keeps the sign, numpy's does not."""
+    """The part of the documents that one belongs to. Columns must not be negative: Spark's % keeps the sign, numpy's does
+    not."""
     return (ids % parts + salts % parts) % parts
 
 
@@ -107,27 +181,25 @@ def dealt(n: int, batch: int, buckets: int) -> np.ndarray:
     return (mix(mix(np.uint64([batch])) + pieces) % np.uint64(buckets)).astype(np.int32)
 
 
-def _judged(group: pa.Table, judge, parts: int) -> pa.Table:
-    """The entries of a bucket that count, packed by part: those that ``judge`` says, and those that are done already."""
-    rows = sorted(group.drop_columns(["bucket"]).to_pylist(), key=lambda r: r["done"])
+def _judged(group: pa.Table, judge, parts: int, width: int) -> pa.Table:
+    """The entries of a bucket that count, packed by ``width`` parts: those that ``judge`` says, and those that are done
+    already."""
+    rows = sorted(group.to_pylist(), key=lambda r: r["done"])
     entries = [_Entries(r) for r in rows]
     asked = [e for e, r in zip(entries, rows) if not r["done"]]
     chosen = np.ones(sum(len(e.at) for e in entries), dtype=bool)
     if asked:
         verdict = judge(asked)
         chosen[: len(verdict)] = verdict
-    ids, salts = (np.concatenate([getattr(e, c) for e in entries]) for c in ("ids", "salts"))
-    doc = np.repeat(np.arange(len(ids)), np.concatenate([e.counts for e in entries]))[chosen]
-    at = np.concatenate([e.at for e in entries])[chosen]
-    part = part_of(ids, salts.astype(np.int64), parts)[doc]
-    return _table([{"part": key, **places} for key, _, places in _packed_by(part, ids, salts, doc, at)], _PLACES)
+    ids, salts, doc, at = _all_of(entries)
+    doc, at = doc[chosen], at[chosen]
+    return _table(_packed(part_of(ids, salts, parts)[doc], width, False, ids, salts, doc, at, []))
 
 
 def _places_of(docs: pa.Table, found: pa.Table) -> list[np.ndarray | None]:
     """For each document the places found in it."""
     lists: dict[tuple[int, int], list[np.ndarray]] = {}
-    for row in found.select(["ids", "salts", "counts", "gaps"]).to_pylist():
-        e = _Entries(row)
+    for e in map(_Entries, found.to_pylist()):
         ends = np.cumsum(e.counts).tolist()
         for key, a, b in zip(zip(e.ids.tolist(), e.salts.tolist()), [0, *ends], ends):
             lists.setdefault(key, []).append(e.at[a:b])
@@ -136,7 +208,8 @@ def _places_of(docs: pa.Table, found: pa.Table) -> list[np.ndarray | None]:
 
 
 def _one_batch(table: pa.Table) -> pa.RecordBatch:
-    return table.combine_chunks().to_batches()[0]
+    (batch,) = table.combine_chunks().to_batches()  # texts of 2 GB do not fit into one; a part is far below
+    return batch
 
 
 def _groups(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +220,11 @@ def _groups(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _anchor_entries(window: int, buckets: int):
+# What an entry's fingerprint is made of.
+_ANCHOR, _WINDOW = ("uint32",), ("uint64", "uint32")
+
+
+def _anchor_entries(window: int, buckets: int, width: int):
     """Every rolling block of half a window of every document, flagged where it is one of the document's fixed blocks."""
     block = window // 2
 
@@ -172,16 +249,15 @@ def _anchor_entries(window: int, buckets: int):
             high = (print_of >> np.uint64(32)).astype(np.uint32)
             # What repeats within the batch is found here and need not be judged.
             own = dealt(repeated.sum(), task + number, buckets)
-            rows = docs.rows(places[rep], bucket[rep], False, [high[rep]], fixed[rep])
-            yield from _table(rows + docs.rows(places[repeated], own, True, []), _ENTRIES).to_batches()
+            rows = docs.rows(places[rep], bucket[rep], width, False, [high[rep]], fixed[rep])
+            yield from _table(rows + docs.rows(places[repeated], own, width, True, [])).to_batches()
 
     return run
 
 
 def _judge_anchors(entries: list[_Entries]) -> np.ndarray:
     """A rolling block counts if its fingerprint is there again, one of them a fixed block."""
-    prints = np.concatenate([np.frombuffer(e.prints, dtype=np.uint32) for e in entries])
-    fixed = np.concatenate([np.unpackbits(np.frombuffer(e.flags, dtype=np.uint8), count=len(e.at)) for e in entries])
+    (prints,), fixed = _prints_of(entries, _ANCHOR), _flags_of(entries)
     order = np.argsort(prints, kind="stable")
     starts, run_of = _groups(order, prints)
     hit = (np.diff(np.r_[starts, len(order)]) > 1) & (np.maximum.reduceat(fixed[order], starts) > 0)
@@ -200,14 +276,14 @@ def _covering(first: int, last: int, starts: np.ndarray, before: int, after: int
     return np.cumsum(steps[:n]) > 0
 
 
-def _window_entries(window: int, buckets: int):
+def _window_entries(window: int, buckets: int, width: int):
     """Around each hit every window that holds the block, by two fingerprints of its words. Extending hits this way
     reaches the ends of each repeat exactly: a repeat is a run of windows that are equal elsewhere."""
     block = window // 2
 
     def run(part: pa.Table, hits: pa.Table) -> pa.Table:
         if not part.num_rows or not hits.num_rows:
-            return _table([], _ENTRIES)
+            return _table([])
         docs = _Docs(_one_batch(part))
         chosen = np.zeros(len(docs.words.start), dtype=bool)
         for i, at in enumerate(_places_of(part, hits)):
@@ -221,8 +297,8 @@ def _window_entries(window: int, buckets: int):
         bucket = (one % np.uint64(buckets)).astype(np.int32)
         # A smaller id in the same part settles it.
         own = dealt(later.sum(), part.column("part")[0].as_py(), buckets)
-        rows = docs.rows(places[~later], bucket[~later], False, [one[~later], two[~later]])
-        return _table(rows + docs.rows(places[later], own, True, []), _ENTRIES)
+        rows = docs.rows(places[~later], bucket[~later], width, False, [one[~later], two[~later]])
+        return _table(rows + docs.rows(places[later], own, width, True, []))
 
     return run
 
@@ -238,9 +314,7 @@ def _later(one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _judge_windows(entries: list[_Entries]) -> np.ndarray:
-    n = [len(e.at) for e in entries]
-    one = np.concatenate([np.frombuffer(e.prints, dtype=np.uint64, count=k) for e, k in zip(entries, n)])
-    two = np.concatenate([np.frombuffer(e.prints, dtype=np.uint32, offset=8 * k) for e, k in zip(entries, n)])
+    one, two = _prints_of(entries, _WINDOW)
     return _later(one, two, np.concatenate([np.repeat(e.ids, e.counts) for e in entries]))
 
 
@@ -259,15 +333,40 @@ def _cleaned(window: int, digest: bool):
             n_removed.append(int(gone.sum()))
         span = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())]))
         return pa.table({
-            "id": part.column("id"), "n_words": pa.array(docs.n, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
+            "id": part.column("id"), "copies": part.column("copies"), "n_words": pa.array(docs.n, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
             "kept": pa.array(kept, pa.string()), "spans": pa.array(spans, span)})
 
     return run
 
 
+def _identified(source: DataFrame, rows: int, shared_ids: int) -> DataFrame:
+    """``source`` (id, text), of ``rows`` rows, with ``salt``, which tells rows of one id apart and spreads ids
+    over the parts, and ``copies``: 31 bits of the id for rows whose id is theirs alone, else 64 bits of the text; so rows
+    of one id and salt have the same text. Where many rows share an id, more than
+    one in ``CROWDS``, those of one text become a row that says how many ``copies`` there are."""
+    own, texts, one = F.hash("id").bitwiseAND(F.lit((1 << 31) - 1)).cast("long"), F.xxhash64("text"), F.lit(1).cast("long")
+    alone = source.select("id", "text", own.alias("salt"), one.alias("copies"))
+    shared = materialise(source.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 1), "shared-ids")
+    n = shared.count()
+    if not n:
+        return alone
+    if n > shared_ids:
+        flagged = source.withColumn("met", F.lit(True))
+    else:
+        flagged = source.join(F.broadcast(shared.select("id", F.lit(True).alias("met"))), "id", "left")
+    flagged = flagged.select(
+        "id", "text", F.when(F.col("met"), texts).otherwise(own).alias("salt"), one.alias("copies"))
+    crowds = shared.where(F.col("n") * CROWDS > rows).select("id")  # fewer than that, so they are broadcast
+    if crowds.isEmpty():
+        return flagged
+    crowded = flagged.join(F.broadcast(crowds), "id", "left_semi").groupBy("id", "salt").agg(
+        F.first("text").alias("text"), F.sum("copies").alias("copies"))
+    return flagged.join(F.broadcast(crowds), "id", "left_anti").unionByName(crowded)
+
+
 def remove_repeats(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", window: int = 50, digest: bool = False,
-    bucket_entries: int = BUCKET_ENTRIES, part_bytes: int = PART_BYTES,
+    bucket_entries: int = BUCKET_ENTRIES, part_bytes: int = PART_BYTES, fan: int = FAN, shared_ids: int = SHARED_IDS,
 ) -> DataFrame:
     """Per document: ``id``, ``n_words``, ``n_removed``, ``kept`` (the words that stay, joined by one space; with
     ``digest`` its SHA-256) and ``spans`` (start and size, in words, of each run removed).
@@ -285,33 +384,48 @@ def remove_repeats(
     Entries travel packed, a row per bucket and batch of documents, about six bytes each. Before that, every batch
     settles what repeats within it, so that a passage which a third of all documents share meets once per batch in its
     bucket. What is settled is dealt to all buckets in pieces. Buckets hold about ``bucket_entries`` entries, and parts of
-    the documents about ``part_bytes`` of text, however large the input is. Texts are shuffled once, to parts; the hits and
-    the repeated windows of a part join them there.
+    the documents about ``part_bytes`` of text, however large the input is. Where there are more than ``fan`` of them,
+    entries get there in rounds, by ``fan`` ways each, and are packed anew in between: so there are at most ``fan`` rows for
+    each batch and round. Texts are shuffled once, to parts; the hits and the repeated windows of a part join them there.
 
     Null and empty texts have no words. A null id comes after all others, and equal ids are not smaller than each other:
     rows repeated whole keep their passages unless a smaller id has them; each row comes back. Documents shorter than a
     window lose nothing.
     """
     source = packed(docs).select(
-        column(id, "row").cast("long").alias("given"), F.coalesce(column(text, "row"), F.lit("")).alias("text"))
-    source = source.select(
-        F.coalesce("given", F.lit(LAST)).alias("id"), F.hash("text").alias("salt"), "text")
-    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        F.coalesce(column(id, "row").cast("long"), F.lit(LAST)).alias("id"),
+        F.coalesce(column(text, "row"), F.lit("")).alias("text"))
+    size, n = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     buckets = max(1, -(-size // (6 * bucket_entries)))
     parts = max(1, -(-size // part_bytes))
-    id_part, salt_part = (F.pmod(F.col(c).cast("long"), F.lit(parts)) for c in ("id", "salt"))
+    by_bucket, by_parts = widths(buckets, fan), widths(parts, fan)
+    source = _identified(source, n, shared_ids)
+    id_part, salt_part = (F.pmod(F.col(c), F.lit(parts)) for c in ("id", "salt"))
     part = part_of(id_part, salt_part, parts).cast("int")
-    by_part = source.select(part.alias("part"), "id", "salt", "text").groupBy("part")
-
-    def met(entries: DataFrame, judge) -> DataFrame:
-        return entries.groupBy("bucket").applyInArrow(lambda group: _judged(group, judge, parts), _PLACES).groupBy("part")
-
-    hits = met(source.mapInArrow(_anchor_entries(window, buckets), _ENTRIES), _judge_anchors)
-    around = by_part.cogroup(hits).applyInArrow(_window_entries(window, buckets), _ENTRIES)
-    result = by_part.cogroup(met(around, _judge_windows)).applyInArrow(
+    by_part = source.select(part.alias("part"), "id", "salt", "copies", "text").groupBy("part")
+
+    def dealt_on(rows: DataFrame, steps: list[int], kinds: tuple[str, ...], flagged: bool) -> DataFrame:
+        """Packed rows of ``steps[0]`` keys each as rows of a single key, round by round."""
+        for width, narrower in zip(steps, steps[1:]):
+            rows = rows.repartition("key").sortWithinPartitions("key").mapInArrow(
+                _regrouped(width, narrower, kinds, flagged, bucket_entries), _ENTRIES)
+        return rows
+
+    def met(entries: DataFrame, judge, kinds: tuple[str, ...], flagged: bool) -> DataFrame:
+        entries = dealt_on(entries, by_bucket, kinds, flagged)
+        judged = entries.groupBy("key").applyInArrow(lambda group: _judged(group, judge, parts, by_parts[0]), _ENTRIES)
+        return dealt_on(judged, by_parts, (), False).groupBy("key")
+
+    hits = met(source.mapInArrow(_anchor_entries(window, buckets, by_bucket[0]), _ENTRIES), _judge_anchors, _ANCHOR, True)
+    around = by_part.cogroup(hits).applyInArrow(_window_entries(window, buckets, by_bucket[0]), _ENTRIES)
+    result = by_part.cogroup(met(around, _judge_windows, _WINDOW, False)).applyInArrow(
         _cleaned(window, digest),
-        "id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start:int,size:int>>")
+        "id bigint, copies bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start:int,size:int>>")
     given = F.when(F.col("id") != LAST, F.col("id")).alias(id)
+    # In two steps, so that no array grows with the number of copies.
+    result = result.withColumn("_tens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 1000))))
+    left = F.least(F.col("copies") - F.col("_tens") * 1000, F.lit(1000))
+    result = result.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), left)))
     return result.select(given, "n_words", "n_removed", "kept", "spans")
 
 
