@@ -17,7 +17,7 @@ from trustloom.llm.decontaminate import decontaminate as find_passages
 from trustloom.llm.line_dedup import line_dedup as drop_boilerplate
 from trustloom.llm.near_dedup import near_duplicates
 from trustloom.llm.quality import fit_on, keep_quality
-from trustloom.llm.rows import packed, table
+from trustloom.llm.rows import column, packed, table
 from trustloom.session import materialise
 
 
@@ -27,11 +27,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source go; ``n_chars`` follows. Copies are one page, or a large group of them would lose
-    all its lines before ``near_dedup`` can keep one."""
-    cleaned = drop_boilerplate(docs, distinct_pages=True)
-    n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cleaned.withColumn("n_chars", n_chars).select(docs.columns)
+    """Boilerplate lines of each source go; ``n_chars`` follows if there is one. Copies are one page, or a large group of
+    them would lose all its lines before ``near_dedup`` can keep one; two pages are the least a line must be on. All other
+    columns stay as they are, whatever their names."""
+    rows = packed(docs).select("row", F.col("row.text").alias("text"), F.col("row.source").alias("source"))
+    cleaned = drop_boilerplate(rows, distinct_pages=True, min_pages=2)
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("n_dropped") > 0, n_chars).otherwise(F.col("row.n_chars"))
+    return cleaned.select(*(changed.get(c, column(c, "row")).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
