@@ -30,19 +30,31 @@ def test_top_k_equals_sort(spark):
     vectors[301], vectors[302] = vectors[5], vectors[5]  # ties
     rows = [(i, v, "x") for i, v in vectors.items()] + [(400, None, "x"), (420, [1, None] * 6, "x"), (None, [1] * 12, "x")]
     rows += [(440, [1, 2], "x"), (460, [], "x"), (480, [3, 4], "x"), (7, vectors[7], "again")]
-    vectors |= {440: [1, 2], 480: [3, 4]}
+    rows += [(40, rng.integers(-9, 10, 12).tolist(), "other"), (9, [9] * 12, "other"), (9, [-9] * 12, "other")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<int>, score string")
     got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=7, block=5, candidates_at_once=50, queries_at_once=4)
     found = defaultdict(list)
     for r in sorted(got.collect(), key=lambda r: r["rank"]):
         found[r.query_id].append((r.vec_id, r.score))
-    for q in (i for i in vectors if i % 20 == 0):
-        others = [(i, int(np.dot(v, vectors[q]))) for i, v in vectors.items() if i != q and len(v) == len(vectors[q])]
+    usable = [(i, v) for i, v, _ in rows if i is not None and v and None not in v]
+    for q in {i for i, _ in usable if i % 20 == 0}:
+        others = [
+            (i, int(np.dot(v, w))) for i, v in usable for j, w in usable if j == q and i != q and len(v) == len(w)]
         assert found.pop(q) == sorted(others, key=lambda x: (-x[1], x[0]))[:7]
     assert not found
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_repeated_vectors_as_in_sql(spark, tmp_path):
+    rows = [(1, [1.0, 1.0]), (1, [3.0, 3.0]), (20, [1.0, 2.0]), (20, [0.5, -1.0]), (2, [1.0, 0.0])] + [(7, [0.25, 0.25])] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = spark_result(topk.top_k(topk.whole_numbers(df), F.col("vec_id") % 20 == 0, candidates_at_once=4, queries_at_once=1))
+    con = duckdb.connect()
+    con.register("embeddings", df.toPandas())
+    assert difference(got, duck_result(con, registry.ORACLES["op4_topk"])) is None
+    assert got[1]
+
+
 def test_whole_numbers(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(1, [0.5, -0.01]), (2, [inf, 0.0]), (3, [nan, 0.0]), (4, [None, 0.0]), (5, None), (6, [])]
@@ -69,12 +81,12 @@ def test_archives_hold_the_pages(spark, tmp_path):
     got = warc.read_warc(spark, path).collect()
     rows, largest = df.collect(), {}
     for r in rows:
-        if r.page_id is not None:
+        if r.page_id is not None:  # a page without id is never what others revisit
             largest[r.html or ""] = max(largest.get(r.html or "", -1), r.page_id)
     want = Counter()
     for r in rows:
         body = (r.html or "").encode()
-        to = largest.get(r.html or "") if r.page_id is not None and largest[r.html or ""] != r.page_id else None
+        to = largest.get(r.html or "") if largest.get(r.html or "") != r.page_id else None
         want[(r.page_id, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if to is None else "revisit", to)] += 1
     assert Counter((r.key, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     text = {r.page_id: r.html or "" for r in rows}
@@ -85,6 +97,16 @@ def test_archives_hold_the_pages(spark, tmp_path):
     assert not glob.glob(f"{path}/_temporary*") and not glob.glob(f"{path}/*.tmp")
 
 
+def test_archives_of_a_crowd_without_id(spark, tmp_path):
+    rows = [(None, f"u{i % 3}", "", "k", 1) for i in range(3_000)] + [(i, "v", "", "k", 1) for i in range(40)]
+    rows += [(None, "w", "alone", "k", 1)] * 1_500 + [(7, "u", "x", "k", 1)] * 2
+    df, path = spark.createDataFrame(rows, PAGES).repartition(6), str(tmp_path / "warc")
+    warc.write_warc(df, path, roll_bytes=30_000)
+    got = Counter((r.key, r.payload_bytes, r.refers_to) for r in warc.read_warc(spark, path).collect())
+    assert got == Counter({(None, 0, 39): 3_000, (39, 0, None): 1, **{(i, 0, 39): 1 for i in range(39)},
+                           (None, 5, None): 1_500, (7, 1, None): 2})
+
+
 def test_archives_do_not_depend_on_partitions(spark, tmp_path):
     bytes_of = []
     for name, n in (("a", 3), ("b", 11), ("b", 5)):
@@ -176,7 +198,8 @@ def test_pipeline_stages(spark):
     scored = quality.score_quality(docs, quality.fit_on(spark, docs, SF_DIR)).collect()
     assert sorted(ids["quality"]) == sorted(r.doc_id for r in scored if r.score >= 0.3)
     texts = {r.doc_id: r.text for r in after["line_dedup"].collect()}
-    assert texts == {r.doc_id: r.text for r in line_dedup(after["quality"]).collect()}
+    cleaned = line_dedup(after["quality"], distinct_pages=True, min_pages=2)
+    assert texts == {r.doc_id: r.text for r in cleaned.collect()}
     classes = near_duplicates(after["line_dedup"]).collect()
     assert sorted(ids["near_dedup"]) == sorted({r.class_id for r in classes})
 
@@ -208,6 +231,18 @@ def test_pipeline_odd_rows(spark):
             assert got.count() == docs.count()
 
 
+def test_pipeline_leaves_other_columns_alone(spark):
+    schema = "doc_id long, text string, lang string, source string, n_lines int, n_dropped int, `a.b` int, row string"
+    rows = [(i, f"menu\npage {i} says this", "en", "s", 777, 778, i, "r") for i in range(6)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF_DIR)
+        assert got.columns == docs.columns
+        assert all((r.n_lines, r.n_dropped, r["a.b"], r.row) == (777, 778, r.doc_id, "r") for r in got.collect())
+        if name == "line_dedup":
+            assert sorted(r.text for r in got.collect()) == [f"page {i} says this" for i in range(6)]
+
+
 def test_pipeline_keeps_one_of_many_copies(spark):
     rnd = random.Random(23)
     page = lambda i: "\n".join(f"line {i} {j} " + " ".join(f"w{rnd.randrange(5_000)}" for _ in range(12)) for j in range(5))

@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -206,9 +208,9 @@ def repeats_by_loop(rows, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bucket_entries", [1_000_000, 50])
-@pytest.mark.parametrize("batch_bytes", [6 << 20, 500])
-def test_repeats_equal_loop(spark, monkeypatch, bucket_entries, batch_bytes):
+@pytest.mark.parametrize("bucket_entries, batch_bytes, fan, shared", [
+    (1_000_000, 6 << 20, 1_024, 100_000), (50, 500, 1_024, 0), (1_000_000, 500, 2, 0), (50, 6 << 20, 2, 100_000), (20, 500, 3, 1)])
+def test_repeats_equal_loop(spark, monkeypatch, bucket_entries, batch_bytes, fan, shared):
     monkeypatch.setattr(substring_dedup, "BATCH_BYTES", batch_bytes)
     rnd = random.Random(7)
     body, passages = texts(8, 60), [" ".join(f"p{rnd.randrange(50)}" for _ in range(n)) for n in (9, 10, 11, 23, 40)]
@@ -221,7 +223,9 @@ def test_repeats_equal_loop(spark, monkeypatch, bucket_entries, batch_bytes):
         rows.append((rnd.randrange(10_000), "\t ".join(ws)))
     rows += [(20_000, body[0]), (20_000, body[0]), (20_001, "x " * 60), (20_002, "x " * 45), (30_000, None), (30_001, "")]
     rows += [(None, body[1]), (None, " ".join(passages[-1].split()))]
-    got = substring_dedup.remove_repeats(frame(spark, rows, "doc_id long, text string"), window=10, bucket_entries=bucket_entries)
+    got = substring_dedup.remove_repeats(
+        frame(spark, rows, "doc_id long, text string"), window=10, bucket_entries=bucket_entries, part_bytes=2_000, fan=fan,
+        shared_ids=shared)
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()), key=str)
     assert got == repeats_by_loop(rows, 10)
 
@@ -239,14 +243,52 @@ def test_repeats_of_negative_ids_in_many_parts(spark):
 
 def test_settled_repeats_of_equal_batches_spread_over_buckets(spark):
     copies = frame(spark, [(None, " ".join(f"w{i}" for i in range(60)))] * 4_000, "doc_id long, text string")
-    source = copies.selectExpr("9 AS id", "text", "hash(text) AS salt").repartition(80)
-    found = source.mapInArrow(substring_dedup._anchor_entries(50, 40), substring_dedup._ENTRIES)
-    settled = [r.bucket for r in found.where("done").select("bucket").collect()]
+    source = copies.selectExpr("9 AS id", "text", "xxhash64(text) AS salt").repartition(80)
+    found = source.mapInArrow(substring_dedup._anchor_entries(50, 40, 1), substring_dedup._ENTRIES)
+    settled = [r.key for r in found.where("done").select("key").collect()]
     assert len(settled) == 80 and max(Counter(settled).values()) <= 12
     pieces = substring_dedup.dealt(5 * substring_dedup.SETTLED_ENTRIES, 3, 1_000)
     assert len(set(pieces.tolist())) > 3
 
 
+def test_repeats_of_rows_without_id_stay_apart(spark, monkeypatch):
+    """Texts whose 32-bit hashes are equal: the second of them shares no word with any other."""
+    from pyspark.sql import functions as sf
+
+    monkeypatch.setattr(sf, "hash", lambda *columns: sf.lit(7))
+    passage = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, f"{passage} tail"), (None, passage), (None, " ".join(f"b{i}" for i in range(60)))]
+    got = substring_dedup.remove_repeats(frame(spark, rows, "doc_id long, text string")).collect()
+    assert sorted((r.n_words, r.n_removed) for r in got) == [(60, 0), (60, 60), (61, 0)]
+
+
+def test_copies_without_id_are_taken_once(spark):
+    passage = " ".join(f"a{i}" for i in range(60))
+    rows = [(None, passage)] * 2_500 + [(5, passage), (3, f"x {passage}"), (9, "other words")]
+    got = substring_dedup.remove_repeats(frame(spark, rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_removed, r.kept) for r in got) == Counter(
+        {(None, 60, ""): 2_500, (5, 60, ""): 1, (3, 0, f"x {passage}"): 1, (9, 0, "other words"): 1})
+
+
+def test_packed_rows_grow_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", 2_000)
+    counts = []
+    for n in (100, 200, 400):
+        rows = frame(spark, [(i, t) for i, t in enumerate(texts(31, n))], "id long, text string").repartition(4)
+        source = rows.selectExpr("id", "text", "id AS salt")
+        buckets = n // 2
+        steps = substring_dedup.widths(buckets, 4)
+        packed = source.mapInArrow(substring_dedup._anchor_entries(10, buckets, steps[0]), substring_dedup._ENTRIES).cache()
+        made = [packed.count()]
+        for width, narrower in zip(steps, steps[1:]):
+            packed = packed.repartition("key").sortWithinPartitions("key").mapInArrow(
+                substring_dedup._regrouped(width, narrower, ("uint32",), True, 500), substring_dedup._ENTRIES).cache()
+            made.append(packed.count())
+        assert {r.key for r in packed.select("key").distinct().collect()} <= set(range(buckets))
+        counts.append(max(made))
+    assert counts[1] < 2.6 * counts[0] and counts[2] < 2.6 * counts[1]
+
+
 def test_repeats_odd_rows(spark):
     docs = odd(spark, texts(9, 10))
     assert substring_dedup.remove_repeats(docs).count() == docs.count()
@@ -388,6 +430,52 @@ def test_languages_and_mixtures(spark):
     assert language.identify_languages(frame(spark, new, schema), nothing).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sets_equal_trying_all_sets(spark):
+    """The set that is chosen step by step against the best of all sets by penalised likelihood."""
+    rnd = random.Random(27)
+    rows = [(i, words_of(lang, rnd, 60), lang) for i, lang in enumerate(["xx", "yy", "zz"] * 20)]
+    model = language.fit_languages(frame(spark, rows, "doc_id long, text string, lang string"))
+    for parts in (["xx"], ["yy", "zz"], ["xx", "yy", "zz"], ["zz", "xx"]):
+        text = " ".join(words_of(p, rnd, rnd.randrange(30, 60)) for p in parts)
+        grams, counts = language.gram_counts(text, model.bits)
+        counts = counts / len(language.GRAM_SIZES)
+        log = model.log[grams]
+        likelihood = np.exp(log - log.max(axis=1, keepdims=True))
+        found = []
+        for size in (1, 2, 3):
+            for chosen in combinations(range(3), size):
+                share, fit = language.mixture(likelihood[:, chosen], counts)
+                found.append((fit - 2.0 * size * np.log(counts.sum()), chosen, share))
+        _, chosen, share = max(found, key=lambda f: f[0])
+        name, score, shares = model.languages_of(text, 2.0)
+        assert {model.languages[j] for j in chosen} == set(shares) == set(parts)
+        assert score == pytest.approx(share.max(), abs=1e-3) and name == model.languages[chosen[int(share.argmax())]]
+
+
+def test_rows_without_id_do_not_swamp_the_fits(spark):
+    rnd = random.Random(28)
+    rows = [(i, words_of(lang, rnd, 40), lang) for i, lang in enumerate(["xx", "yy"] * 60)]
+    rows += [(None, words_of("xx", rnd, 40), "xx") for _ in range(30)] + [(None, "abc abd", "xx")] * 60
+    docs = frame(spark, [(*r, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, `a.b` int, print int, share int")
+    model = language.fit_languages(docs, per_language=50)
+    assert model.languages == ["xx", "yy"]
+    got = language.identify_languages(docs, model)
+    assert got.count() == len(rows) and got.where("lang_pred = 'xx'").count() == 150
+    labels = frame(spark, [(i, i % 2) for i in range(120)] + [(None, 1)] * 60, "doc_id long, quality int")
+    twice = docs.unionByName(docs.where("doc_id < 40").withColumn("text", F.concat("text", F.lit(" more"))))
+    first, second = (quality.fit_quality(d, labels) for d in (twice, twice.repartition(7)))
+    assert np.array_equal(first.vectors, second.vectors) and len(first.labels) == 120
+
+
+def test_more_languages_have_fewer_cells(spark, monkeypatch):
+    monkeypatch.setattr(language, "MODEL_BITS", 14)
+    rnd = random.Random(29)
+    rows = [(i, words_of(lang, rnd, 80), f"{lang}{i % 30 if lang == 'yy' else ''}") for i, lang in enumerate(["xx", "yy", "zz"] * 60)]
+    model = language.fit_languages(frame(spark, rows, "doc_id long, text string, lang string"))
+    assert model.log.size <= 1 << 14 and len(model.languages) == 12
+    assert model.languages_of(words_of("zz", rnd, 200), 2.0)[0] == "zz"
+
+
 def test_mixture_finds_the_proportions():
     likelihood, counts = np.array([[0.7, 0.1], [0.2, 0.2], [0.1, 0.7]]), np.array([520.0, 200.0, 280.0])
     share, fit = language.mixture(likelihood, counts, rounds=500, close=1e-9)
@@ -413,6 +501,19 @@ def test_quality_votes(spark):
     assert {r.score for r in quality.score_quality(docs, untaught).collect()} == {0.5}
 
 
+def test_votes_equal_plain_neighbours(spark):
+    rnd = random.Random(30)
+    docs = frame(spark, [(i, words_of("xx" if i % 2 else "yy", rnd, 20), "s") for i in range(80)])
+    labels = frame(spark, [(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels, neighbours=7)
+    x = model.project(quality.features(pa.array([r.text for r in docs.orderBy("doc_id").collect()])))
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
+    for i, v in enumerate(x):
+        near = sorted(((float(u @ v), int(y)) for u, y in zip(model.vectors, model.labels)), reverse=True)[:7]
+        weights = [max(s, 0.0) ** model.power for s, _ in near]
+        assert got[i] == pytest.approx(sum(w * y for w, (_, y) in zip(weights, near)) / sum(weights), abs=1e-3)
+
+
 def test_quality_tells_junk_by_its_words(spark):
     rnd = random.Random(26)
     good, junk = (["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9))) for _ in range(n)] for n in (900, 90))
