@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from sequential import fold
 from trustloom.functions.constants import SOURCE, VEHICLE
 from trustloom.operators.reputation import latest, read_scores, trust_fold, with_account
+from trustloom.session import materialise
 
 SCHEMA = "entity string, ts timestamp_ntz, seq bigint, good boolean"
 
@@ -123,3 +125,36 @@ def test_accounts_stand_beside_events(spark):
     got = with_account(events, registry, key="entity", registry_key="vehicle", account="account")
     assert {(r.entity, r.n, r.account) for r in got.collect()} == {
         ("a", 1, "0x0"), ("a", 2, "0x0"), ("b", 3, None), (None, 4, None)}
+
+
+def test_a_fold_that_goes_on_shuffles_events_once(spark):
+    rows = events(300)
+    first = folded(spark, rows[:150], VEHICLE)
+    state = materialise(latest(first, key="entity", order=("ts", "seq"), values=("trust", "ts", "seq")), "state")
+    both = materialise(spark.createDataFrame(rows[150:], SCHEMA), "events")
+    fold_on = trust_fold(both, key="entity", ts="ts", seq="seq", good=F.col("good"), state=state, strict=True, **VEHICLE)
+    assert fold_on._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("slice_rows", [10**6, 6])
+def test_strict_folds_mark_late_events_and_take_repeated_ones_once(spark, slice_rows):
+    hour = dt.timedelta(hours=1)
+    base = dt.datetime(2024, 1, 1)
+    state = spark.createDataFrame([("a", 40.0, base + 5 * hour, 9), ("z", 70.0, base, 1)],
+                                  "entity string, trust double, ts timestamp_ntz, seq long")
+    late = [("a", base + hour, 3, True), ("a", base + 5 * hour, 9, True), ("a", base + 5 * hour, 8, False)]
+    new = [("a", base + 5 * hour, 10, False), ("a", base + 7 * hour, 11, True), ("b", base, 1, True), ("a", base + 8 * hour, 12, True)]
+    rows = late + new + [new[1]] * 3 + [new[2], late[0]]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = trust_fold(df, key="entity", ts="ts", seq="seq", good=F.col("good"), state=state, strict=True,
+                     slice_rows=slice_rows, **VEHICLE).collect()
+    assert sorted((r.entity, r.seq) for r in got if not r.late) == [("a", 10), ("a", 11), ("a", 12), ("b", 1)]
+    assert {(r.entity, r.seq) for r in got if r.late} == {("a", 3), ("a", 8), ("a", 9)}
+    x = 40.0 * 0.5
+    want = {10: x}
+    for n, gap in ((11, 2), (12, 1)):
+        x *= math.exp(-0.1 * gap)
+        x += 0.1 * (100 - x)
+        want[n] = x
+    assert {r.seq: r.trust for r in got if r.entity == "a" and not r.late} == pytest.approx(want)
+    assert {r.seq: r.gap for r in got if r.entity == "a" and not r.late} == {10: 0.0, 11: 2.0, 12: 1.0}

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from trustloom.functions.scalar import (
     two_class_probability,
 )
 from trustloom.functions.text import CLEANERS, ngrams, sequence_words, tokeniser
+from trustloom.operators.naive_bayes import term_counts
 
 
 def words(spark, cleaner, text):
@@ -89,3 +91,18 @@ def test_formulas(spark):
 def test_other_labels_are_refused(spark):
     with pytest.raises(Exception, match="fake or real"):
         value(spark, is_fake(F.lit("satire")))
+
+
+def test_a_tokeniser_of_the_caller_runs_once_per_text(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.arrow_udf("array<string>")
+    def halves(texts: pa.Array) -> pa.Array:
+        seen.add(len(texts))
+        return pa.array([[t[: len(t) // 2], t[len(t) // 2 :]] if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    docs = spark.createDataFrame([(i, "fake" if i % 2 else "real", f"abcd{i}") for i in range(20)] + [(99, "real", None)],
+                                 "doc_id int, label string, text string")
+    counts = term_counts(docs.select("label", tokeniser(halves)(F.col("text")).alias("tokens")))
+    got = {r.w: (r.n_fake, r.n_real) for r in counts.collect()}
+    assert seen.value == 21 and got["ab"] == (5, 5) and got["cd3"] == (1, 0)

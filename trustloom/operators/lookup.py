@@ -14,7 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+
+from trustloom.session import materialise
 
 HOT_ROWS = 200_000
 HOT_BYTES = 32 << 20
@@ -22,6 +24,7 @@ HOT_BYTES = 32 << 20
 STEPS, DIGESTS = 32, 4096
 
 Parts = tuple[DataFrame, DataFrame | None]
+_MISSED = ArrayType(StructType().add("pos", IntegerType()).add("w", StringType()))
 
 
 def _taken(sizes: list, rows: int, size: int) -> tuple[int, int, int]:
@@ -60,11 +63,12 @@ def by_count(
         table.where((step < cut) | ((step == cut) & (digest >= first_left))))
 
 
-def by_rank(table: DataFrame, rank: str, hot_rows: int = HOT_ROWS) -> Parts:
-    """(head, tail) of a word table whose dense rank starts at 1 with the most frequent word."""
-    if table.count() <= hot_rows:
-        return table, None
-    return table.where(F.col(rank) <= hot_rows), table.where(F.col(rank) > hot_rows)
+def by_rank(
+    table: DataFrame, key: str, rank: str, hot_rows: int = HOT_ROWS, hot_bytes: int = HOT_BYTES
+) -> Parts:
+    """(head, tail) of a word table whose rank starts at 1 with the most frequent word."""
+    head, tail = by_count(table.withColumn("_order", F.lit(1.0) / F.col(rank)), key, "_order", hot_rows, hot_bytes)
+    return head.drop("_order"), None if tail is None else tail.drop("_order")
 
 
 def meet_head(left: DataFrame, head: DataFrame, key: str) -> DataFrame:
@@ -80,16 +84,6 @@ def meet_tail(met: DataFrame, tail: DataFrame, key: str, spread: Column) -> Data
     return met.withColumn("_probe", probe).join(tail.withColumnRenamed(key, "_probe"), "_probe", "left").drop("_probe")
 
 
-def attach(left: DataFrame, parts: Parts, *, key: str, value: str, spread: Column) -> DataFrame:
-    """``left`` with ``value`` of its word, null where the table has none."""
-    head, tail = parts
-    if tail is None:
-        return left.join(F.broadcast(head.select(key, value)), key, "left")
-    met = meet_head(left, head.select(key, value), key)
-    both = meet_tail(met, tail.select(key, F.col(value).alias("_tail_value")), key, spread)
-    return both.withColumn(value, F.coalesce(F.col(value), F.col("_tail_value"))).drop("_tail_value", "_missed")
-
-
 def bounded(table: DataFrame, rows: int, max_rows: int = HOT_ROWS) -> DataFrame:
     """``table``, known to have ``rows`` rows, marked for broadcast if these are at most ``max_rows``. A larger one is
     joined by shuffle, where adaptive execution splits heavy keys."""
@@ -103,23 +97,25 @@ def fits(table: DataFrame, *columns: str, hot_rows: int = HOT_ROWS, hot_bytes: i
     return found.n <= hot_rows and found.bytes <= hot_bytes
 
 
-def numbered(docs: DataFrame, *columns) -> DataFrame:
-    """``columns`` beside a ``_row`` of each row's own, by which its words are gathered again: ids may repeat or be null."""
-    return docs.withColumn("_row", F.monotonically_increasing_id()).select("_row", *columns)
-
-
 def one_each(table: DataFrame, key: str, value: str) -> DataFrame:
     """The table with one entry a word, the smallest."""
     return table.groupBy(key).agg(F.min(value).alias(value))
 
 
+def _lists(values: pa.Array, lists: pa.Array) -> pa.ListArray:
+    """``values`` in lists as long as ``lists``; no list is an empty one."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), values)
+
+
 def replaced(
     docs: DataFrame, table: DataFrame, ids: list[str], words: str, *, key: str, value: str, name: str,
-    default: int | str | None = None,
+    default: int | str | None = None, missed: str | None = None,
 ) -> DataFrame:
     """(ids.., name): each word of the list ``words`` replaced in place by its ``value``. Words that ``table`` lacks become
     ``default``, or stay if there is none. Of several entries of a word the smallest counts. No list is an empty one.
-    Nothing is shuffled; ``table`` must be one that ``fits``."""
+    Nothing is shuffled; ``table`` must be one that ``fits``. With ``missed`` a column of that name lists the words that
+    the table lacks, with their places."""
     entries = table.select(key, value).toArrow().sort_by([(key, "ascending"), (value, "ascending")]).combine_chunks()
     shared = docs.sparkSession.sparkContext.broadcast(entries)
 
@@ -128,12 +124,57 @@ def replaced(
         for batch in batches:
             lists = batch.column(len(ids))
             flat = lists.flatten()
-            met = values.take(pc.index_in(flat, value_set=keys))
+            at = pc.index_in(flat, value_set=keys)
+            met = values.take(at)
             met = pc.coalesce(met, flat) if default is None else pc.fill_null(met, default)
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            offsets = pa.array(np.r_[0, ends], pa.int32())
-            yield pa.record_batch(
-                [*batch.columns[: len(ids)], pa.ListArray.from_arrays(offsets, met)], names=[*ids, name])
+            columns = [*batch.columns[: len(ids)], _lists(met, lists)]
+            if missed:
+                absent = np.flatnonzero(pc.and_(pc.is_null(at), pc.is_valid(flat)).to_numpy(zero_copy_only=False))
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+                begin = np.r_[0, ends]
+                doc = np.searchsorted(ends, absent, side="right")
+                rows = pa.StructArray.from_arrays(
+                    [pa.array((absent - begin[doc]).astype(np.int32)), flat.take(pa.array(absent))], names=["pos", "w"])
+                offsets = np.searchsorted(absent, begin).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), rows))
+            yield pa.record_batch(columns, names=[*ids, name, *([missed] if missed else [])])
 
     schema = StructType([*docs.select(*ids).schema]).add(name, ArrayType(table.schema[value].dataType))
+    if missed:
+        schema = schema.add(missed, _MISSED)
     return docs.select(*ids, words).mapInArrow(run, schema)
+
+
+def replaced_by_parts(
+    docs: DataFrame, parts: Parts, ids: list[str], words: str, *, key: str, value: str, name: str,
+    default: int | str | None = None,
+) -> DataFrame:
+    """As ``replaced`` for a table of any size, cut in two. Words of the head are replaced where they stand. Only the words
+    it lacks are shuffled, with their places, to meet the tail, and only documents that have a word of the tail are joined
+    with what was found; the others never move."""
+    head, tail = parts
+    if tail is None:
+        return replaced(docs, head, ids, words, key=key, value=value, name=name, default=default)
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    first = materialise(
+        replaced(rows, head, ["_row", *ids], words, key=key, value=value, name=name, default=default, missed="_missed"),
+        "replaced")
+    asked = first.where(F.size("_missed") > 0).select("_row", F.inline("_missed"))
+    found = asked.join(one_each(tail, key, value).withColumnRenamed(key, "w"), "w").groupBy("_row").agg(
+        F.collect_list("pos").alias("_at"), F.collect_list(value).alias("_values"))
+    kind = first.schema[name].dataType
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, at, values = (batch.column(c) for c in (name, "_at", "_values"))
+            flat, at_flat = lists.flatten(), at.flatten().to_numpy(zero_copy_only=False)
+            begin = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+            n = pc.fill_null(pc.list_value_length(at), 0).to_numpy(zero_copy_only=False)
+            take = np.arange(len(flat))
+            take[at_flat + np.repeat(begin[:-1], n)] = len(flat) + np.arange(len(at_flat))
+            both = pa.concat_arrays([flat, values.flatten()]).take(pa.array(take))
+            yield pa.record_batch([*(batch.column(c) for c in ids), _lists(both, lists)], names=[*ids, name])
+
+    schema = StructType([*first.select(*ids).schema]).add(name, kind)
+    late = first.where(F.size("_missed") > 0).drop("_missed").join(found, "_row", "left").drop("_row")
+    return first.where(F.size("_missed") == 0).select(*ids, name).unionByName(late.mapInArrow(fill, schema))

@@ -151,7 +151,7 @@ def doc_vectors(
     """
     sums = [f"_s{i}" for i in range(dim)]
     vectors = vectors.withColumn("vec", F.col("vec").cast("array<double>"))
-    head, tail = lookup.by_rank(vectors, "id", hot_rows or HOT_NUMBERS // dim)
+    head, tail = lookup.by_rank(vectors, "w", "id", hot_rows or HOT_NUMBERS // dim)
     if tail is None:
         return _means(docs, head, [id_col, *keep], tokens_col, dim)
     ids = ["_row", id_col, *keep]
