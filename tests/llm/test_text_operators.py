@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trustloom.llm import bpe, decontaminate, language, line_dedup, near_dedup, quality, sharding, substring_dedup
+from trustloom.llm.words import LOWER_WORDS, split_words, window_prints
 
 DOCS = "doc_id long, text string, source string, row string, n long, words string, at string, id string, print string"
 
@@ -298,6 +299,22 @@ def test_repeats_odd_rows(spark):
 # ---- near copies
 
 
+def test_signatures_of_a_batch_equal_those_of_each_text():
+    rnd = random.Random(33)
+    body = texts(34, 40) + ["", "a", "a b", "a b c d", "a a a a a a a a a", None, "é ü ö ß x"]
+    words = split_words(pa.array(body), LOWER_WORDS)
+    doc, ids, counts = near_dedup.batch_shingles(words.print, words.first, 5)
+    found = near_dedup.prob_min_hashes(doc, ids, counts, len(body), 24)
+    prints = [near_dedup.text_prints(words.print, words.first, w) for w in (0, 1)]
+    for i in rnd.sample(range(len(body)), len(body)):
+        own = words.print[words.first[i] : words.first[i + 1]]
+        a, x = near_dedup.shingles(own, 5)
+        assert np.array_equal(ids[doc == i], a) and np.array_equal(counts[doc == i], x)
+        assert np.array_equal(found[i], near_dedup.prob_min_hash(a, x, 24))
+        for which, whole in enumerate(prints):
+            assert whole[i] == (window_prints(own, len(own), which)[0] if len(own) else 0)
+
+
 def similarity(x, y):
     keys = set(x) | set(y)
     return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in keys) for i in set(x) & set(y))

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from trustloom.llm.components import components
 from trustloom.llm.rows import column, packed, table
 from trustloom.llm.words import LOWER_WORDS, mix, small_batches, split_words, window_prints
+from trustloom.llm.words import _WORD_POWERS as WORD_POWERS
 from trustloom.session import materialise
 
 BANDS, ROWS = 32, 6  # a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**6)**32 = 0.99994
 SMALL_BUCKET = 4
 CELL_BITS, BLOCK = 10, 1_000  # a sketch has 4 KB, two blocks of them 8 MB
 ROUNDING = 1e-9  # a similarity of exactly the threshold may come out a little lower
+DOCS_AT_ONCE = 512  # of 1.5 KB of registers each
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -29,25 +31,64 @@ def shingles(prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prob_min_hash(ids: np.ndarray, weights: np.ndarray, registers: int) -> np.ndarray:
-    """The elements that arrive first in each register.
+    """The elements that arrive first in each register."""
+    return prob_min_hashes(np.zeros(len(ids), dtype=np.int64), ids, weights, 1, registers)[0]
+
+
+def prob_min_hashes(doc: np.ndarray, ids: np.ndarray, weights: np.ndarray, n: int, registers: int) -> np.ndarray:
+    """For each of ``n`` documents the elements that arrive first in each register; ``doc`` tells whose an element is.
 
     Each element is a Poisson process whose rate is its weight; every arrival falls into a random register. An element
-    stops as soon as its next arrival comes later than the last register was filled, as it can change nothing any more.
-    Two weighted sets agree in a register with a probability equal to their probability Jaccard similarity.
+    stops as soon as its next arrival comes later than its document's last register was filled, as it can change nothing
+    any more. Two weighted sets agree in a register with a probability equal to their probability Jaccard similarity. All
+    documents take their next arrivals together.
     """
-    first, winner = np.full(registers, np.inf), np.zeros(registers, dtype=np.uint64)
+    first, winner = np.full(n * registers, np.inf), np.zeros(n * registers, dtype=np.uint64)
     time, rate, state = np.zeros(len(ids)), weights.astype(float), ids
     while len(ids):
         state = state + _STEP
         draw = mix(state)
         time = time - np.log(((draw >> np.uint64(11)).astype(float) + 0.5) / 2.0**53) / rate
-        register = (mix(draw) % np.uint64(registers)).astype(np.int64)
-        np.minimum.at(first, register, time)
-        won = first[register] == time
-        winner[register[won]] = ids[won]
-        going = time < first.max()
-        ids, time, rate, state = ids[going], time[going], rate[going], state[going]
-    return winner
+        place = doc * registers + (mix(draw) % np.uint64(registers)).astype(np.int64)
+        np.minimum.at(first, place, time)
+        won = first[place] == time
+        winner[place[won]] = ids[won]
+        going = time < first.reshape(n, registers).max(axis=1)[doc]
+        doc, ids, time, rate, state = doc[going], ids[going], time[going], rate[going], state[going]
+    return winner.reshape(n, registers)
+
+
+def batch_shingles(prints: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, shingle, count): the distinct shingles of each document, sorted; ``first`` tells where each begins in
+    ``prints`` (one more entry than documents)."""
+    n = np.diff(first)
+    count = np.maximum(n - size + 1, 0)
+    doc = np.repeat(np.arange(len(n)), count)
+    ends = np.cumsum(count)
+    places = np.arange(count.sum()) + np.repeat(first[:-1] - (ends - count), count)
+    found = [window_prints(prints, size)[places]] if len(places) else []
+    docs = [doc]
+    short = np.flatnonzero((n > 0) & (n < size))
+    for length in np.unique(n[short]):
+        of = short[n[short] == length]
+        docs.append(of)
+        found.append(window_prints(prints, int(length))[first[of]])
+    doc, ids = np.concatenate(docs), np.concatenate([*found, np.zeros(0, dtype=np.uint64)])
+    order = np.lexsort((ids, doc))
+    doc, ids = doc[order], ids[order]
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (ids[1:] != ids[:-1])
+    starts = np.flatnonzero(new)
+    return doc[starts], ids[starts], np.diff(np.r_[starts, len(ids)])
+
+
+def text_prints(prints: np.ndarray, first: np.ndarray, which: int) -> np.ndarray:
+    """A fingerprint for all words of each document together; 0 without words."""
+    up, down = WORD_POWERS[which](len(prints) + 1)
+    sums = np.zeros(len(prints) + 1, dtype=np.uint64)
+    np.cumsum(prints * up[:-1], out=sums[1:])
+    whole = mix((sums[first[1:]] - sums[first[:-1]]) * down[first[:-1]])
+    return np.where(np.diff(first) > 0, whole, np.uint64(0))
 
 
 def probability_jaccard(ids_a: np.ndarray, x: np.ndarray, ids_b: np.ndarray, y: np.ndarray) -> float:
@@ -79,13 +120,14 @@ def _signatures(size: int, bands: int, rows: int):
         for batch in small_batches(batches, "text"):
             words = split_words(batch.column("text"), LOWER_WORDS)
             n = np.diff(words.first)
-            node, check = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
+            node, check = (text_prints(words.print, words.first, w) for w in (0, 1))
             keys = np.zeros((len(n), bands), dtype=np.uint64)
-            for i in np.flatnonzero(n):
-                prints = words.print[words.first[i] : words.first[i + 1]]
-                node[i], check[i] = (window_prints(prints, len(prints), w)[0] for w in (0, 1))
-                winner = prob_min_hash(*shingles(prints, size), bands * rows)
-                keys[i] = mix((winner.reshape(bands, rows) * base).sum(axis=1, dtype=np.uint64))
+            for at in range(0, len(n), DOCS_AT_ONCE):
+                begin = words.first[at : at + DOCS_AT_ONCE + 1]
+                found = batch_shingles(words.print[begin[0] : begin[-1]], begin - begin[0], size)
+                winner = prob_min_hashes(*found, len(begin) - 1, bands * rows)
+                keys[at : at + len(begin) - 1] = mix(
+                    (winner.reshape(-1, bands, rows) * base).sum(axis=2, dtype=np.uint64))
             offsets = np.r_[0, np.cumsum(np.where(n > 0, bands, 0))].astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].ravel().view(np.int64)))
             yield pa.record_batch([
