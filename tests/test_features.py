@@ -357,3 +357,28 @@ def test_large_and_small_word_tables_give_the_same_rows(spark, monkeypatch):
     large = [same(words.word_ids(docs, vocab, hot_rows=1)), same(lemmas.lemmatise(docs, forms, hot_rows=1)),
              same(words.padded_sequences(docs, vocab, length=3))]
     assert small == large and [len(x) for x in small] == [6, 6, 6]
+
+
+@pytest.mark.parametrize("hot_terms", [1000, 12])
+def test_regression_moves_no_entries_of_held_terms(docs, tmp_path, hot_terms, monkeypatch):
+    """What steps shuffle are sums by term, however many entries there are; rare terms travel and count as well."""
+    from trustloom.operators import linear
+
+    spread = tfidf_transform(docs, tfidf_fit(docs), keep=("label",)).persist()
+    seen = []
+    monkeypatch.setattr(linear, "_gradients", lambda d, *a, f=linear._gradients: seen.append(d) or f(d, *a))
+    fitted = logistic_fit(spread, docs, max_steps=5, tol=0.0, chained=2, hot_terms=hot_terms)
+    every = spread.unionByName(docs.selectExpr("doc_id", "label", "'' term", "1d weight")).collect()
+    terms, ids = sorted({r.term for r in every}), sorted({r.doc_id for r in every})
+    x, y = np.zeros((len(ids), len(terms))), np.zeros(len(ids))
+    for r in every:
+        x[ids.index(r.doc_id), terms.index(r.term)], y[ids.index(r.doc_id)] = r.weight, r.label == "fake"
+    w, u, bend = np.zeros(len(terms)), np.zeros(len(terms)), (x * x).sum(axis=1).max() / 4 + 1 / len(ids)
+    root = math.sqrt(bend * len(ids))
+    for _, limit in zip(range(5), linear.momentum_limits()):
+        g = x.T @ (1 / (1 + np.exp(-x @ u)) - y) / len(ids) + u / len(ids) * (np.array(terms) != "")
+        w, old = u - g / bend, w
+        u = w + min(limit, (root - 1) / (root + 1)) * (w - old)
+    assert {r.term: r.w for r in fitted.coefficients.collect()} == pytest.approx(dict(zip(terms, w)), abs=1e-9)
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in seen]
+    assert len(plans) == 5 and all(("Exchange" in p or "Join" in p) == (hot_terms < len(terms)) for p in plans)
