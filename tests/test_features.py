@@ -382,3 +382,19 @@ def test_regression_moves_no_entries_of_held_terms(docs, tmp_path, hot_terms, mo
     assert {r.term: r.w for r in fitted.coefficients.collect()} == pytest.approx(dict(zip(terms, w)), abs=1e-9)
     plans = [d._jdf.queryExecution().executedPlan().toString() for d in seen]
     assert len(plans) == 5 and all(("Exchange" in p or "Join" in p) == (hot_terms < len(terms)) for p in plans)
+
+
+def test_trained_vectors_by_ranges_of_words(docs, monkeypatch):
+    """Pairs are read row by row and meet their vectors without a join, whether these are held in one range or in many."""
+    vocab, seen = vocabulary(docs, min_count=2), []
+    monkeypatch.setattr(
+        vectors_module, "_pair_gradients", lambda *a, f=vectors_module._pair_gradients: seen.append(f(*a)) or seen[-1])
+    one = {r.id: r.vec for r in word_vectors(docs, vocab, dim=3, epochs=1, batches=2).collect()}
+    assert len(seen) == 2
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
+    assert not any("Exchange" in p or "Join" in p for p in plans)
+    monkeypatch.setattr(vectors_module, "HOT_NUMBERS", 1)
+    monkeypatch.setattr(vectors_module, "LEAST_HELD", 16)
+    many = {r.id: r.vec for r in word_vectors(docs, vocab, dim=3, epochs=1, batches=2).collect()}
+    assert len(seen) == 2 + 2 * 2 ** 2 and set(many) == set(one)
+    assert all(many[i] == pytest.approx(v, abs=1e-12) for i, v in one.items())
