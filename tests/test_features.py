@@ -398,3 +398,17 @@ def test_trained_vectors_by_ranges_of_words(docs, monkeypatch):
     many = {r.id: r.vec for r in word_vectors(docs, vocab, dim=3, epochs=1, batches=2).collect()}
     assert len(seen) == 2 + 2 * 2 ** 2 and set(many) == set(one)
     assert all(many[i] == pytest.approx(v, abs=1e-12) for i, v in one.items())
+
+
+def test_a_task_works_on_a_few_list_entries_at_a_time(docs, monkeypatch):
+    """However long the lists of a batch are."""
+    import pyarrow as pa
+
+    rows = [["a"] * 3, None, [], ["b"] * 9, ["c"], ["d", None]]
+    batch = pa.record_batch([pa.array(range(6)), pa.array(rows, pa.list_(pa.string()))], names=["i", "l"])
+    parts = [p.column(1).to_pylist() for p in lookup.pieces(batch, 1, 4)]
+    assert sum(parts, []) == rows and [sum(len(x or []) for x in p) for p in parts] == [3, 9, 3]
+    vocab = vocabulary(docs, min_count=2)
+    whole = sorted(map(str, word_ids(docs, vocab).collect()))
+    monkeypatch.setattr(lookup, "ENTRIES", 7)
+    assert sorted(map(str, word_ids(docs, vocab).collect())) == whole
