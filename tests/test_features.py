@@ -412,3 +412,27 @@ def test_a_task_works_on_a_few_list_entries_at_a_time(docs, monkeypatch):
     whole = sorted(map(str, word_ids(docs, vocab).collect()))
     monkeypatch.setattr(lookup, "ENTRIES", 7)
     assert sorted(map(str, word_ids(docs, vocab).collect())) == whole
+
+
+@pytest.mark.parametrize("hot_rows", [1000, 2])
+def test_tfidf_counts_within_the_row(spark, monkeypatch, hot_rows):
+    """Rows that share an id are one document, groups of words do not cross rows, and counting needs no shuffle."""
+    from trustloom.operators import tfidf
+
+    monkeypatch.setattr(lookup, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(tfidf, "LENGTHS", hot_rows)
+    rows = [(1, ["a", "b", "a", "b"]), (1, ["b", "b"]), (None, ["a", "b", "c"]), (2, None), (3, []), (4, ["c", "a", "b"])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    grams = tfidf._gram_counts(docs, ["doc_id"], "tokens", 3)
+    want = Counter((k, i, " ".join(ws[x : x + n])) for k, (i, ws) in enumerate(rows) for n in (1, 2, 3) for x in range(len(ws or []) - n + 1))
+    assert sorted(map(str, map(tuple, grams.collect()))) == sorted(str((i, t, n)) for (_, i, t), n in want.items())
+    assert "Exchange" not in grams._jdf.queryExecution().executedPlan().toString()
+    model = tfidf_fit(docs, min_df=2, max_df=1.0)
+    got = {(r.doc_id, r.term): r.weight for r in tfidf_transform(docs, model).collect()}
+    df = Counter(t for _, ws in rows for t in {*(ws or []), *map(" ".join, zip(ws or [], (ws or [])[1:]))})
+    raw = Counter()
+    for (_, i, t), n in want.items():
+        if t.count(" ") < 2 and df[t] >= 2:
+            raw[i, t] += n * (math.log(7 / (1 + df[t])) + 1)
+    length = {i: math.sqrt(sum(x * x for (j, _), x in raw.items() if j == i)) for i, _ in rows}
+    assert got == pytest.approx({(i, t): x / length[i] for (i, t), x in raw.items()})
