@@ -436,3 +436,17 @@ def test_tfidf_counts_within_the_row(spark, monkeypatch, hot_rows):
             raw[i, t] += n * (math.log(7 / (1 + df[t])) + 1)
     length = {i: math.sqrt(sum(x * x for (j, _), x in raw.items() if j == i)) for i, _ in rows}
     assert got == pytest.approx({(i, t): x / length[i] for (i, t), x in raw.items()})
+
+
+def test_rare_words_travel_without_the_frequent_ones(docs, monkeypatch):
+    """Beside the held vectors only words that these lack are shuffled, and no row per occurrence of the others."""
+    vocab = vocabulary(docs, min_count=2)
+    vectors = vocab.selectExpr("w", "id", "array(double(id), 1d) vec")
+    seen = []
+    monkeypatch.setattr(vectors_module, "_summed", lambda *a, f=vectors_module._summed, **k: seen.append(f(*a, **k)) or seen[-1])
+    means = {r.doc_id: r for r in doc_vectors(docs, vectors, dim=2, hot_rows=5).collect()}
+    left = {r.doc_id: r.missed for r in seen[0].collect()}
+    held = {r.w for r in vocab.collect() if r.id <= 5}
+    assert left == {i: [w for w in ws if w not in held] for i, _, ws in corpus()}
+    known = {r.w for r in vocab.collect()}
+    assert all(means[i].n_known == sum(w in known for w in ws) for i, _, ws in corpus())
