@@ -6,8 +6,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from trustloom.functions.digests import Heads
 from trustloom.operators import lookup
 from trustloom.operators import vectors as vectors_module
+from trustloom.operators import vocabulary as vocabulary_module
 from trustloom.operators.lemmas import lemma_table, lemmatise
 from trustloom.operators.linear import INTERCEPT, logistic_fit, logistic_score
 from trustloom.operators.metrics import evaluate
@@ -114,6 +116,68 @@ def test_word_ids_and_pairs(docs, hot_rows):
     assert {r["count"] for r in labels} == {len(drawn)} and len(labels) == 2
 
 
+@pytest.mark.parametrize("ids", [
+    ([0, -7, 123456, None], "long"), (["x" * 36, "x" * 37, "\u00e9" * 19, "", None, "y" * 300], "string")])
+def test_draws_of_runs_are_those_of_rows(spark, monkeypatch, ids):
+    monkeypatch.setattr(vocabulary_module, "PAIRS", 100)
+    keys, kind = ids
+    lists = [[(k * 31 + i) % 9 for i in range(n)] for k, n in enumerate([140, 0, 1, 2, 12, 7][: len(keys)])]
+    sequences = spark.createDataFrame([*zip(keys, lists), (keys[0], [4, 4, 4]), (keys[1], None)], f"doc_id {kind}, ids array<long>")
+    rows, runs = skipgrams(sequences), skipgrams(sequences, runs=True)
+    drawn = negative_pairs(runs, 50_021)
+    assert dict(drawn.dtypes) == dict(negative_pairs(rows, 50_021).dtypes)
+    got, places = Counter(map(tuple, drawn.collect())), rows.select("doc_id", "center_pos", "context_pos").collect()
+    want = Counter()
+    for doc, center, context in places:
+        d = hashlib.md5("|".join(str(x) for x in (42, doc, center, context) if x is not None).encode()).hexdigest()
+        want[doc, center, context, int(d[:15], 16) % 50_021, int(d[15:30], 16) % 50_021] += 1
+    assert got == want == Counter(map(tuple, negative_pairs(rows, 50_021).collect()))
+    trained = Counter(map(tuple, training_pairs(runs, 50_021).collect()))
+    assert trained == Counter(map(tuple, training_pairs(rows, 50_021).collect()))
+
+
+@pytest.mark.parametrize("held", [4_000_000, 10])
+def test_totals_of_drawn_pairs(spark, monkeypatch, held):
+    monkeypatch.setattr(vocabulary_module, "PAIRS", 64)
+    monkeypatch.setattr(vocabulary_module, "HELD_WORDS", held)
+    sequences = spark.createDataFrame([(k, [0] * n) for k, n in enumerate([300, 0, 1, 2, 40])], "doc_id long, ids array<long>")
+    want = defaultdict(lambda: [0, 0, 0])
+    for r in negative_pairs(skipgrams(sequences), 50).collect():
+        want[r.center] = [x + y for x, y in zip(want[r.center], (1, r.context, r.context * r.context_pos))]
+    totals = negative_pairs(skipgrams(sequences.coalesce(1), runs=True), 50, totals=True)
+    assert (totals.count() == len(want)) == (held > 50)
+    got = totals.groupBy("center").sum("n_pairs", "sum_context", "weighted_context").collect()
+    assert {r[0]: list(r[1:]) for r in got} == want
+    with pytest.raises(ValueError):
+        negative_pairs(skipgrams(sequences), 50, totals=True)
+
+
+def test_totals_that_might_not_fit_are_written_before(spark, monkeypatch):
+    monkeypatch.setattr(vocabulary_module, "PAIRS", 900)
+    runs = [(1, 2_000_000_000, 2_000_000_001, 900, [0], [0])]
+    runs = spark.createDataFrame(runs, "doc_id long, center_pos int, context_pos int, n int, center array<long>, context array<long>")
+    rows = negative_pairs(runs, 4_000_000).collect()
+    totals = negative_pairs(runs.union(runs).coalesce(1), 4_000_000, totals=True).collect()
+    assert len(totals) > len({r.center for r in rows})
+    assert sum(r.weighted_context for r in totals) == 2 * sum(r.context * r.context_pos for r in rows)
+
+
+def test_draws_of_runs_write_no_digest_a_pair(spark):
+    sequences = spark.createDataFrame([(1, [1, 2, 3])], "doc_id long, ids array<long>")
+    plan = negative_pairs(skipgrams(sequences, runs=True), 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "inline" not in plan and "MapInArrow" in plan
+
+
+def test_draws_at_far_places():
+    heads = ["42|1|", "42|" + "x" * 36 + "|", "42|" + "x" * 37 + "|", "42|"]
+    places = [0, 9, 10, 65_535, 65_536, 9_999_999, 10_000_000, 2**31 - 1]
+    cases = [(h, x, y) for h in range(len(heads)) for x in places for y in places]
+    of, first, second = (np.array(c) for c in zip(*cases))
+    digests = [hashlib.md5(f"{heads[h]}{x}|{y}".encode()).hexdigest() for h, x, y in cases]
+    for got, at in zip(Heads(heads).draws(of, first, second), (0, 15)):
+        assert got.tolist() == [int(d[at : at + 15], 16) for d in digests]
+
+
 def test_padded_sequences(spark):
     texts = ["b a, a!", "", None, "a " * 9 + "zzz"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
