@@ -464,6 +464,42 @@ def test_trained_vectors_by_ranges_of_words(docs, monkeypatch):
     assert all(many[i] == pytest.approx(v, abs=1e-12) for i, v in one.items())
 
 
+@pytest.mark.parametrize("entries, row_entries, cells", [(8_000_000, 200_000, 3), (100, 4, 1), (100, 4, 12)])
+def test_training_pairs_are_counted_where_they_are_made(spark, monkeypatch, entries, row_entries, cells):
+    """A row a cell and count leaves the task, not a row a pair; counts of a cell meet in one place, in both roles."""
+    from trustloom.operators import pair_cells
+
+    monkeypatch.setattr(vocabulary_module, "PAIRS", 30)
+    lists = [[(k * 31 + i * i) % 12 for i in range(n)] for k, n in enumerate([40, 0, 1, 2, 300])]
+    sequences = spark.createDataFrame([*enumerate(lists), (7, [5] * 300), (8, None)], "doc_id long, ids array<long>")
+    want = defaultdict(lambda: [0, 0])
+    for r in training_pairs(skipgrams(sequences), 12).collect():
+        for pair in ((r.center, r.context), (r.context, r.center)):
+            want[pair][1 - r.label] += 1
+    layout = pair_cells.Cells(12, cells, 2, 5, entries, row_entries)
+    counted = training_pairs(skipgrams(sequences.coalesce(1), runs=True), 12, cells=layout)
+    rows = counted.count()
+    assert rows == cells if entries > 100 else rows > cells
+    assert "Generate" not in str(counted._jdf.queryExecution().executedPlan()).split("MapInArrow")[0]
+    got = {}
+    for r in vectors_module.pair_weights(counted, layout).collect():
+        words, sizes, partners, times = pair_cells.unpacked([bytes(r[c]) for c in pair_cells.FIELDS])
+        assert len(words) == 1 or len(partners) <= row_entries
+        for a, b, n in zip(np.repeat(words, sizes).tolist(), (partners + r.at_b * 5).tolist(), times.T.tolist()):
+            assert (a // 5, (a + b) % 2) == (r.at_a, r.batch) and (a, b) not in got
+            got[a, b] = n
+    assert got == dict(want)
+
+
+def test_packed_counts_of_any_size():
+    from trustloom.operators import pair_cells
+
+    for most in (1, 255, 256, 70_000, 1 << 33):
+        row = pair_cells._row(*(np.array(x) for x in ([3, 9], [2, 1], [7, 8, (1 << 32) - 1], [0, 1, most], [1, 0, 2])))
+        words, sizes, partners, times = (x.tolist() for x in pair_cells.unpacked(row))
+        assert (words, sizes, partners, times) == ([3, 9], [2, 1], [7, 8, (1 << 32) - 1], [[0, 1, most], [1, 0, 2]])
+
+
 def test_a_task_works_on_a_few_list_entries_at_a_time(docs, monkeypatch):
     """However long the lists of a batch are."""
     import pyarrow as pa
