@@ -448,6 +448,27 @@ def test_regression_moves_no_entries_of_held_terms(docs, tmp_path, hot_terms, mo
     assert len(plans) == 5 and all(("Exchange" in p or "Join" in p) == (hot_terms < len(terms)) for p in plans)
 
 
+@pytest.mark.parametrize("part, few", [(1 << 18, False), (7, True)])
+def test_regression_sums_leave_tasks_in_arrays(docs, monkeypatch, part, few):
+    """A row a task and part of the terms, not one a term; a part of which a task has few terms says which."""
+    from trustloom.operators import linear
+
+    monkeypatch.setattr(linear, "PART", part)
+    spread = tfidf_transform(docs, tfidf_fit(docs), keep=("label",)).persist()
+    seen = []
+    monkeypatch.setattr(linear, "_gradients", lambda *a, f=linear._gradients: seen.append((f(*a), a[1], a[0])) or seen[-1][0])
+    fitted = logistic_fit(spread, docs, max_steps=1, tol=0.0)
+    (sums, _), u, read = seen[0]
+    assert len(u) == fitted.size and {*read.columns} == {"row", "y", "at", "x", "z"}
+    sums, _ = linear._gradients(read.limit(1) if few else read, u, 1, False)
+    got = sums.collect()
+    assert len(got) <= sums.rdd.getNumPartitions() * -(-len(u) // part) < len(u)
+    assert not few or any(r["at"] is not None and len(r["at"]) // 4 == len(r["s"]) // 8 for r in got)
+    w = {r.term: r.w for r in fitted.coefficients.collect()}
+    y = [r.label == "fake" for r in docs.collect()]
+    assert len(w) == len(u) and np.sign(w[INTERCEPT]) == np.sign(np.mean(y) - 0.5)
+
+
 def test_trained_vectors_by_ranges_of_words(docs, monkeypatch):
     """Pairs are read row by row and meet their vectors without a join, whether these are held in one range or in many."""
     vocab, seen = vocabulary(docs, min_count=2), []
@@ -514,6 +535,18 @@ def test_a_task_works_on_a_few_list_entries_at_a_time(docs, monkeypatch):
     assert sorted(map(str, word_ids(docs, vocab).collect())) == whole
 
 
+def test_a_large_table_is_hashed_and_not_sorted(spark, monkeypatch):
+    many = spark.range(400).selectExpr("id % 50 k", "id x")
+    table = spark.range(300).selectExpr("id k", "id * 2 y")
+    plans = []
+    for most in (500_000, 1):
+        monkeypatch.setattr(lookup, "HASHED_ROWS", most)
+        met = many.join(lookup.bounded(table, 300, 100), "k")
+        assert sorted(map(tuple, met.select("x", "y").collect())) == [(x, x % 50 * 2) for x in range(400)]
+        plans.append(met._jdf.queryExecution().sparkPlan().toString())
+    assert "ShuffledHashJoin" in plans[0] and "ShuffledHashJoin" not in plans[1]
+
+
 @pytest.mark.parametrize("hot_rows", [1000, 2])
 def test_tfidf_counts_within_the_row(spark, monkeypatch, hot_rows):
     """Rows that share an id are one document, groups of words do not cross rows, and counting needs no shuffle."""
