@@ -512,6 +512,19 @@ def test_training_pairs_are_counted_where_they_are_made(spark, monkeypatch, entr
     assert got == dict(want)
 
 
+@pytest.mark.parametrize("dim, at_once", [(5, 16_384), (4, 7)])
+def test_vectors_start_with_numbers_taken_many_at_a_time(spark, monkeypatch, dim, at_once):
+    monkeypatch.setattr(vectors_module, "DIGESTS_AT_ONCE", at_once)
+    ids = [0, 7, 123, 20_000_000_000]
+    start = vectors_module._start(spark.createDataFrame([(i,) for i in ids], "id long"), dim, 42)
+    assert "md5" not in start._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for i in ids:
+        digests = [hashlib.md5(f"42|{i}|{k // 2}".encode()).hexdigest()[15 * (k % 2) :][:15] for k in range(dim)]
+        want[i] = [(int(d, 16) % (1 << 20) / (1 << 20) - 0.5) * 0.1 for d in digests]
+    assert {r.id: r.vec for r in start.collect()} == want and {r.power for r in start.collect()} == {0.0}
+
+
 def test_packed_counts_of_any_size():
     from trustloom.operators import pair_cells
 

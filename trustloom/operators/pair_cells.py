@@ -32,7 +32,7 @@ class Cells:
     cells: int
     batches: int
     held: int
-    entries: int = 8_000_000
+    entries: int = 4_000_000
     row_entries: int = 200_000
 
     @property
